@@ -60,6 +60,12 @@ def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify_all(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "pages"))
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import toxicity
+
+    return toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")).drop("spans")
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .simhash import op6
 
@@ -79,7 +85,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_decontamination, op6_simhash, op7_embeddings, op8_language, op9_token_counts, op10_packing)}
+    return {f.__name__: f for f in (op1_decontamination, op5_toxicity, op6_simhash, op7_embeddings, op8_language, op9_token_counts, op10_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
