@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import heapq
 import os
-import re
 import zlib
 from functools import lru_cache
 
@@ -22,9 +21,8 @@ BLOCK_TOKENS = 2_000_000
 #: Longest cut of what is left of a document beyond whole sequences.
 PIECE = 512
 #: Words whose ids a worker remembers before it starts anew.
-MEMORY = 1_000_000
+MEMORY = 1_500_000
 
-_ODD = re.compile("[\x1c-\x1f]").search
 
 
 def differencing(sizes: np.ndarray, k: int) -> np.ndarray:
@@ -81,21 +79,18 @@ def windows(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, int]:
 class _Ids:
     """Ids of whole texts as bytes (unsigned, little-endian, 32 bits).
 
-    No token crosses white space, so each run between white space has its own ids, and so has each pre-token of a run; both are remembered.
-    Unknown pre-tokens go to the library many at a time, as one text, and its offsets tell them apart.  Runs with a special string, and texts
-    with the four separators that only Python takes for white space, go to the library as they are.
+    Each pre-token has its own ids, which are remembered.  Unknown ones go to the library many at a time, as one text, and its offsets tell
+    them apart.  Texts with a special string go to the library as they are.
     """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
-        self.tokenizer, self.runs, self.words = Tokenizer.from_file(path), {}, {}
+        self.tokenizer, self.words = Tokenizer.from_file(path), {}
 
     def ask(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32).tobytes()
 
-    def learn(self, runs: set[str]) -> None:
-        split = {r: pretokens(r) for r in runs if "<|" not in r}
-        new = list({w for ws in split.values() for w in ws}.difference(self.words))
+    def learn(self, new: list[str]) -> None:
         for i in range(0, len(new), 5000):
             some = new[i : i + 5000]
             e = self.tokenizer.encode(" ".join(some), add_special_tokens=False)
@@ -103,23 +98,22 @@ class _Ids:
             cut = np.searchsorted(np.array([o[0] for o in e.offsets]), starts) * 4
             raw = np.array(e.ids, np.uint32).tobytes()
             self.words.update((w, raw[a:b]) for w, a, b in zip(some, cut.tolist(), cut[1:].tolist()))
-        get = self.words.__getitem__
-        self.runs.update((r, b"".join(map(get, split[r])) if r in split else self.ask(r)) for r in runs)
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        for memory in (self.runs, self.words):
-            if len(memory) > MEMORY:
-                memory.clear()
-        get, rows, missing = self.runs.get, [], set()
+        if len(self.words) > MEMORY:
+            self.words.clear()
+        get, rows, missing = self.words.get, [], set()
         for text in texts:
-            runs = None if text and _ODD(text) else (text or "").split()
-            parts = [self.ask(text)] if runs is None else list(map(get, runs))
-            rows.append((runs, parts))
-            if not all(parts):
-                missing.update(w for w, x in zip(runs or (), parts) if x is None)
+            words = None if text and "<|" in text else pretokens(text or "")
+            parts = [self.ask(text)] if words is None else list(map(get, words))
+            if whole := words is None or all(parts):
+                words = b"".join(parts)
+            else:
+                missing.update(w for w, x in zip(words, parts) if x is None)
+            rows.append((whole, words))
         if missing:
-            self.learn(missing)
-        return [b"".join(parts if all(parts) or runs is None else map(get, runs)) for runs, parts in rows]
+            self.learn(list(missing))
+        return [words if whole else b"".join(map(get, words)) for whole, words in rows]
 
 
 @lru_cache(maxsize=2)

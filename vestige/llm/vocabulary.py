@@ -3,14 +3,19 @@
 from __future__ import annotations
 
 import json
+import re
 import unicodedata
 
 import regex
 
 #: The tokenizer file's split pattern.  Its white space is dropped; specials are found in the raw text before all else.
-PRETOKEN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+PRETOKEN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\p{White_Space}\p{L}\p{N}]+"
 
 _words = regex.compile(PRETOKEN).findall
+#: The same pattern for lower-cased texts of Latin letters alone, which the standard library's faster matcher can hold as ranges.
+_BEYOND = re.compile("[^\x00-\u024f]").search
+_LETTERS, _NUMBERS = "a-z\xaa\xb5\xba\xdf-\xf6\xf8-\u024f", "0-9\xb2\xb3\xb9\xbc-\xbe"
+_latin = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[{_NUMBERS}]|[^\t-\r \x85\xa0{_LETTERS}{_NUMBERS}]+").findall
 
 
 def normalise(text: str) -> str:
@@ -23,7 +28,8 @@ def normalise(text: str) -> str:
 
 
 def pretokens(text: str) -> list[str]:
-    return _words(normalise(text))
+    text = normalise(text)
+    return _words(text) if _BEYOND(text) else _latin(text)
 
 
 class Vocabulary:
