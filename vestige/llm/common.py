@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -24,6 +25,13 @@ def prepare(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def saved(df: DataFrame) -> DataFrame:
+    """df, written as a compressed table into the shared checkpoint folder and read back: what a checkpoint does, in less space."""
+    path = f"{prepare(df.sparkSession).sparkContext.getCheckpointDir()}/table-{uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def columns(df: DataFrame, **wanted: str) -> DataFrame:
     """The named columns alone, so that a caller's extra columns can't clash with an operator's own."""
     return df.select(*(F.col(f"`{name}`").cast(kind).alias(name) for name, kind in wanted.items()))
@@ -40,7 +48,7 @@ def text_words(text: str | None) -> list[bytes]:
 
 
 def components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
-    """(node, root): root is the least node of each connected component of the edges (a, b), both long.
+    """(node, root): root is the least node of each connected component of the edges (a, b), both of one type that has an order.
 
     Alternating large-star and small-star rounds; a round is two grouped minima and two equi-joins, and its edges go to the shared
     checkpoint folder, so lineage stays short and lost executors cost one round.  Nodes in no edge don't appear.  Nulls and loops are dropped.

@@ -12,7 +12,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _vocabulary() -> str:
+def vocabulary_path() -> str:
     import public_tokenizers
 
     return public_tokenizers.path(VOCABULARY)
@@ -75,17 +75,35 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .tokencount import token_counts
 
-    return token_counts(_table(spark, sf_dir, "documents"), _vocabulary())
+    return token_counts(_table(spark, sf_dir, "documents"), vocabulary_path())
 
 
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import pack
 
-    return pack(_table(spark, sf_dir, "documents"), _vocabulary())
+    return pack(_table(spark, sf_dir, "documents"), vocabulary_path())
+
+
+def op2_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .lm import scores
+
+    return scores(_table(spark, sf_dir, "documents"))
+
+
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .linededup import line_classes
+
+    return line_classes(_table(spark, sf_dir, "documents"))
+
+
+def op4_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .substrings import digest
+
+    return digest(_table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_decontamination, op5_toxicity, op6_simhash, op7_embeddings, op8_language, op9_token_counts, op10_packing)}
+    return {f.__name__: f for f in (op1_decontamination, op2_lm_scores, op3_line_dedup, op4_substrings, op5_toxicity, op6_simhash, op7_embeddings, op8_language, op9_token_counts, op10_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
