@@ -66,13 +66,17 @@ class Words:
     def runs(self, window: int, anchor: int) -> tuple[np.ndarray, ...]:
         """(text, start, n, key, own, content): maximal runs of n consecutive windows with one key, the least hash of an anchor's words inside.
 
-        Equal windows have equal keys.  own: the run is longer than one anchor can cover, so it may hold a window twice.  start: the
-        word's number in its text; content: hash of all the run's words.
+        Equal windows have equal keys.  own: the run's words hold some anchor twice, so they may hold a window twice.  start: the word's
+        number in its text; content: hash of all the run's words.
         """
         n, width = len(self.hash), window - anchor + 1
         if n < window:
             return tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.int64, bool, np.int64))
         least = _ranges(self.hash, np.arange(n - anchor + 1), np.arange(anchor, n + 1), _WORD)
+        order = np.argsort(least, kind="stable")
+        again = np.zeros(len(least) + 1, np.int64)  # places before which an equal anchor stands within reach of one window more
+        again[1 + order[1:][(least[order[1:]] == least[order[:-1]]) & (order[1:] - order[:-1] <= width)]] = 1
+        again = np.cumsum(again)
         size = 1
         while 2 * size <= width:
             least = np.minimum(least[:-size], least[size:])
@@ -88,7 +92,7 @@ class Words:
         count = np.diff(np.append(new, len(inside)))
         start = inside[new]
         content = _ranges(self.hash, start, start + count + window - 1, _WORD)
-        return self.doc[start], start - self.first[self.doc[start]], count, key[new].view(np.int64), count > width, content.view(np.int64)
+        return self.doc[start], start - self.first[self.doc[start]], count, key[new].view(np.int64), again[start + count + width - 1] > again[start], content.view(np.int64)
 
 
 def _raw(texts: list[str | None]) -> list[bytes]:
