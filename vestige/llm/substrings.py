@@ -11,7 +11,7 @@ from .common import columns, prepare, saved, text_words
 #: Words of a window, and of the word sequences by whose least hash the windows are dealt out.
 WINDOW, ANCHOR = 35, 8
 #: Different stretches of a group above which its windows are dealt out again, by all their words as prefix.
-CROWD = 256
+CROWD = 4096
 #: Words of a Python worker's tree at a time, and bytes of text that are hashed at once.
 TREE_WORDS, CHUNK_BYTES = 400_000, 1 << 20
 
