@@ -3,20 +3,21 @@
 from __future__ import annotations
 
 import re
+from array import array
 from collections import Counter
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import columns, prepare
+from .common import columns, prepare, saved
 
 #: Documented bounds of the training sample: documents of each label, and the characters of a document that may be in it.
 SAMPLE_DOCS, SAMPLE_CHARS = 3000, 20_000
 #: Least documents of the rarer label that a feature is in, and least log-odds at which it is kept and at which it tags a token.
 LEAST_DOCS, KEEP_ODDS, TAG_ODDS = 4, 1.0, 2.0
-#: Words of a training chain; rounds of its gradient ascent; words a worker remembers.
-CHAIN, ROUNDS, MEMORY = 64, 40, 1_000_000
+#: Words of a training chain; chains whose gradient is summed at a time; rounds of gradient ascent; words a worker remembers.
+CHAIN, BLOCK, ROUNDS, MEMORY = 64, 8192, 40, 1_000_000
 PREDICT = 0.3
 
 _word = re.compile(r"[^\W\d_]+")
@@ -110,9 +111,50 @@ class Crf:
         return score, spans
 
 
+class _Block:
+    """Chains of one block, longest first, and the gradient of their likelihood: what training holds grows with a block, not the sample."""
+
+    def __init__(self, length: np.ndarray, gold: np.ndarray, cell: np.ndarray, feature: np.ndarray, start: int):
+        self.length, self.gold = length[start : start + BLOCK], gold[start : start + BLOCK]
+        low, high = np.searchsorted(cell, [start * CHAIN, (start + BLOCK) * CHAIN])
+        self.cell, self.feature = cell[low:high] - start * CHAIN, feature[low:high]
+        self.live = [int((self.length > t).sum()) for t in range(CHAIN)]
+        self.mask = np.arange(CHAIN)[None] < self.length[:, None]
+        self.observed = np.zeros((2, 2))
+        np.add.at(self.observed, (self.gold[:, :-1][self.mask[:, 1:]], self.gold[:, 1:][self.mask[:, 1:]]), 1)
+
+    def gradient(self, x: np.ndarray) -> np.ndarray:
+        """Observed less expected counts of features, tag and transitions, at the parameters x."""
+        n, count, mask, live = len(self.length), len(x) - 5, self.mask, self.live
+        bias, a = x[count], np.exp(x[count + 1 :].reshape(2, 2))
+        s = np.bincount(self.cell, x[self.feature], n * CHAIN)
+        e = np.exp(np.clip(s.reshape(n, CHAIN) + bias, -30, 30))
+        f0, f1, b0, b1 = (np.ones((n, CHAIN)) for _ in range(4))
+        for t in range(CHAIN):
+            k = live[t]
+            p0, p1 = (f0[:k, t - 1] * a[0, 0] + f1[:k, t - 1] * a[1, 0], f0[:k, t - 1] * a[0, 1] + f1[:k, t - 1] * a[1, 1]) if t else (np.ones(k), np.ones(k))
+            p1 = p1 * e[:k, t]
+            z = p0 + p1
+            f0[:k, t], f1[:k, t] = p0 / z, p1 / z
+        for t in range(CHAIN - 2, -1, -1):
+            k = live[t + 1]
+            q0, q1 = b0[:k, t + 1], b1[:k, t + 1] * e[:k, t + 1]
+            p0, p1 = a[0, 0] * q0 + a[0, 1] * q1, a[1, 0] * q0 + a[1, 1] * q1
+            z = p0 + p1
+            b0[:k, t], b1[:k, t] = p0 / z, p1 / z
+        p = np.where(mask, f1 * b1 / (f0 * b0 + f1 * b1), 0.0)
+        r1 = b1[:, 1:] * e[:, 1:]
+        pair = np.stack([f0[:, :-1] * a[0, 0] * b0[:, 1:], f0[:, :-1] * a[0, 1] * r1, f1[:, :-1] * a[1, 0] * b0[:, 1:], f1[:, :-1] * a[1, 1] * r1])
+        pair /= pair.sum(axis=0)
+        pair *= mask[None, :, 1:]
+        g = np.where(mask, self.gold - p, 0.0).ravel()
+        return np.concatenate([np.bincount(self.feature, g[self.cell], count), [g.sum()], self.observed.ravel() - pair.sum(axis=(1, 2))])
+
+
 def train(examples: list[tuple[str, int]]) -> Crf:
     """A field from (text, label): features' log-odds tag the tokens of toxic documents, the tags train the field, the labels its calibration."""
-    docs = [(_word.findall((t or "").lower()), int(y)) for t, y in examples]
+    same: dict[str, str] = {}  # equal words are one object
+    docs = [([same.setdefault(w, w) for w in _word.findall((t or "").lower())], int(y)) for t, y in examples]
     seen = [Counter(), Counter()]
     number = [sum(y == k for _, y in docs) for k in (0, 1)]
     memo: dict[str, list[str]] = {}
@@ -134,46 +176,22 @@ def train(examples: list[tuple[str, int]]) -> Crf:
     order = np.argsort(-length, kind="stable")
     chains, length = [chains[i] for i in order], length[order]
     gold = np.zeros((n, CHAIN), np.int8)
-    cell, feature = [], []
+    cell, feature = array("q"), array("i")
     for r, (words, y) in enumerate(chains):
         for c, w in enumerate(words):
             if ids[w]:
-                cell += [r * CHAIN + c] * len(ids[w])
-                feature += ids[w]
+                cell.extend([r * CHAIN + c] * len(ids[w]))
+                feature.extend(ids[w])
                 gold[r, c] = y and strength[w] >= TAG_ODDS
-    cell, feature = np.array(cell, np.int64), np.array(feature, np.int64)
-    live = [int((length > t).sum()) for t in range(CHAIN)]
-    mask = np.arange(CHAIN)[None] < length[:, None]
-    observed = np.zeros((2, 2))
-    np.add.at(observed, (gold[:, :-1][mask[:, 1:]], gold[:, 1:][mask[:, 1:]]), 1)
+    cell, feature = np.frombuffer(cell, np.int64), np.frombuffer(feature, np.int32)
+    blocks = [_Block(length, gold, cell, feature, i) for i in range(0, n, BLOCK)]
     x = np.concatenate([np.zeros(len(kept)), [-4.0], np.zeros(4)])
     m, v = np.zeros_like(x), np.zeros_like(x)
     scale = 1.0 / max(1, int(gold.sum()))
     for step in range(1, ROUNDS + 1):
-        w, bias, a = x[: len(kept)], x[len(kept)], np.exp(x[len(kept) + 1 :].reshape(2, 2))
-        s = np.zeros(n * CHAIN)
-        s += np.bincount(cell, w[feature], n * CHAIN)
-        e = np.exp(np.clip(s.reshape(n, CHAIN) + bias, -30, 30))
-        f0, f1 = np.ones((n, CHAIN)), np.ones((n, CHAIN))
-        b0, b1 = np.ones((n, CHAIN)), np.ones((n, CHAIN))
-        for t in range(CHAIN):
-            k = live[t]
-            p0, p1 = (f0[:k, t - 1] * a[0, 0] + f1[:k, t - 1] * a[1, 0], f0[:k, t - 1] * a[0, 1] + f1[:k, t - 1] * a[1, 1]) if t else (np.ones(k), np.ones(k))
-            p1 = p1 * e[:k, t]
-            z = p0 + p1
-            f0[:k, t], f1[:k, t] = p0 / z, p1 / z
-        for t in range(CHAIN - 2, -1, -1):
-            k = live[t + 1]
-            q0, q1 = b0[:k, t + 1], b1[:k, t + 1] * e[:k, t + 1]
-            p0, p1 = a[0, 0] * q0 + a[0, 1] * q1, a[1, 0] * q0 + a[1, 1] * q1
-            z = p0 + p1
-            b0[:k, t], b1[:k, t] = p0 / z, p1 / z
-        p = np.where(mask, f1 * b1 / (f0 * b0 + f1 * b1), 0.0)
-        r1 = b1[:, 1:] * e[:, 1:]
-        pair = np.stack([f0[:, :-1] * a[0, 0] * b0[:, 1:], f0[:, :-1] * a[0, 1] * r1, f1[:, :-1] * a[1, 0] * b0[:, 1:], f1[:, :-1] * a[1, 1] * r1])
-        pair = pair / pair.sum(axis=0) * mask[None, :, 1:]
-        g = np.where(mask, gold - p, 0.0).ravel()
-        grad = np.concatenate([np.bincount(feature, g[cell], len(kept)) - 0.5 * w, [g.sum()], observed.ravel() - pair.sum(axis=(1, 2))]) * scale
+        grad = sum(b.gradient(x) for b in blocks)
+        grad[: len(kept)] -= 0.5 * x[: len(kept)]
+        grad *= scale
         m, v = 0.9 * m + 0.1 * grad, 0.98 * v + 0.02 * grad**2
         x = x + 0.25 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.98**step)) + 1e-6)
     crf = Crf({f: float(x[k]) for f, k in kept.items() if x[k]}, float(x[len(names)]), x[len(names) + 1 :].reshape(2, 2), np.zeros(5))
@@ -192,15 +210,27 @@ def train(examples: list[tuple[str, int]]) -> Crf:
 def training_sample(docs: DataFrame, labels: DataFrame) -> list[tuple[str, int]]:
     """Texts and labels of at most SAMPLE_DOCS documents of each label and SAMPLE_CHARS characters, none of them held out.
 
-    Only rows whose crc32(doc_id as text) mod 4 is not 2 are read; those with the least hashes of doc_id are taken.
+    Only rows whose crc32(doc_id as text) mod 4 is not 2 are read; those with the least hashes of doc_id are taken.  A doc_id that several
+    rows have counts once, with its least text.  Ids are chosen first, below a hash that about twice the wanted number lies under, so that
+    neither the driver nor a shuffle gets texts that are not in the sample, however many partitions there are.
     """
     open_ = columns(labels, doc_id="long", toxic="int").where("doc_id is not null and toxic in (0, 1)").where("crc32(cast(doc_id as string)) % 4 != 2").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     texts = columns(docs, doc_id="long", text="string").where(F.length("text") <= SAMPLE_CHARS)
-    both = texts.join(open_, "doc_id")
-    out = []
-    for label in (0, 1):
-        out += [(r.text, label) for r in both.where(F.col("toxic") == label).orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(SAMPLE_DOCS).collect()]
-    return out
+    both = saved(texts.select("doc_id").distinct().join(open_, "doc_id").withColumn("h", F.xxhash64("doc_id")))
+    chosen = []
+    for label, n in sorted((r.toxic, r.n) for r in both.groupBy("toxic").agg(F.count("*").alias("n")).collect()):
+        rows = both.where(F.col("toxic") == label)
+        few = rows.where(F.col("h") < (1 << 64) * 2 * SAMPLE_DOCS // n - (1 << 63)) if n > 2 * SAMPLE_DOCS else rows
+        got = few.orderBy("h", "doc_id").limit(SAMPLE_DOCS).collect()
+        if len(got) < min(n, SAMPLE_DOCS):
+            got = rows.orderBy("h", "doc_id").limit(SAMPLE_DOCS).collect()
+        chosen += [(r.doc_id, r.toxic) for r in got]
+    if not chosen:
+        return []
+    # At most 2 * SAMPLE_DOCS ids: small enough to broadcast.
+    ids = docs.sparkSession.createDataFrame(chosen, "doc_id long, toxic int")
+    found = texts.join(F.broadcast(ids), "doc_id").groupBy("doc_id").agg(F.first("toxic").alias("toxic"), F.min("text").alias("text"))
+    return [(r.text, r.toxic) for r in found.orderBy("toxic", F.xxhash64("doc_id"), "doc_id").toLocalIterator()]
 
 
 def score(docs: DataFrame, crf: Crf) -> DataFrame:
