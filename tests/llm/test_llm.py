@@ -212,6 +212,24 @@ def test_toxicity(spark):
     assert np.mean([r.predicted == r.toxic for r in held]) > 0.85
 
 
+def test_toxicity_of_a_capped_sample(spark, monkeypatch):
+    """5 % of documents are toxic, the capped sample is half toxic: a word in 9 of 10 toxic and 1 of 10 clean documents is no proof."""
+    from vestige.llm import toxicity as X
+
+    monkeypatch.setattr(X, "SAMPLE_DOCS", 120)
+    rng = np.random.default_rng(4)
+    docs, labels = [], []
+    for i in range(4000):
+        toxic = int(i % 20 == 0)
+        words = [f"{'bcdfghjklmnp'[a]}o{'bcdfghjklmnp'[b]}a" for a, b in rng.integers(0, 12, (30, 2))]
+        words += ["qwerty"] * int(rng.random() < (0.9 if toxic else 0.1)) + ["zuxxing"] * int(rng.random() < (0.6 if toxic else 0.005))
+        docs.append((i, " ".join(rng.permutation(words))))
+        labels.append((i, 0, toxic))
+    found = X.toxicity(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).where("held_out").collect()
+    hit = sum(r.predicted and r.doc_id % 20 == 0 for r in found)
+    assert hit / sum(r.predicted for r in found) > 0.6 and hit / sum(r.doc_id % 20 == 0 for r in found) > 0.45
+
+
 def test_simhash(spark, texts):
     from xxhash import xxh64_intdigest
 

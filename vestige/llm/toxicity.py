@@ -151,8 +151,12 @@ class _Block:
         return np.concatenate([np.bincount(self.feature, g[self.cell], count), [g.sum()], self.observed.ravel() - pair.sum(axis=(1, 2))])
 
 
-def train(examples: list[tuple[str, int]]) -> Crf:
-    """A field from (text, label): features' log-odds tag the tokens of toxic documents, the tags train the field, the labels its calibration."""
+def train(examples: list[tuple[str, int]], drawn_from: dict[int, int] | None = None) -> Crf:
+    """A field from (text, label): features' log-odds tag the tokens of toxic documents, the tags train the field, the labels its calibration.
+
+    drawn_from: documents of each label that the examples are drawn from.  Each label has its share of these in the calibration, so a
+    probability means the same whether the sample holds all of them or is capped; without it, the examples are all there is.
+    """
     same: dict[str, str] = {}  # equal words are one object
     docs = [([same.setdefault(w, w) for w in _word.findall((t or "").lower())], int(y)) for t, y in examples]
     seen = [Counter(), Counter()]
@@ -197,18 +201,22 @@ def train(examples: list[tuple[str, int]]) -> Crf:
     crf = Crf({f: float(x[k]) for f, k in kept.items() if x[k]}, float(x[len(names)]), x[len(names) + 1 :].reshape(2, 2), np.zeros(5))
     table = np.array([crf.summary(crf.marginals(crf.evidence(words))[1], len(words)) for words, _ in docs])
     y = np.array([y for _, y in docs], float)
+    whole = [(drawn_from or {}).get(k, number[k]) for k in (0, 1)]
+    share = [w / max(1, sum(whole)) / max(1, k) * len(docs) for w, k in zip(whole, number)]  # 1.0 for both where nothing is capped
+    weight = np.where(y > 0, share[1], share[0])
     beta = np.zeros(5)
     for _ in range(25):  # Newton's steps, lightly damped
         p = 1 / (1 + np.exp(-np.clip(table @ beta, -30, 30)))
-        h = (table * (p * (1 - p))[:, None]).T @ table + 0.05 * np.eye(5)
-        beta = beta + np.linalg.solve(h, table.T @ (y - p) - 0.05 * beta)
+        h = (table * (weight * p * (1 - p))[:, None]).T @ table + 0.05 * np.eye(5)
+        beta = beta + np.linalg.solve(h, table.T @ (weight * (y - p)) - 0.05 * beta)
     crf.calibration = beta
     crf.memo = {}
     return crf
 
 
-def training_sample(docs: DataFrame, labels: DataFrame) -> list[tuple[str, int]]:
-    """Texts and labels of at most SAMPLE_DOCS documents of each label and SAMPLE_CHARS characters, none of them held out.
+def training_sample(docs: DataFrame, labels: DataFrame) -> tuple[list[tuple[str, int]], dict[int, int]]:
+    """(texts and labels of at most SAMPLE_DOCS documents of each label and SAMPLE_CHARS characters, none of them held out; the number of
+    documents of each label that they are drawn from).
 
     Only rows whose crc32(doc_id as text) mod 4 is not 2 are read; those with the least hashes of doc_id are taken.  A doc_id that several
     rows have counts once, with its least text.  Ids are chosen first, below a hash that about twice the wanted number lies under, so that
@@ -218,7 +226,8 @@ def training_sample(docs: DataFrame, labels: DataFrame) -> list[tuple[str, int]]
     texts = columns(docs, doc_id="long", text="string").where(F.length("text") <= SAMPLE_CHARS)
     both = saved(texts.select("doc_id").distinct().join(open_, "doc_id").withColumn("h", F.xxhash64("doc_id")))
     chosen = []
-    for label, n in sorted((r.toxic, r.n) for r in both.groupBy("toxic").agg(F.count("*").alias("n")).collect()):
+    whole = {r.toxic: r.n for r in both.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    for label, n in sorted(whole.items()):
         rows = both.where(F.col("toxic") == label)
         few = rows.where(F.col("h") < (1 << 64) * 2 * SAMPLE_DOCS // n - (1 << 63)) if n > 2 * SAMPLE_DOCS else rows
         got = few.orderBy("h", "doc_id").limit(SAMPLE_DOCS).collect()
@@ -226,11 +235,11 @@ def training_sample(docs: DataFrame, labels: DataFrame) -> list[tuple[str, int]]
             got = rows.orderBy("h", "doc_id").limit(SAMPLE_DOCS).collect()
         chosen += [(r.doc_id, r.toxic) for r in got]
     if not chosen:
-        return []
+        return [], whole
     # At most 2 * SAMPLE_DOCS ids: small enough to broadcast.
     ids = docs.sparkSession.createDataFrame(chosen, "doc_id long, toxic int")
     found = texts.join(F.broadcast(ids), "doc_id").groupBy("doc_id").agg(F.first("toxic").alias("toxic"), F.min("text").alias("text"))
-    return [(r.text, r.toxic) for r in found.orderBy("toxic", F.xxhash64("doc_id"), "doc_id").toLocalIterator()]
+    return [(r.text, r.toxic) for r in found.orderBy("toxic", F.xxhash64("doc_id"), "doc_id").toLocalIterator()], whole
 
 
 def score(docs: DataFrame, crf: Crf) -> DataFrame:
@@ -253,6 +262,6 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     A null doc_id is not held out.  Without labels of both kinds every score is the same.
     """
     prepare(docs.sparkSession)
-    rows = score(docs, train(training_sample(docs, labels)))
+    rows = score(docs, train(*training_sample(docs, labels)))
     held = F.coalesce(F.expr("crc32(cast(doc_id as string)) % 4 = 2"), F.lit(False))
     return rows.select("doc_id", held.alias("held_out"), "score", F.when(F.col("score") >= PREDICT, 1).otherwise(0).alias("predicted"), "spans")
