@@ -93,6 +93,24 @@ def test_lm_probabilities_sum_to_one():
     assert np.exp(log_probabilities(start(), context, np.arange(SIZE))).sum() == pytest.approx(1, abs=1e-4)
 
 
+def test_lm_scores_of_unnamed_tokens(spark):
+    """Of two unnamed tokens of one bucket in the same places, one that occurs 3 times is 3 times as likely as one that occurs once."""
+    from vestige.llm.lm import BUCKETS, NAMED, scores
+
+    named = [f"w{i:05d}" for i in range(NAMED)]
+    bucket = zlib.crc32(b"x0") % BUCKETS
+    often, once = "x0", next(w for w in (f"x{i}" for i in range(1, 100_000)) if zlib.crc32(w.encode()) % BUCKETS == bucket)
+    texts = [" ".join(named[i : i + 40]) for i in range(0, NAMED, 40)] * 4
+    texts += [f"w00001 w00002 {x} w00003 w00004" for x in (often, once, often, often)]
+    docs = documents(spark, texts).coalesce(2)
+    rows = {r.doc_id: r for r in scores(docs).collect()}
+    a, b = rows[len(texts) - 4], rows[len(texts) - 3]
+    assert a.log_likelihood - b.log_likelihood == pytest.approx(np.log(3), abs=1e-4)
+    assert b.mean == pytest.approx(b.log_likelihood / 5)
+    every = {r.doc_id: r.log_likelihood for r in scores(docs, every=1).collect()}  # no document is left out of training
+    assert every == pytest.approx({k: r.log_likelihood for k, r in rows.items()}, rel=1e-4)
+
+
 def distance(a, b):
     d = list(range(len(b) + 1))
     for i, x in enumerate(a):

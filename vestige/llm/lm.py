@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -16,8 +17,8 @@ NAMED, CLASSES, BUCKETS = 3840, 64, 256
 SIZE = NAMED + BUCKETS  # the outputs; SIZE / CLASSES in a class
 #: Words on either side that predict the one between, and the widths of the network.
 SIDE, EMBED, HIDDEN = 2, 12, 24
-#: Every so many documents, by hash, one is trained on: the training set grows with the corpus.  Rounds of averaging, tokens of a step.
-EVERY, ROUNDS, BATCH, RATE = 32, 2, 512, 0.01
+#: Every document is trained on.  Rounds of averaging, tokens of a step.
+EVERY, ROUNDS, BATCH, RATE = 1, 2, 512, 0.01
 #: Tokens that are scored at once, and weights of a row in which shards' weights are shuffled.
 BLOCK, SLICE = 16_384, 8_192
 
@@ -124,8 +125,8 @@ def train(model: dict[str, np.ndarray], context: np.ndarray, target: np.ndarray,
         model[k] -= RATE * g / np.sqrt(state[k])
 
 
-def vocabulary(docs: DataFrame) -> tuple[list[str], int]:
-    """(the NAMED most frequent tokens over every document, equal counts in order of their text; number of tokens)."""
+def vocabulary(docs: DataFrame) -> tuple[list[str], DataFrame]:
+    """(the NAMED most frequent tokens over every document, equal counts in order of their text; w and n of all other tokens)."""
 
     def count(batches):
         held: dict[str, int] = {}
@@ -140,13 +141,23 @@ def vocabulary(docs: DataFrame) -> tuple[list[str], int]:
 
     counts = saved(docs.select("text").mapInArrow(count, "w string, n long").groupBy("w").agg(F.sum("n").alias("n")))
     top = counts.orderBy(F.desc("n"), "w").limit(NAMED).collect()
-    return [r.w for r in top], counts.agg(F.sum("n")).first()[0] or 0
+    if len(top) < NAMED:
+        return [r.w for r in top], counts.limit(0)
+    n, w = F.lit(top[-1].n), F.lit(top[-1].w)
+    return [r.w for r in top], counts.where((F.col("n") < n) | ((F.col("n") == n) & (F.col("w") > w)))
+
+
+def within_buckets(others: DataFrame) -> DataFrame:
+    """w and log P(token | bucket) as p of the unnamed tokens: the token's count in its bucket's and one more, which all unseen tokens share."""
+    own = others.withColumn("bucket", F.crc32(F.col("w").cast("binary")) % BUCKETS)
+    sums = own.groupBy("bucket").agg(F.sum("n").alias("total"))
+    return own.join(F.broadcast(sums), "bucket").select("w", F.log(F.col("n") / (F.col("total") + 1)).alias("p"))
 
 
 def fit(docs: DataFrame, named: list[str], every: int = EVERY, rounds: int = ROUNDS) -> dict[str, np.ndarray]:
     """The network after some rounds in which each partition trains on its own documents and the weights are averaged by tokens.
 
-    Every every-th document by the hash of its text is trained on.  Weights move as SLICE-long rows, summed in two grouped steps, so no
+    With every above 1, only every every-th document by the hash of its text is trained on.  Weights move as SLICE-long rows, summed in two grouped steps, so no
     task holds those of all partitions; the driver receives one model.
     """
     spark = docs.sparkSession
@@ -194,14 +205,14 @@ def fit(docs: DataFrame, named: list[str], every: int = EVERY, rounds: int = ROU
 def scores(docs: DataFrame, every: int = EVERY) -> DataFrame:
     """A row for each row of docs: doc_id, n_tokens, log_likelihood (summed over the tokens, each given both sides), mean.
 
-    Null and empty texts have no tokens, a sum of 0 and a null mean.  Repeated rows score alike.  Where no document was drawn for training
-    (tiny tables), all are trained on; an empty table has no rows.
+    An unnamed token has its bucket's probability times its own share of the bucket.  Null and empty texts have no tokens, a sum of 0 and a
+    null mean.  Repeated rows score alike.  An empty table has no rows.
     """
     spark = prepare(docs.sparkSession)
-    own = columns(docs, doc_id="long", text="string")
-    named, total = vocabulary(own)
-    every = every if own.where(F.pmod(F.xxhash64("text"), F.lit(every)) == 0).limit(1).count() else 1
+    own = columns(docs, doc_id="long", text="string").withColumn("row", F.monotonically_increasing_id())
+    named, others = vocabulary(own)
     shared = spark.sparkContext.broadcast((Ids(named), fit(own, named, every)))
+    rare = pa.map_(pa.string(), pa.int64())
 
     def run(batches):
         ids, model = shared.value
@@ -209,9 +220,14 @@ def scores(docs: DataFrame, every: int = EVERY) -> DataFrame:
             texts = b.column("text").to_pylist()
             for i in range(0, len(texts), 32):
                 each = [ids.of(t) for t in texts[i : i + 32]]
+                unnamed = [list(Counter(w for w in tokens(t) if w not in ids.known).items()) for t in texts[i : i + 32]]
                 ll = log_probabilities(model, np.concatenate([contexts(x) for x in each]), np.concatenate(each))
                 n = np.array([len(x) for x in each])
                 total = np.diff(np.concatenate([[0.0], np.cumsum(ll)])[np.concatenate([[0], np.cumsum(n)])])
-                yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(i, 32), pa.array(n, pa.int64()), pa.array(total), pa.array([t / k if k else None for t, k in zip(total.tolist(), n.tolist())], pa.float64())], names=["doc_id", "n_tokens", "log_likelihood", "mean"])
+                yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(i, 32), b.column("row").slice(i, 32), pa.array(n, pa.int64()), pa.array(total), pa.array(unnamed, rare)], names=["doc_id", "row", "n_tokens", "named", "rare"])
 
-    return own.mapInArrow(run, "doc_id long, n_tokens long, log_likelihood double, mean double")
+    # Row numbers are of this pass, and the network runs once: both its parts are read from one table.
+    found = saved(own.mapInArrow(run, "doc_id long, row long, n_tokens long, named double, rare map<string,long>"))
+    shares = found.select("row", F.explode("rare").alias("w", "k")).join(within_buckets(others), "w").groupBy("row").agg(F.sum(F.col("k") * F.col("p")).alias("p"))
+    ll = F.col("named") + F.coalesce("p", F.lit(0.0))
+    return found.drop("rare").join(shares, "row", "left").select("doc_id", "n_tokens", ll.alias("log_likelihood"), F.when(F.col("n_tokens") > 0, ll / F.col("n_tokens")).alias("mean"))
