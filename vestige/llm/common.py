@@ -5,23 +5,33 @@ from __future__ import annotations
 import tempfile
 from uuid import uuid4
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 #: Rows of an Arrow batch that holds whole texts: bounds what a Python worker holds at once.
 TEXT_ROWS = 512
+#: Bytes of text whose words are coded at once; a longer text is coded alone.
+SLICE_BYTES = 4 << 20
 
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
 def prepare(spark: SparkSession) -> SparkSession:
-    """Bounds the Arrow batches (rows, in a session setting) and makes sure that checkpoint() has a folder.
+    """Bounds the Arrow batches (rows and bytes, in session settings) and makes sure that checkpoint() has a folder.
 
-    The folder is the cluster's ``spark.checkpoint.dir``; only where that is unset, as in tests, a temporary one is made.
+    The folder is the cluster's ``spark.checkpoint.dir``.  Only a local session without one, as in tests, gets a temporary folder: on a cluster
+    that folder would be on one machine, so a session without the setting is refused.
     """
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(TEXT_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 * SLICE_BYTES))
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="vestige-checkpoint-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="vestige-checkpoint-"))
     return spark
 
 
@@ -32,6 +42,36 @@ def saved(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Plans of these alone give each partition the same rows in the same order whenever they run.
+_STEADY = {"Project", "Filter", "SubqueryAlias", "LogicalRelation", "LocalRelation", "Union"}
+
+
+def _steady(plan) -> bool:
+    children = plan.children()
+    return plan.nodeName() in _STEADY and plan.deterministic() and all(_steady(children.apply(i)) for i in range(children.size()))
+
+
+def numbered(df: DataFrame, name: str = "row") -> DataFrame:
+    """df with a number for each row, the same in every branch of a plan and after a lost executor.
+
+    Numbers follow partitions and places in them.  A scan of files has these for good; anything else (a shuffle whose partitions are joined
+    at run time, Python code, a sample) is written once into the shared folder and read from there.
+    """
+    fixed = df if _steady(df._jdf.queryExecution().optimizedPlan()) else saved(df)
+    return fixed.withColumn(name, F.monotonically_increasing_id())
+
+
+def fresh(df: DataFrame, *wanted: str) -> list[str]:
+    """Names like the wanted ones that no column of df has."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in wanted:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def columns(df: DataFrame, **wanted: str) -> DataFrame:
     """The named columns alone, so that a caller's extra columns can't clash with an operator's own."""
     return df.select(*(F.col(f"`{name}`").cast(kind).alias(name) for name, kind in wanted.items()))
@@ -47,6 +87,38 @@ def text_words(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").split()
 
 
+def slices(texts: pa.Array, most: int = SLICE_BYTES):
+    """(first, part) over runs of texts of about that many bytes."""
+    size = np.asarray(pc.fill_null(pc.binary_length(texts), 0)).astype(np.int64)
+    run = (np.cumsum(size) - size) // most
+    cuts = [*np.flatnonzero(np.diff(run, prepend=-1)).tolist(), len(texts)]
+    for a, b in zip(cuts, cuts[1:]):
+        yield a, texts.slice(a, b - a)
+
+
+def coded(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str]]:
+    """(codes, ends, words): the words between ASCII white space of all texts as places in the list of different words; ends[i] is text i's last place.
+
+    Null texts have no words.
+    """
+    lists = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
+    words = lists.flatten().dictionary_encode()
+    codes, ends, different = words.indices.to_numpy(), lists.offsets.to_numpy()[1:] - lists.offsets[0].as_py(), words.dictionary.to_pylist()
+    if "" in different:  # white space at either end of a text
+        real = codes != different.index("")
+        ends = np.concatenate([[0], np.cumsum(real)])[ends]
+        codes = codes[real]
+    return codes, ends.astype(np.int64), different
+
+
+def gathered(pool: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """pool[starts[i] : starts[i] + sizes[i]] for all i, end to end."""
+    ends = np.cumsum(sizes)
+    n = int(ends[-1]) if len(ends) else 0
+    kind = np.int32 if max(n, len(pool)) < 1 << 31 else np.int64
+    return pool[np.repeat((starts - ends + sizes).astype(kind), sizes) + np.arange(n, dtype=kind)]
+
+
 def components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
     """(node, root): root is the least node of each connected component of the edges (a, b), both of one type that has an order.
 

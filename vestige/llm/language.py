@@ -6,7 +6,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import columns, prepare
+from .common import columns, fresh, numbered, prepare
 
 #: The languages told apart, in order of preference on ties, and the name of none of them.
 LANGUAGES = ("de", "en", "es", "fr")
@@ -140,6 +140,7 @@ def identify_all(docs: DataFrame, pages: DataFrame) -> DataFrame:
 def accepted_documents(docs: DataFrame) -> DataFrame:
     """docs without those of no language (junk, and null or empty texts); the others are unchanged, with all their columns."""
     prepare(docs.sparkSession)
-    keyed = docs.withColumn("__row", F.monotonically_increasing_id())
-    found = identify(document_rows(keyed, __row="long"), learn(docs))
-    return keyed.join(found.where(~F.col("accepted")).select("__row"), "__row", "left_anti").drop("__row")
+    (place,) = fresh(docs, "place")
+    keyed = numbered(docs, place)
+    found = identify(document_rows(keyed, **{place: "long"}), learn(docs))
+    return keyed.join(found.where(~F.col("accepted")).select(place), place, "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))

@@ -7,7 +7,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from .common import columns, components, prepare, saved
+from .common import columns, components, fresh, numbered, prepare, saved
 
 #: Edits within which two lines are one class; normalised characters below which lines are compared for equality alone.
 THRESHOLD, LEAST = 1, 8
@@ -267,7 +267,7 @@ def line_classes(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     class is what links reach.  Lines under LEAST characters have no links but equality.  The line kept is the class's first by (doc_id, row,
     line number), null ids last.  Null, empty and blank texts have no lines; an empty table has no rows; repeated rows count as rows.
     """
-    keyed = columns(docs, doc_id="long", text="string").withColumn("row", F.monotonically_increasing_id())
+    keyed = numbered(columns(docs, doc_id="long", text="string"))
     return _classes(keyed, threshold).drop("row", "class_row")
 
 
@@ -276,11 +276,12 @@ def without_repeated_lines(docs: DataFrame, threshold: int = THRESHOLD) -> DataF
 
     A null text stays null; a text of which no line is left is empty.
     """
-    keyed = docs.withColumn("__row", F.monotonically_increasing_id())
-    lines = _classes(keyed.select(F.col("doc_id").cast("long"), F.col("__row").alias("row"), F.col("text").cast("string")), threshold)
-    gone = lines.where(~F.col("kept")).groupBy(F.col("row").alias("__row")).agg(F.collect_set("line_no").alias("__gone"))
-    left = F.array_join(F.filter(F.split("text", "\n"), lambda line, i: ~F.array_contains("__gone", i)), "\n")
-    out = keyed.join(gone, "__row", "left").withColumn("text", F.when(F.col("__gone").isNull() | F.col("text").isNull(), F.col("text")).otherwise(left))
+    place, out_lines = fresh(docs, "place", "lines_out")
+    keyed = numbered(docs, place)
+    lines = _classes(keyed.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(place).alias("row"), F.col("text").cast("string").alias("text")), threshold)
+    gone = lines.where(~F.col("kept")).groupBy(F.col("row").alias(place)).agg(F.collect_set("line_no").alias(out_lines))
+    left = F.array_join(F.filter(F.split("text", "\n"), lambda line, i: ~F.array_contains(out_lines, i)), "\n")
+    out = keyed.join(gone, place, "left").withColumn("text", F.when(F.col(out_lines).isNull() | F.col("text").isNull(), F.col("text")).otherwise(left))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.coalesce(F.length("text").cast("long"), F.col("n_chars")))
     return out.select(*(F.col(f"`{c}`") for c in docs.columns))

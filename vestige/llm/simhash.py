@@ -10,7 +10,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import columns, components, lower_words, prepare
+from .common import columns, components, fresh, lower_words, numbered, prepare
 
 #: Bit ranges of the five groups of two-bit segments; two differing bits touch at most two, so three are always equal.
 GROUPS = ((0, 14), (14, 28), (28, 40), (40, 52), (52, 64))
@@ -108,15 +108,20 @@ def near_duplicates(docs: DataFrame, shingle: int = 3) -> DataFrame:
     return prints.join(named.join(ids, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
 
 
-def keep_one(docs: DataFrame, shingle: int = 3) -> DataFrame:
-    """docs without near-duplicates: of each component the row with the least (doc_id, place) stays, all its columns unchanged."""
+def keep_one(docs: DataFrame, shingle: int = 5) -> DataFrame:
+    """docs without near-duplicates: of each component the row with the least (doc_id, place) stays, all its columns unchanged.
+
+    Null and empty texts are one component.  Repeated rows are copies.  A null doc_id is never the least, if another is there.  A caller's
+    column names are free.
+    """
     prepare(docs.sparkSession)
-    keyed = docs.withColumn("__row", F.monotonically_increasing_id())
-    prints = fingerprints(columns(keyed, doc_id="long", __row="long", text="string"), shingle, ("doc_id", "__row")).checkpoint()
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("x"), "doc_id", "__row")).alias("first")
+    (place,) = fresh(docs, "place")
+    keyed = numbered(docs, place)
+    prints = fingerprints(keyed.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(place).alias("row"), F.col("text").cast("string").alias("text")), shingle, ("doc_id", "row")).checkpoint()
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("x"), "doc_id", "row")).alias("first")
     best, roots = prints.groupBy("fp").agg(first), classes(prints)
     merged = best.join(roots, best.fp == roots.node, "left").groupBy(F.coalesce("root", best.fp).alias("root")).agg(F.min("first").alias("first"))
-    return keyed.join(merged.select(F.col("first.__row").alias("__row")), "__row", "left_semi").drop("__row")
+    return keyed.join(merged.select(F.col("first.row").alias(place)), place, "left_semi").select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def op6(docs: DataFrame) -> DataFrame:
