@@ -9,20 +9,20 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from tokenizers import Tokenizer
 
-from .common import columns, prepare
-from .vocabulary import pretokens
+from .common import coded, columns, gathered, prepare, slices
+from .vocabulary import pretokens_of_each
 
 #: Tokens that are packed together; a task holds no more than this and one Arrow batch.
 BLOCK_TOKENS = 2_000_000
 #: Longest cut of what is left of a document beyond whole sequences.
 PIECE = 512
-#: Words whose ids a worker remembers before it starts anew.
-MEMORY = 1_500_000
-
+#: Pre-tokens whose ids a worker remembers before it starts anew: about 50 MB.
+MEMORY = 300_000
 
 
 def differencing(sizes: np.ndarray, k: int) -> np.ndarray:
@@ -68,7 +68,10 @@ def differencing(sizes: np.ndarray, k: int) -> np.ndarray:
 
 def windows(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, int]:
     """The window of each item (none over capacity) and their number, which rises whenever a window's sum exceeds the capacity."""
-    k = max(1, -(-int(sizes.sum()) // capacity))
+    total = int(sizes.sum())
+    k = max(1, -(-total // capacity))
+    if len(sizes) and k > 1 and k * capacity - total < sizes.max():  # so full that no division is likely to fit
+        k += 1
     while True:
         part = differencing(sizes, k)
         if len(sizes) == 0 or np.bincount(part, sizes, k).max() <= capacity:
@@ -77,43 +80,60 @@ def windows(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, int]:
 
 
 class _Ids:
-    """Ids of whole texts as bytes (unsigned, little-endian, 32 bits).
+    """Ids of whole texts.
 
-    Each pre-token has its own ids, which are remembered.  Unknown ones go to the library many at a time, as one text, and its offsets tell
-    them apart.  Texts with a special string go to the library as they are.
+    Texts are cut at white space, which no pre-token crosses, and each different word of a run of texts is looked at once.  The ids of its
+    pre-tokens are remembered; unknown ones go to the library many at a time, as one text: each ends with the only ids that end a word, which
+    tell them apart.  Texts with a special string go to the library as they are.
     """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
-        self.tokenizer, self.words = Tokenizer.from_file(path), {}
+        self.tokenizer = Tokenizer.from_file(path)
+        names = self.tokenizer.get_vocab(with_added_tokens=False)
+        end = self.tokenizer.model.end_of_word_suffix
+        self.last = np.zeros(max(names.values()) + 1, bool)
+        self.last[[i for name, i in names.items() if name.endswith(end)]] = True
+        self.clear()
 
-    def ask(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32).tobytes()
+    def clear(self) -> None:
+        self.known: dict[str, int] = {"\n": -1}
+        self.pool, self.start, self.size = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     def learn(self, new: list[str]) -> None:
+        pools = [self.pool]
         for i in range(0, len(new), 5000):
             some = new[i : i + 5000]
-            e = self.tokenizer.encode(" ".join(some), add_special_tokens=False)
-            starts = np.cumsum([0, *(len(w) + 1 for w in some)])
-            cut = np.searchsorted(np.array([o[0] for o in e.offsets]), starts) * 4
-            raw = np.array(e.ids, np.uint32).tobytes()
-            self.words.update((w, raw[a:b]) for w, a, b in zip(some, cut.tolist(), cut[1:].tolist()))
-
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        if len(self.words) > MEMORY:
-            self.words.clear()
-        get, rows, missing = self.words.get, [], set()
-        for text in texts:
-            words = None if text and "<|" in text else pretokens(text or "")
-            parts = [self.ask(text)] if words is None else list(map(get, words))
-            if whole := words is None or all(parts):
-                words = b"".join(parts)
-            else:
-                missing.update(w for w, x in zip(words, parts) if x is None)
-            rows.append((whole, words))
-        if missing:
-            self.learn(list(missing))
-        return [words if whole else b"".join(map(get, words)) for whole, words in rows]
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, np.uint32)
+            ends = np.flatnonzero(self.last[ids]) + 1
+            if len(ends) != len(some):
+                raise AssertionError("a pre-token has more ends than one")
+            self.start = np.concatenate([self.start, sum(map(len, pools)) + np.concatenate([[0], ends[:-1]])])
+            self.size = np.concatenate([self.size, np.diff(ends, prepend=0)])
+            self.known.update(zip(some, range(len(self.known) - 1, len(self.known) - 1 + len(some))))
+            pools.append(ids)
+        self.pool = np.concatenate(pools)
+
+    def encode(self, texts: pa.Array) -> list[np.ndarray]:
+        """The ids of each text."""
+        if len(self.known) > MEMORY:
+            self.clear()
+        special = pc.match_substring(texts, "<|").fill_null(False)
+        odd = np.flatnonzero(np.asarray(special))
+        codes, ends, different = coded(pc.if_else(special, "", texts))
+        parts = pretokens_of_each(different)
+        self.learn(list(set(parts).difference(self.known)))
+        number = np.fromiter(map(self.known.__getitem__, parts), np.int64, len(parts))
+        inside = number >= 0
+        edge = np.concatenate([[0], np.cumsum(inside)[~inside]])
+        number = number[inside]
+        each = np.concatenate([[0], np.cumsum(self.size[number])])[edge]  # where each word's ids begin among those of all different words
+        size = np.diff(each)[codes]
+        ids = gathered(gathered(self.pool, self.start[number], self.size[number]), each[codes], size)
+        out = np.split(ids, np.concatenate([[0], np.cumsum(size)])[ends][:-1]) if len(texts) else []
+        for i in odd.tolist():
+            out[i] = np.array(self.tokenizer.encode(texts[i].as_py(), add_special_tokens=False).ids, np.uint32)
+        return out
 
 
 @lru_cache(maxsize=2)
@@ -121,12 +141,12 @@ def _ids(path: str) -> _Ids:
     return _Ids(path)
 
 
-def pack_block(ids: list[bytes], capacity: int) -> list[tuple[int, int, int, int, int]]:
+def pack_block(ids: list[np.ndarray], capacity: int) -> list[tuple[int, int, int, int, int]]:
     """(document, start, length, window, offset) for every piece of the documents' ids; windows count from 0."""
     pieces, whole = [], 0
     out = []
     for d, x in enumerate(ids):
-        n = len(x) // 4
+        n = len(x)
         full = n // capacity
         out += [(d, i * capacity, capacity, whole + i, 0) for i in range(full)]
         whole += full
@@ -150,13 +170,13 @@ def pack(docs: DataFrame, path: str, capacity: int = 4096, stop: int = 2) -> Dat
     """
     prepare(docs.sparkSession)
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
-    last = np.uint32(stop).tobytes()
+    last = np.array([stop], np.uint32)
 
     def flush(doc_ids, ids, base):
         rows = pack_block(ids, capacity)
         cols = [[], [], [], [], [], [], []]
         for d, s, n, w, o in rows:
-            for c, v in zip(cols, (doc_ids[d], s, n, zlib.crc32(memoryview(ids[d])[4 * s : 4 * (s + n)]), len(ids[d]) // 4, base + w, o)):
+            for c, v in zip(cols, (doc_ids[d], s, n, zlib.crc32(ids[d][s : s + n]), len(ids[d]), base + w, o)):
                 c.append(v)
         return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=names), base + 1 + max((r[3] for r in rows), default=-1)
 
@@ -164,12 +184,12 @@ def pack(docs: DataFrame, path: str, capacity: int = 4096, stop: int = 2) -> Dat
         encoder, base = _ids(path), TaskContext.get().partitionId() << 32
         doc_ids, ids, held = [], [], 0
         for b in batches:
-            texts, keys = b.column("text").to_pylist(), b.column("doc_id").to_pylist()
-            for i in range(0, len(texts), 64):
-                new = [x + last for x in encoder.encode(texts[i : i + 64])]
-                doc_ids += keys[i : i + 64]
+            keys = b.column("doc_id").to_pylist()
+            for i, texts in slices(b.column("text")):
+                new = [np.concatenate([x, last]) for x in encoder.encode(texts)]
+                doc_ids += keys[i : i + len(new)]
                 ids += new
-                held += sum(map(len, new)) // 4
+                held += sum(map(len, new))
                 if held >= BLOCK_TOKENS:
                     out, base = flush(doc_ids, ids, base)
                     yield out

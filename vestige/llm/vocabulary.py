@@ -15,7 +15,8 @@ _words = regex.compile(PRETOKEN).findall
 #: The same pattern for lower-cased texts of Latin letters alone, which the standard library's faster matcher can hold as ranges.
 _BEYOND = re.compile("[^\x00-\u024f]").search
 _LETTERS, _NUMBERS = "a-z\xaa\xb5\xba\xdf-\xf6\xf8-\u024f", "0-9\xb2\xb3\xb9\xbc-\xbe"
-_latin = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[{_NUMBERS}]|[^\t-\r \x85\xa0{_LETTERS}{_NUMBERS}]+").findall
+_LATIN = f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[{_NUMBERS}]|[^\t-\r \x85\xa0{_LETTERS}{_NUMBERS}]+"
+_latin, _latin_lines, _lines = re.compile(_LATIN).findall, re.compile(_LATIN + "|\n").findall, regex.compile(PRETOKEN + r"|\n").findall
 
 
 def normalise(text: str) -> str:
@@ -32,6 +33,12 @@ def pretokens(text: str) -> list[str]:
     return _words(text) if _BEYOND(text) else _latin(text)
 
 
+def pretokens_of_each(words: list[str]) -> list[str]:
+    """The pre-tokens of all words, which hold no line feed; a line feed stands after those of each word."""
+    text = normalise("\n".join([*words, ""]))
+    return _lines(text) if _BEYOND(text) else _latin_lines(text)
+
+
 class Vocabulary:
     """Ids by byte string, with the merges' ranks; the last byte of a word is a symbol of its own."""
 
