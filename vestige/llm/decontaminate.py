@@ -6,11 +6,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import columns, prepare
+from .common import columns, fresh, prepare, saved
 
 #: Words of training text in a shard (a longer document is a shard of its own), rows of the suffix array between samples,
-#: occurrences located at a time, and bytes of benchmark text that are searched for in one pass over the shards.
-SHARD_WORDS, SAMPLE, LOCATE, BLOCK_BYTES = 2_000_000, 16, 1 << 20, 32 << 20
+#: occurrences located at a time, and bytes of benchmark text that are searched for in one pass over the shards: about 60 times as many bytes in
+#: each worker, for a window's 13 words at 4 bytes.
+SHARD_WORDS, SAMPLE, LOCATE, BLOCK_BYTES = 400_000, 16, 1 << 18, 4 << 20
 
 _MAP = bytes(c if 0x30 <= c <= 0x39 or 0x61 <= c <= 0x7A or c >= 0x80 else c + 32 if 65 <= c <= 90 else 32 for c in range(256))
 
@@ -21,21 +22,29 @@ def words(text: str | None) -> list[bytes]:
 
 
 class Queries:
-    """Windows of benchmark items over their own vocabulary (ids from 1); 0 is every other word."""
+    """Windows of benchmark items over their own vocabulary (ids from 1); 0 is every other word.  Each window's items are numbers in names."""
 
     def __init__(self, items: list[tuple[str, str | None]], window: int = 13):
         self.vocabulary: dict[bytes, int] = {}
-        found: dict[tuple[int, ...], set[str]] = {}
+        self.names = sorted({item for item, _ in items})
+        number = {name: k for k, name in enumerate(self.names)}
+        rows, own = [np.zeros((0, window), np.int32)], [np.zeros(0, np.int32)]
         for item, text in items:
-            ids = [self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words(text)]
-            for i in range(max(1, len(ids) - window + 1) if ids else 0):
-                found.setdefault(tuple(ids[i : i + window]), set()).add(item)
-        self.windows = sorted(found)
-        self.items = [sorted(found[w]) for w in self.windows]
-        self.lengths = np.array([len(w) for w in self.windows], np.int64)
-        self.matrix = np.zeros((len(self.windows), window), np.int32)
-        for k, w in enumerate(self.windows):
-            self.matrix[k, : len(w)] = w
+            ids = np.fromiter((self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words(text)), np.int32)
+            if len(ids):
+                some = np.lib.stride_tricks.sliding_window_view(ids, window) if len(ids) >= window else np.pad(ids, (0, window - len(ids)))[None]
+                rows.append(some)
+                own.append(np.full(len(some), number[item], np.int32))
+        every, owner = np.concatenate(rows), np.concatenate(own)
+        self.matrix, which = np.unique(every, axis=0, return_inverse=True)
+        self.lengths = (self.matrix > 0).sum(axis=1)
+        pairs = np.unique(which.ravel().astype(np.int64) * max(1, len(self.names)) + owner)
+        self.owners = (pairs % max(1, len(self.names))).astype(np.int32)
+        self.first = np.searchsorted(pairs // max(1, len(self.names)), np.arange(len(self.matrix) + 1))
+
+    def items(self, windows: np.ndarray) -> np.ndarray:
+        """The numbers of the items that have some of the windows."""
+        return np.unique(np.concatenate([self.owners[self.first[w] : self.first[w + 1]] for w in windows.tolist()]))
 
 
 def suffix_array(text: np.ndarray) -> np.ndarray:
@@ -112,7 +121,7 @@ class FMIndex:
 
     def search(self, q: Queries) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(window, low, high): windows that occur, with their rows of the suffix array."""
-        alive = np.arange(len(q.windows))
+        alive = np.arange(len(q.matrix))
         lo, hi = np.zeros(len(alive), np.int64), np.full(len(alive), self.n, np.int64)
         for step in range(q.matrix.shape[1]):
             at = q.lengths[alive] - 1 - step
@@ -143,12 +152,12 @@ class FMIndex:
         return out
 
 
-def search_shard(symbols: list[np.ndarray], q: Queries) -> tuple[list[np.ndarray], list[set[str]]]:
+def search_shard(symbols: list[np.ndarray], q: Queries) -> tuple[list[np.ndarray], list[list[str]]]:
     """For each document of a shard (its words' ids): which words are hit, and the items whose windows occur."""
     sizes = np.array([len(s) for s in symbols], np.int64)
     ends = np.cumsum(sizes)
-    every = np.concatenate([*symbols, np.zeros(0, np.int32)]).astype(np.int64)
-    doc = np.repeat(np.arange(len(symbols)), sizes)
+    every = np.concatenate([*symbols, np.zeros(0, np.int32)])
+    doc = np.repeat(np.arange(len(symbols), dtype=np.int32), sizes)
     # A run of words that no window holds, and a change of document, is one 0.
     fence = np.zeros(len(every), bool)
     fence[ends[:-1][ends[:-1] < len(every)]] = True
@@ -157,9 +166,9 @@ def search_shard(symbols: list[np.ndarray], q: Queries) -> tuple[list[np.ndarray
     text, place = every[where], where
     breaks = np.flatnonzero(fence[where] & (text > 0))
     text, place = np.insert(text, breaks, 0), np.insert(place, breaks, -1)
-    cover = np.zeros(len(every) + 1, np.int64)
-    items: list[set[str]] = [set() for _ in symbols]
-    if len(text) and len(q.windows):
+    cover = np.zeros(len(every) + 1, np.int32)
+    pairs = np.zeros(0, np.int64)
+    if len(text) and len(q.matrix):
         index = FMIndex(text)
         window, lo, hi = index.search(q)
         count = hi - lo
@@ -170,9 +179,10 @@ def search_shard(symbols: list[np.ndarray], q: Queries) -> tuple[list[np.ndarray
             at = place[index.locate(rows)]
             np.add.at(cover, at, 1)
             np.add.at(cover, at + q.lengths[window[which]], -1)
-            pairs = np.unique(doc[at] * len(q.windows) + window[which])
-            for d, w in zip((pairs // len(q.windows)).tolist(), (pairs % len(q.windows)).tolist()):
-                items[d].update(q.items[w])
+            pairs = np.union1d(pairs, doc[at].astype(np.int64) * len(q.matrix) + window[which])
+    items: list[list[str]] = [[] for _ in symbols]
+    for some in np.split(pairs, np.flatnonzero(np.diff(pairs // max(1, len(q.matrix)))) + 1) if len(pairs) else []:
+        items[int(some[0]) // len(q.matrix)] = [q.names[k] for k in q.items(some % len(q.matrix)).tolist()]
     hit = np.cumsum(cover[:-1]) > 0
     return np.split(hit, ends[:-1]) if len(symbols) else [], items
 
@@ -184,17 +194,20 @@ def spans(hit: np.ndarray) -> list[dict]:
 
 
 _SPANS = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
-_ADDED = "__n_words long, __spans array<struct<start:long,stop:long>>, __items array<string>"
+_FOUND = ("n_words", "spans", "items")
+_KINDS = ("long", "array<struct<start:long,stop:long>>", "array<string>")
 
 
-def annotate(docs: DataFrame, benchmark: DataFrame, window: int = 13) -> DataFrame:
-    """docs with __n_words, __spans (merged ranges of hit words) and __items (ids of items with occurring windows, sorted).
+def annotate(docs: DataFrame, benchmark: DataFrame, window: int = 13) -> tuple[DataFrame, list[str]]:
+    """docs with three columns more, and their names: n_words, spans (merged ranges of hit words), items (ids whose windows occur, sorted).
 
-    A shard is a run of a partition's rows; nothing is shuffled.  The benchmark is the stated query set: it goes to the tasks in blocks of
-    about BLOCK_BYTES by item, each a further pass over the rows that adds to the same columns, so what is broadcast is bounded.
-    Null texts and items have no words; an item of fewer words than a window is one window; a null item_id is named "null".
+    The names get an underscore more where docs has them.  A shard is a run of a partition's rows; nothing is shuffled.  The benchmark is the
+    stated query set: it goes to the tasks in blocks of about BLOCK_BYTES by item, each a further pass over the rows that adds to the same
+    columns.  A pass is written before the next one, so one block is in the workers at a time, and its broadcast is bounded.  Null texts and
+    items have no words; an item of fewer words than a window is one window; a null item_id is named "null".
     """
     spark = prepare(docs.sparkSession)
+    names = fresh(docs, *_FOUND)
     bench = columns(benchmark, item_id="string", text="string").na.fill("null", ["item_id"])
     size = bench.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, -(-size // BLOCK_BYTES))
@@ -202,15 +215,14 @@ def annotate(docs: DataFrame, benchmark: DataFrame, window: int = 13) -> DataFra
     for block in range(blocks):
         some = bench.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == block).collect()
         shared = spark.sparkContext.broadcast(Queries([tuple(r) for r in some], window))
-        out = _pass(out, shared, first=block == 0)
-    return out
+        out = _pass(saved(out) if block else out, shared, names, first=block == 0)
+    return out, names
 
 
-def _pass(rows: DataFrame, shared, first: bool) -> DataFrame:
-    base = [(f.name, f.dataType.simpleString()) for f in rows.schema.fields]
-    kinds = base if first else base[:-3]
-    schema = ", ".join(f"`{n}` {k}" for n, k in kinds) + ", " + _ADDED
-    names = [n for n, _ in kinds] + ["__n_words", "__spans", "__items"]
+def _pass(rows: DataFrame, shared, found: list[str], first: bool) -> DataFrame:
+    kinds = [(f.name, f.dataType.simpleString()) for f in rows.schema.fields if first or f.name not in found]
+    schema = ", ".join(f"`{n}` {k}" for n, k in [*kinds, *zip(found, _KINDS)])
+    names = [*(n for n, _ in kinds), *found]
 
     def run(batches):
         q = shared.value
@@ -222,13 +234,13 @@ def _pass(rows: DataFrame, shared, first: bool) -> DataFrame:
             at = 0
             for b in held:
                 n = b.num_rows
-                own, found = hits[at : at + n], items[at : at + n]
+                own, some = hits[at : at + n], items[at : at + n]
                 if not first:
-                    for h, old, more, i in zip(own, b.column("__spans").to_pylist(), b.column("__items").to_pylist(), range(n)):
-                        found[i] |= set(more)
+                    for h, old, more, i in zip(own, b.column(found[1]).to_pylist(), b.column(found[2]).to_pylist(), range(n)):
+                        some[i] = sorted({*some[i], *more})
                         for s in old:
                             h[s["start"] : s["stop"]] = True
-                cols = b.columns[: len(kinds)] + [pa.array([len(h) for h in own], pa.int64()), pa.array([spans(h) for h in own], _SPANS), pa.array([sorted(f) for f in found], pa.list_(pa.string()))]
+                cols = b.columns[: len(kinds)] + [pa.array([len(h) for h in own], pa.int64()), pa.array([spans(h) for h in own], _SPANS), pa.array(some, pa.list_(pa.string()))]
                 yield pa.RecordBatch.from_arrays(cols, names=names)
                 at += n
 
@@ -249,17 +261,24 @@ def _pass(rows: DataFrame, shared, first: bool) -> DataFrame:
     return rows.mapInArrow(run, schema)
 
 
-def _measured(docs: DataFrame, benchmark: DataFrame, window: int) -> DataFrame:
-    n_hit = F.aggregate("__spans", F.lit(0).cast("long"), lambda n, s: n + s["stop"] - s["start"])
-    return annotate(docs, benchmark, window).withColumn("__n_hit", n_hit).withColumn("__bad", (F.col("__n_hit") > 0) & (20 * F.col("__n_hit") >= F.col("__n_words")))
+def _measured(docs: DataFrame, benchmark: DataFrame, window: int) -> tuple[DataFrame, list[str]]:
+    """annotate()'s rows and names, with two columns and names more: n_hit and bad."""
+    rows, names = annotate(docs, benchmark, window)
+    hit, bad = fresh(rows, "n_hit", "bad")
+    n_hit = F.aggregate(names[1], F.lit(0).cast("long"), lambda n, s: n + s["stop"] - s["start"])
+    return rows.withColumn(hit, n_hit).withColumn(bad, (F.col(hit) > 0) & (20 * F.col(hit) >= F.col(names[0]))), [*names, hit, bad]
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 13) -> DataFrame:
-    """A row for each row of docs: doc_id, n_words, n_hit, n_items, items_sha256, contaminated, items, spans."""
-    rows = _measured(columns(docs, doc_id="long", text="string"), benchmark, window)
-    return rows.select("doc_id", F.col("__n_words").alias("n_words"), F.col("__n_hit").alias("n_hit"), F.size("__items").cast("long").alias("n_items"), F.sha2(F.concat_ws(",", "__items"), 256).alias("items_sha256"), F.col("__bad").alias("contaminated"), F.col("__items").alias("items"), F.col("__spans").alias("spans"))
+    """A row for each row of docs: doc_id, n_words, n_hit, n_items, items_sha256, contaminated, items, spans.
+
+    Repeated rows are judged alike; an empty table has no rows; an empty benchmark hits nothing.
+    """
+    rows, _ = _measured(columns(docs, doc_id="long", text="string"), benchmark, window)
+    return rows.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), F.col("bad").alias("contaminated"), "items", "spans")
 
 
 def without_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 13) -> DataFrame:
-    """docs without the contaminated ones; the others are unchanged, with all their columns."""
-    return _measured(docs, benchmark, window).where(~F.col("__bad")).select(*(F.col(f"`{c}`") for c in docs.columns))
+    """docs without the contaminated ones; the others are unchanged, with all their columns, whatever these are named."""
+    rows, names = _measured(docs, benchmark, window)
+    return rows.where(~F.col(names[-1])).select(*(F.col(f"`{c}`") for c in docs.columns))
