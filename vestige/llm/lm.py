@@ -4,25 +4,30 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from .common import columns, prepare, saved
+from .common import coded, columns, gathered, numbered, prepare, saved, slices
 
 #: Words known by name (the most frequent), classes of the two-step output, buckets that all other words share by hash.
-NAMED, CLASSES, BUCKETS = 3840, 64, 256
+NAMED, CLASSES, BUCKETS = 1984, 32, 64
 SIZE = NAMED + BUCKETS  # the outputs; SIZE / CLASSES in a class
 #: Words on either side that predict the one between, and the widths of the network.
 SIDE, EMBED, HIDDEN = 2, 12, 24
-#: Every document is trained on.  Rounds of averaging, tokens of a step.
-EVERY, ROUNDS, BATCH, RATE = 1, 2, 512, 0.01
+#: Rounds over all documents after which weights are averaged, tokens of a step, and its size.
+ROUNDS, BATCH, RATE = 1, 4096, 0.05
+#: Unnamed tokens, the most frequent first, whose shares of their buckets every worker has (16 bytes each); those of the others are joined.
+SHARED = 1 << 17
 #: Tokens that are scored at once, and weights of a row in which shards' weights are shuffled.
-BLOCK, SLICE = 16_384, 8_192
+BLOCK, SLICE = 8_192, 8_192
+#: Bytes of text whose tokens are a row of the table of tokens.
+PART_BYTES = 1 << 20
 
 _words = re.compile(r"\w+|[^\w\s]").findall
+_marked = re.compile(r"\w+|[^\w\s]|\n").findall
 _INSIDE = SIZE // CLASSES
 
 
@@ -31,27 +36,75 @@ def tokens(text: str | None) -> list[str]:
     return _words((text or "").lower())
 
 
+def token_hash(token: str) -> int:
+    """What a token is known by: 64 bits of XXH3, signed."""
+    h = xxhash.xxh3_64_intdigest(token.encode("utf-8", "surrogatepass"))
+    return h - (1 << 64) if h >> 63 else h
+
+
+def tokenised(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(codes, ends, hashes): the tokens of some texts, end to end, as places in the hashes of their different tokens; ends[i] is text i's last place.
+
+    No token crosses white space, so each different word between white space is looked at once.
+    """
+    words, ends, different = coded(texts)
+    parts = _marked("\n".join([*different, ""]).lower())
+    known = dict.fromkeys(["\n", *parts])
+    known.update(zip(known, range(-1, len(known) - 1)))
+    places = np.fromiter(map(known.__getitem__, parts), np.int32, len(parts))
+    real = places >= 0
+    edge = np.concatenate([[0], np.cumsum(real)[~real]])
+    size = np.diff(edge)[words]
+    codes = gathered(places[real], edge[:-1][words], size)
+    del known["\n"]
+    return codes, np.concatenate([[0], np.cumsum(size)])[ends], np.fromiter(map(token_hash, known), np.int64, len(known))
+
+
 class Ids:
-    """Ids of tokens: named ones, hash buckets for the rest, and SIZE for what is beyond a text's ends."""
+    """Ids of tokens by their hashes: named ones, and hash buckets for the rest; SIZE is what is beyond a text's ends.
+
+    shares: log P(token | bucket) of the tokens after the named ones, in order of their hashes.
+    """
 
-    def __init__(self, named: list[str]):
-        self.known = {w: i for i, w in enumerate(named)}
+    def __init__(self, named: np.ndarray, shared: np.ndarray, shares: np.ndarray):
+        self.order = np.argsort(named, kind="stable")
+        self.named, self.shared, self.shares = named[self.order], shared, shares
 
-    def of(self, text: str | None) -> np.ndarray:
-        words = tokens(text)
-        get = self.known.get
-        out = np.fromiter((get(w, -1) for w in words), np.int32, len(words))
-        for i in np.flatnonzero(out < 0).tolist():
-            out[i] = NAMED + zlib.crc32(words[i].encode("utf-8", "surrogatepass")) % BUCKETS
+    def of(self, hashes: np.ndarray) -> np.ndarray:
+        at = np.searchsorted(self.named, hashes)
+        hit = np.zeros(len(hashes), bool)
+        hit[at < len(self.named)] = self.named[at[at < len(self.named)]] == hashes[at < len(self.named)]
+        out = (NAMED + bucket_of(hashes)).astype(np.int32)
+        out[hit] = self.order[at[hit]]
         return out
 
+    def share(self, hashes: np.ndarray) -> np.ndarray:
+        """log P(token | bucket) of unnamed tokens; NaN where it isn't shared."""
+        out = np.full(len(hashes), np.nan)
+        at = np.searchsorted(self.shared, hashes)
+        ok = np.flatnonzero(at < len(self.shared))
+        ok = ok[self.shared[at[ok]] == hashes[ok]]
+        out[ok] = self.shares[at[ok]]
+        return out
+
+
+def bucket_of(hashes: np.ndarray) -> np.ndarray:
+    return hashes.view(np.uint64) % np.uint64(BUCKETS)
+
 
 SHAPES = {"embed": (SIZE + 1, EMBED), "w1": (2 * SIDE * EMBED, HIDDEN), "b1": (HIDDEN,), "wc": (HIDDEN, CLASSES), "bc": (CLASSES,), "wi": (CLASSES, HIDDEN, _INSIDE), "bi": (CLASSES, _INSIDE)}
 
 
-def start() -> dict[str, np.ndarray]:
+def start(counts: np.ndarray | None = None) -> dict[str, np.ndarray]:
+    """The untrained network: without its sides, an output is as likely as its counts (and one more each) make it."""
     rng = np.random.default_rng(7)
-    return {k: (rng.normal(0, 0.1, s) if len(s) > 1 and k != "bi" else np.zeros(s)).astype(np.float32) for k, s in SHAPES.items()}
+    model = {k: (rng.normal(0, 0.1, s) if len(s) > 1 and k != "bi" else np.zeros(s)).astype(np.float32) for k, s in SHAPES.items()}
+    if counts is not None:
+        table = np.log(counts.reshape(_INSIDE, CLASSES).T + 1.0)
+        model["bi"], model["bc"] = table.astype(np.float32), np.log(np.exp(table).sum(axis=1)).astype(np.float32)
+        model["bc"] -= model["bc"].max()
+        model["bi"] -= model["bi"].max(axis=1, keepdims=True)
+    return model
 
 
 def pack(model: dict[str, np.ndarray]) -> np.ndarray:
@@ -67,119 +120,184 @@ def unpack(flat: np.ndarray) -> dict[str, np.ndarray]:
     return out
 
 
-def _log_softmax(x: np.ndarray) -> np.ndarray:
-    x = x - x.max(axis=1, keepdims=True)
-    return x - np.log(np.exp(x).sum(axis=1, keepdims=True))
+def contexts(ids: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """The SIDE ids before and after each position of texts that stand end to end."""
+    n = len(ids)
+    first = np.repeat(np.concatenate([[0], ends[:-1]]), np.diff(ends, prepend=0))
+    last = np.repeat(ends, np.diff(ends, prepend=0))
+    at = np.arange(n)
+    out = np.full((n, 2 * SIDE), SIZE, np.int32)
+    for k, d in enumerate([*range(-SIDE, 0), *range(1, SIDE + 1)]):
+        to = at + d
+        inside = (to >= first) & (to < last)
+        out[inside, k] = ids[to[inside]]
+    return out
 
 
-def contexts(ids: np.ndarray) -> np.ndarray:
-    """The SIDE ids before and after each position of one text."""
-    wide = np.concatenate([np.full(SIDE, SIZE, np.int32), ids, np.full(SIDE, SIZE, np.int32)])
-    n = len(ids)
-    return np.stack([wide[k : k + n] for k in range(2 * SIDE + 1) if k != SIDE], axis=1)
+def _hidden(model: dict[str, np.ndarray], context: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    e = model["embed"][context].reshape(len(context), -1)
+    return e, np.tanh(e @ model["w1"] + model["b1"])
+
+
+def _by_class(target: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
+    """(order, runs): rows ordered by the target's class, and (class, first, end) of each class that has rows."""
+    order = np.argsort((target % CLASSES).astype(np.uint16), kind="stable")
+    cuts = np.searchsorted((target % CLASSES)[order], np.arange(CLASSES + 1)).tolist()
+    return order, [(c, a, b) for c, (a, b) in enumerate(zip(cuts, cuts[1:])) if b > a]
 
 
 def log_probabilities(model: dict[str, np.ndarray], context: np.ndarray, target: np.ndarray) -> np.ndarray:
     """log P(target | both sides): the target's class, then the target within it.  Classes take every CLASSES-th id."""
     out = np.empty(len(target))
-    group, member = target % CLASSES, target // CLASSES
-    for a in range(0, len(target), BLOCK):
-        s = slice(a, a + BLOCK)
-        h = np.tanh(model["embed"][context[s]].reshape(-1, 2 * SIDE * EMBED) @ model["w1"] + model["b1"])
-        g = group[s]
-        got = _log_softmax(h @ model["wc"] + model["bc"])[np.arange(len(g)), g].astype(np.float64)
-        order = np.argsort(g, kind="stable")
-        cuts = np.searchsorted(g[order], np.arange(CLASSES + 1))
-        for c in range(CLASSES):
-            rows = order[cuts[c] : cuts[c + 1]]
-            if len(rows):
-                got[rows] += _log_softmax(h[rows] @ model["wi"][c] + model["bi"][c])[np.arange(len(rows)), member[s][rows]]
-        out[s] = got
+    for i in range(0, len(target), BLOCK):
+        order, runs = _by_class(target[i : i + BLOCK])
+        goal = target[i : i + BLOCK][order]
+        _, h = _hidden(model, context[i : i + BLOCK][order])
+        every = np.arange(len(goal))
+        x = h @ model["wc"]
+        x += model["bc"]
+        got = x[every, goal % CLASSES] - np.log(np.exp(x, out=x).sum(axis=1))
+        for c, a, b in runs:
+            x = h[a:b] @ model["wi"][c]
+            x += model["bi"][c]
+            got[a:b] += x[every[: b - a], goal[a:b] // CLASSES] - np.log(np.exp(x, out=x).sum(axis=1))
+        out[i + order] = got
     return out
 
 
 def train(model: dict[str, np.ndarray], context: np.ndarray, target: np.ndarray, state: dict) -> None:
     """One step of Adagrad on a batch, in place."""
     n = len(target)
-    e = model["embed"][context].reshape(n, -1)
-    h = np.tanh(e @ model["w1"] + model["b1"])
-    group, member = target % CLASSES, target // CLASSES
-    pc = np.exp(_log_softmax(h @ model["wc"] + model["bc"]))
-    pc[np.arange(n), group] -= 1
+    order, runs = _by_class(target)
+    context, target = context[order], target[order]
+    e, h = _hidden(model, context)
+    group, member, every = target % CLASSES, target // CLASSES, np.arange(n)
+    pc = h @ model["wc"]
+    pc += model["bc"]
+    np.exp(pc, out=pc)
+    pc /= pc.sum(axis=1, keepdims=True)
+    pc[every, group] -= 1
     dh = pc @ model["wc"].T
     grads = {"wc": h.T @ pc, "bc": pc.sum(0), "wi": np.zeros_like(model["wi"]), "bi": np.zeros_like(model["bi"])}
-    for c in np.unique(group):
-        rows = np.flatnonzero(group == c)
-        p = np.exp(_log_softmax(h[rows] @ model["wi"][c] + model["bi"][c]))
-        p[np.arange(len(rows)), member[rows]] -= 1
-        grads["wi"][c], grads["bi"][c] = h[rows].T @ p, p.sum(0)
-        dh[rows] += p @ model["wi"][c].T
-    dz = dh * (1 - h * h)
-    grads["w1"], grads["b1"] = e.T @ dz, dz.sum(0)
-    de = (dz @ model["w1"].T).reshape(-1, EMBED)
+    for c, a, b in runs:
+        p = h[a:b] @ model["wi"][c]
+        p += model["bi"][c]
+        np.exp(p, out=p)
+        p /= p.sum(axis=1, keepdims=True)
+        p[every[: b - a], member[a:b]] -= 1
+        np.dot(h[a:b].T, p, out=grads["wi"][c])
+        p.sum(axis=0, out=grads["bi"][c])
+        dh[a:b] += p @ model["wi"][c].T
+    h *= h
+    np.subtract(1, h, out=h)
+    dh *= h
+    grads["w1"], grads["b1"] = e.T @ dh, dh.sum(0)
+    de = (dh @ model["w1"].T).reshape(-1, EMBED)
+    flat = context.ravel().astype(np.uint16)
+    by_id = np.argsort(flat, kind="stable")
+    ids = flat[by_id]
+    first = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]]))
     grads["embed"] = np.zeros_like(model["embed"])
-    np.add.at(grads["embed"], context.ravel(), de)
+    grads["embed"][ids[first]] = np.add.reduceat(de[by_id], first, axis=0)
     for k, g in grads.items():
-        g = g / np.sqrt(n)
-        state[k] = state.get(k, 1e-6) + g * g
-        model[k] -= RATE * g / np.sqrt(state[k])
+        g /= np.float32(np.sqrt(n))
+        if k not in state:
+            state[k] = np.full_like(g, 1e-6)
+        state[k] += g * g
+        model[k] -= np.float32(RATE) * g / np.sqrt(state[k])
 
 
-def vocabulary(docs: DataFrame) -> tuple[list[str], DataFrame]:
-    """(the NAMED most frequent tokens over every document, equal counts in order of their text; w and n of all other tokens)."""
+def _counted(held: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    keys, at = np.unique(np.concatenate([h for h, _ in held]), return_inverse=True)
+    return keys, np.bincount(at, np.concatenate([n for _, n in held])).astype(np.int64)
 
-    def count(batches):
-        held: dict[str, int] = {}
+
+_TABLE = pa.schema([("doc_ids", pa.list_(pa.int64())), ("ends", pa.binary()), ("codes", pa.binary()), ("hashes", pa.binary())])
+
+
+def token_table(docs: DataFrame) -> DataFrame:
+    """The tokens of all documents, written once: a row is some documents' ids and what tokenised() gives for them (longs, but codes are ints)."""
+
+    def run(batches):
         for b in batches:
-            for text in b.column("text").to_pylist():
-                for w in tokens(text):
-                    held[w] = held.get(w, 0) + 1
-            if len(held) > 200_000:  # a partial count goes on; the grouped sum joins them
-                yield pa.RecordBatch.from_arrays([pa.array(held, pa.string()), pa.array(held.values(), pa.int64())], names=["w", "n"])
-                held = {}
-        yield pa.RecordBatch.from_arrays([pa.array(held, pa.string()), pa.array(held.values(), pa.int64())], names=["w", "n"])
-
-    counts = saved(docs.select("text").mapInArrow(count, "w string, n long").groupBy("w").agg(F.sum("n").alias("n")))
-    top = counts.orderBy(F.desc("n"), "w").limit(NAMED).collect()
+            for i, texts in slices(b.column("text"), PART_BYTES):
+                codes, ends, hashes = tokenised(texts)
+                yield pa.RecordBatch.from_arrays([pa.array([b.column("doc_id").slice(i, len(texts)).to_pylist()], pa.list_(pa.int64())), *(pa.array([x.tobytes()], pa.binary()) for x in (ends, codes.astype(np.int32), hashes))], schema=_TABLE)
+
+    return saved(columns(docs, doc_id="long", text="string").mapInArrow(run, "doc_ids array<long>, ends binary, codes binary, hashes binary"))
+
+
+def _read(batches):
+    """(doc_ids, codes, ends, hashes) of each row."""
+    for b in batches:
+        for k in range(b.num_rows):
+            ends, codes, hashes = (np.frombuffer(b.column(c)[k].as_buffer(), t) for c, t in (("ends", np.int64), ("codes", np.int32), ("hashes", np.int64)))
+            yield b.column("doc_ids")[k].values, codes, ends, hashes
+
+
+def vocabulary(table: DataFrame) -> tuple[np.ndarray, np.ndarray, DataFrame]:
+    """(hashes of the NAMED most frequent tokens over every document, equal counts in order of their hash; each output's count; w, n and bucket of all
+    other tokens)."""
+
+    def count(batches):
+        held, size = [], 0
+
+        def flush():
+            w, n = _counted(held)
+            return pa.RecordBatch.from_arrays([pa.array(w), pa.array(n)], names=["w", "n"])
+
+        for _, codes, _, hashes in _read(batches):
+            held.append((hashes, np.bincount(codes, minlength=len(hashes))))
+            size += len(hashes)
+            if size > 1_000_000:  # what has been counted is joined; if that is still long, it goes on, and the grouped sum joins it
+                held = [_counted(held)]
+                size = len(held[0][0])
+                if size > 500_000:
+                    yield flush()
+                    held, size = [], 0
+        if held:
+            yield flush()
+
+    counts = saved(table.select("doc_ids", "ends", "codes", "hashes").mapInArrow(count, "w long, n long").groupBy("w").agg(F.sum("n").alias("n")))
+    top = counts.orderBy(F.desc("n"), "w").limit(NAMED).toPandas()
     if len(top) < NAMED:
-        return [r.w for r in top], counts.limit(0)
-    n, w = F.lit(top[-1].n), F.lit(top[-1].w)
-    return [r.w for r in top], counts.where((F.col("n") < n) | ((F.col("n") == n) & (F.col("w") > w)))
+        others = counts.limit(0)
+    else:
+        n, w = int(top.n.iloc[-1]), int(top.w.iloc[-1])
+        others = counts.where((F.col("n") < n) | ((F.col("n") == n) & (F.col("w") > w)))
+    others, each = others.withColumn("bucket", F.expr(f"pmod(w, {BUCKETS})")), np.zeros(SIZE)
+    each[: len(top)] = top.n
+    for r in others.groupBy("bucket").agg(F.sum("n").alias("n")).collect():  # at most BUCKETS rows
+        each[NAMED + r.bucket] = r.n
+    return top.w.to_numpy(np.int64), each, others
 
 
 def within_buckets(others: DataFrame) -> DataFrame:
-    """w and log P(token | bucket) as p of the unnamed tokens: the token's count in its bucket's and one more, which all unseen tokens share."""
-    own = others.withColumn("bucket", F.crc32(F.col("w").cast("binary")) % BUCKETS)
-    sums = own.groupBy("bucket").agg(F.sum("n").alias("total"))
-    return own.join(F.broadcast(sums), "bucket").select("w", F.log(F.col("n") / (F.col("total") + 1)).alias("p"))
+    """w, n, and as p log P(token | bucket) of the unnamed tokens: a token's count in its bucket's and one more, which all unseen tokens share."""
+    sums = others.groupBy("bucket").agg(F.sum("n").alias("total"))
+    return others.join(F.broadcast(sums), "bucket").select("w", "n", F.log(F.col("n") / (F.col("total") + 1)).alias("p"))
 
 
-def fit(docs: DataFrame, named: list[str], every: int = EVERY, rounds: int = ROUNDS) -> dict[str, np.ndarray]:
-    """The network after some rounds in which each partition trains on its own documents and the weights are averaged by tokens.
+def fit(table: DataFrame, named: np.ndarray, counts: np.ndarray, rounds: int = ROUNDS) -> dict[str, np.ndarray]:
+    """The network after some rounds in which each partition trains on all its documents and the weights are averaged by tokens.
 
-    With every above 1, only every every-th document by the hash of its text is trained on.  Weights move as SLICE-long rows, summed in two grouped steps, so no
-    task holds those of all partitions; the driver receives one model.
+    Weights move as SLICE-long rows, summed in two grouped steps, so no task holds those of all partitions; the driver receives one model.
     """
-    spark = docs.sparkSession
-    ids = spark.sparkContext.broadcast(Ids(named))
-    chosen = docs.select("text").where(F.pmod(F.xxhash64("text"), F.lit(every)) == 0)
-    flat = pack(start())
+    spark = table.sparkSession
+    ids = spark.sparkContext.broadcast(Ids(named, np.zeros(0, np.int64), np.zeros(0)))
+    flat = pack(start(counts))
     for turn in range(rounds):
         shared = spark.sparkContext.broadcast(flat)
 
         def learn(batches):
             model, state, done = unpack(shared.value.copy()), {}, 0
             rng = np.random.default_rng(turn)
-            for b in batches:
-                own = [ids.value.of(t) for t in b.column("text").to_pylist()]
-                own = [x for x in own if len(x)]
-                if not own:
-                    continue
-                context, target = np.concatenate([contexts(x) for x in own]), np.concatenate(own)
-                order = rng.permutation(len(target))
-                for a in range(0, len(order), BATCH):
-                    train(model, context[order[a : a + BATCH]], target[order[a : a + BATCH]], state)
-                done += len(target)
+            for _, codes, ends, hashes in _read(batches):
+                own = ids.value.of(hashes)[codes]
+                context = contexts(own, ends)
+                for some in np.array_split(rng.permutation(len(own)), max(1, round(len(own) / BATCH))) if len(own) else []:
+                    train(model, context[some], own[some], state)
+                done += len(own)
             if done:
                 w = pack(model).astype(np.float64) * done
                 parts = [w[a : a + SLICE].tobytes() for a in range(0, len(w), SLICE)]
@@ -195,39 +313,46 @@ def fit(docs: DataFrame, named: list[str], every: int = EVERY, rounds: int = ROU
             yield pa.RecordBatch.from_arrays([pa.array(total, pa.int32()), pa.array([0] * len(total), pa.int32()), pa.array([x[0] for x in total.values()], pa.float64()), pa.array([x[1].tobytes() for x in total.values()], pa.binary())], names=["part", "salt", "n", "w"])
 
         kind = "part int, salt int, n double, w binary"
-        rows = chosen.mapInArrow(learn, kind).repartition("part", "salt").mapInArrow(add, kind).repartition("part").mapInArrow(add, kind).collect()
+        rows = table.mapInArrow(learn, kind).repartition("part", "salt").mapInArrow(add, kind).repartition("part").mapInArrow(add, kind).collect()
         if not rows:
             break
         flat = np.concatenate([np.frombuffer(r.w) / r.n for r in sorted(rows, key=lambda r: r.part)])
     return unpack(flat)
 
 
-def scores(docs: DataFrame, every: int = EVERY) -> DataFrame:
+def scores(docs: DataFrame) -> DataFrame:
     """A row for each row of docs: doc_id, n_tokens, log_likelihood (summed over the tokens, each given both sides), mean.
 
     An unnamed token has its bucket's probability times its own share of the bucket.  Null and empty texts have no tokens, a sum of 0 and a
-    null mean.  Repeated rows score alike.  An empty table has no rows.
+    null mean.  Repeated rows score alike.  A text of any length is scored whole.  An empty table has no rows.
     """
     spark = prepare(docs.sparkSession)
-    own = columns(docs, doc_id="long", text="string").withColumn("row", F.monotonically_increasing_id())
-    named, others = vocabulary(own)
-    shared = spark.sparkContext.broadcast((Ids(named), fit(own, named, every)))
-    rare = pa.map_(pa.string(), pa.int64())
+    table = token_table(docs)
+    named, counts, others = vocabulary(table)
+    rare = within_buckets(others)
+    often = rare.orderBy(F.desc("n"), "w").limit(SHARED).select("w", "n", "p").toPandas().sort_values("w")
+    shared = spark.sparkContext.broadcast((Ids(named, often.w.to_numpy(np.int64), often.p.to_numpy(float)), fit(table, named, counts)))
 
     def run(batches):
         ids, model = shared.value
-        for b in batches:
-            texts = b.column("text").to_pylist()
-            for i in range(0, len(texts), 32):
-                each = [ids.of(t) for t in texts[i : i + 32]]
-                unnamed = [list(Counter(w for w in tokens(t) if w not in ids.known).items()) for t in texts[i : i + 32]]
-                ll = log_probabilities(model, np.concatenate([contexts(x) for x in each]), np.concatenate(each))
-                n = np.array([len(x) for x in each])
-                total = np.diff(np.concatenate([[0.0], np.cumsum(ll)])[np.concatenate([[0], np.cumsum(n)])])
-                yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(i, 32), b.column("row").slice(i, 32), pa.array(n, pa.int64()), pa.array(total), pa.array(unnamed, rare)], names=["doc_id", "row", "n_tokens", "named", "rare"])
-
-    # Row numbers are of this pass, and the network runs once: both its parts are read from one table.
-    found = saved(own.mapInArrow(run, "doc_id long, row long, n_tokens long, named double, rare map<string,long>"))
-    shares = found.select("row", F.explode("rare").alias("w", "k")).join(within_buckets(others), "w").groupBy("row").agg(F.sum(F.col("k") * F.col("p")).alias("p"))
+        for doc_ids, codes, ends, hashes in _read(batches):
+            each, share = ids.of(hashes), np.zeros(len(hashes))
+            unnamed = each >= NAMED
+            share[unnamed] = ids.share(hashes[unnamed])
+            asked = np.isnan(share)  # by a join
+            share[asked] = 0
+            own = each[codes]
+            got = np.concatenate([[0.0], np.cumsum(log_probabilities(model, contexts(own, ends), own) + share[codes])])
+            n, size = np.diff(ends, prepend=0), max(1, len(hashes))
+            place = np.flatnonzero(asked[codes])
+            pairs, k = np.unique(np.repeat(np.arange(len(n)), n)[place] * size + codes[place], return_counts=True)
+            at = np.searchsorted(pairs, np.arange(len(n) + 1) * size)
+            lists = [pa.ListArray.from_arrays(pa.array(at, pa.int32()), x) for x in (pa.array(hashes[pairs % size]), pa.array(k.astype(np.int32)))]
+            yield pa.RecordBatch.from_arrays([doc_ids, pa.array(n), pa.array(np.diff(got[np.concatenate([[0], ends])])), *lists], names=["doc_id", "n_tokens", "named", "w", "k"])
+
+    # The network runs once: both its parts are read from one table.
+    found = numbered(saved(table.mapInArrow(run, "doc_id long, n_tokens long, named double, w array<long>, k array<int>")))
+    asked = found.select("row", F.explode(F.arrays_zip("w", "k")).alias("x")).select("row", F.col("x.w").alias("w"), F.col("x.k").alias("k"))
+    shares = asked.join(rare, "w").groupBy("row").agg(F.sum(F.col("k") * F.col("p")).alias("p"))
     ll = F.col("named") + F.coalesce("p", F.lit(0.0))
-    return found.drop("rare").join(shares, "row", "left").select("doc_id", "n_tokens", ll.alias("log_likelihood"), F.when(F.col("n_tokens") > 0, ll / F.col("n_tokens")).alias("mean"))
+    return found.drop("w", "k").join(shares, "row", "left").select("doc_id", "n_tokens", ll.alias("log_likelihood"), F.when(F.col("n_tokens") > 0, ll / F.col("n_tokens")).alias("mean"))
