@@ -2,18 +2,20 @@
 
 from __future__ import annotations
 
+from hashlib import blake2b
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import columns, prepare, saved, text_words
+from .common import columns, numbered, prepare, saved, text_words
 
 #: Words of a window, and of the word sequences by whose least hash the windows are dealt out.
 WINDOW, ANCHOR = 35, 8
-#: Different stretches of a group above which its windows are dealt out again, by all their words as prefix.
-CROWD = 4096
-#: Words of a Python worker's tree at a time, and bytes of text that are hashed at once.
-TREE_WORDS, CHUNK_BYTES = 400_000, 1 << 20
+#: Most words of a group of suffixes, which one tree holds; larger groups are split by the next of these prefix lengths, which are words of a window.
+GROUP_WORDS, PREFIXES = 400_000, (12, 20)
+#: Bytes of text that are hashed at once.
+CHUNK_BYTES = 1 << 20
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
@@ -45,33 +47,42 @@ def _ranges(symbols: np.ndarray, a: np.ndarray, b: np.ndarray, base: int) -> np.
 
 
 class Words:
-    """Places and hashes of the words of some texts, end to end."""
+    """Places and hashes of the words of some texts, end to end, with one space between.
+
+    These hashes deal words out and tell where a window may repeat in its own run; that words are equal is never concluded from them.
+    """
 
     def __init__(self, raws: list[bytes]):
-        self.raw = b" ".join(raws) + b" "
+        lists = [r.split() for r in raws]
+        self.raw = b" ".join(b" ".join(x) for x in lists if x) + b" "
         symbols = np.frombuffer(self.raw, np.uint8)
         edge = np.flatnonzero(np.diff(np.concatenate([[True], _SPACE[symbols]])))
         self.start, self.end = edge[::2], edge[1::2]
-        offsets = np.cumsum([0, *(len(r) + 1 for r in raws)])
-        self.first = np.searchsorted(self.start, offsets)  # the number of each text's first word
+        self.first = np.cumsum([0, *map(len, lists)])  # the number of each text's first word
         self.hash = _ranges(symbols.astype(np.uint64) + np.uint64(1), self.start, self.end, _BYTE)
         self.doc = np.searchsorted(self.first[1:], np.arange(len(self.start)), side="right")
 
     def slice(self, a: int, b: int) -> bytes:
         return self.raw[self.start[a] : self.end[b - 1]]
 
-    def windows(self, starts: np.ndarray, window: int) -> np.ndarray:
-        return _ranges(self.hash, starts, starts + window, _WORD)
+    def prefixes(self, starts: np.ndarray, n: int) -> np.ndarray:
+        return _ranges(self.hash, starts, starts + n, _WORD).view(np.int64)
+
+    def digests(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """(n, 2) longs: 128 bits of BLAKE2b of each range's words with one space between.  Two different ranges never share one in practice."""
+        view = memoryview(self.raw)
+        found = b"".join([blake2b(view[a:b], digest_size=16).digest() for a, b in zip(self.start[starts].tolist(), self.end[ends - 1].tolist())])
+        return np.frombuffer(found, np.int64).reshape(-1, 2)
 
     def runs(self, window: int, anchor: int) -> tuple[np.ndarray, ...]:
         """(text, start, n, key, own, content): maximal runs of n consecutive windows with one key, the least hash of an anchor's words inside.
 
         Equal windows have equal keys.  own: the run's words hold some anchor twice, so they may hold a window twice.  start: the word's
-        number in its text; content: hash of all the run's words.
+        number in its text; content: digest of all the run's words.
         """
         n, width = len(self.hash), window - anchor + 1
         if n < window:
-            return tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.int64, bool, np.int64))
+            return tuple(np.zeros(z, t) for z, t in ((0, np.int64), (0, np.int64), (0, np.int64), (0, np.int64), (0, bool), ((0, 2), np.int64)))
         least = _ranges(self.hash, np.arange(n - anchor + 1), np.arange(anchor, n + 1), _WORD)
         order = np.argsort(least, kind="stable")
         again = np.zeros(len(least) + 1, np.int64)  # places before which an equal anchor stands within reach of one window more
@@ -86,13 +97,12 @@ class Words:
         at = np.arange(n - window + 1)
         inside = np.flatnonzero(self.doc[at] == self.doc[at + window - 1])
         if not len(inside):
-            return tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.int64, bool, np.int64))
+            return tuple(np.zeros(z, t) for z, t in ((0, np.int64), (0, np.int64), (0, np.int64), (0, np.int64), (0, bool), ((0, 2), np.int64)))
         key = least[inside]
         new = np.flatnonzero(np.concatenate([[True], (inside[1:] != inside[:-1] + 1) | (key[1:] != key[:-1]) | (self.doc[inside[1:]] != self.doc[inside[:-1]])]))
         count = np.diff(np.append(new, len(inside)))
         start = inside[new]
-        content = _ranges(self.hash, start, start + count + window - 1, _WORD)
-        return self.doc[start], start - self.first[self.doc[start]], count, key[new].view(np.int64), again[start + count + width - 1] > again[start], content.view(np.int64)
+        return self.doc[start], start - self.first[self.doc[start]], count, key[new].view(np.int64), again[start + count + width - 1] > again[start], self.digests(start, start + count + window - 1)
 
 
 def _raw(texts: list[str | None]) -> list[bytes]:
@@ -112,28 +122,59 @@ def _chunks(texts: list[str | None]):
         yield first, Words(held)
 
 
-def deep_windows(stretches: list[bytes], window: int) -> list[np.ndarray]:
-    """For each stretch, which of its windows are below a node of depth window or more in the suffix tree of all stretches.
+class SuffixTree:
+    """The suffix tree of some word sequences, as its leaves in order and the depth of the node that each two neighbours part at.
 
-    The tree is cut off at that depth.  A node of depth 2d is the pair of nodes of depth d that its path runs through, so sorting pairs
-    gives the nodes of depths 1, 2, 4 and so on, and two overlapping nodes give those of depth window; a node of two leaves or more is a
-    repeat, and its leaves are where it stands.
+    An internal node is a run of leaves whose neighbours all part at its depth or deeper.  Sequences end in symbols of their own, so no
+    path runs on from one to the next.  Depths are exact up to twice the deepest asked for, which is as far as suffixes are sorted.
     """
-    lists = [s.split() for s in stretches]
-    sizes = np.array([len(x) for x in lists])
-    names: dict[bytes, int] = {}
-    node = np.fromiter((names.setdefault(w, len(names)) for x in lists for w in x), np.int64, int(sizes.sum()))
-    depth = 1
-    while depth < window:
-        step = min(depth, window - depth)
-        pair = node[:-step] * (len(node) + 1) + node[step:]
-        node = np.unique(pair, return_inverse=True)[1]
-        depth += step
-    # A window must end in its stretch.
-    offset = np.cumsum(sizes) - sizes
-    starts = np.concatenate([np.arange(o, o + n - window + 1) for o, n in zip(offset, sizes)])
-    _, leaf, count = np.unique(node[starts], return_inverse=True, return_counts=True)
-    return np.split(count[leaf] > 1, np.cumsum(sizes - window + 1)[:-1])
+
+    def __init__(self, sequences: list[bytes], depth: int):
+        names: dict[bytes, int] = {}
+        lists = [s.split() for s in sequences]
+        self.sizes = np.array([len(x) for x in lists], np.int64)
+        self.first = np.cumsum(self.sizes + 1) - self.sizes - 1
+        n = int(self.sizes.sum()) + len(lists)
+        text = np.empty(n, np.int64)
+        ends = self.first + self.sizes
+        inside = np.ones(n, bool)
+        inside[ends] = False
+        text[inside] = np.fromiter((names.setdefault(w, len(names)) for x in lists for w in x), np.int64, n - len(lists))
+        text[ends] = len(names) + np.arange(len(lists))
+        # Ranks of all suffixes by their first 1, 2, 4 ... words.
+        ranks = [np.unique(text, return_inverse=True)[1]]
+        while 1 << len(ranks) - 1 < depth:
+            reach, rank = 1 << len(ranks) - 1, ranks[-1]
+            behind = np.zeros(n, np.int64)
+            behind[:-reach] = rank[reach:] + 1
+            ranks.append(np.unique(rank * (n + 1) + behind, return_inverse=True)[1])
+        self.leaves = np.argsort(ranks[-1], kind="stable")
+        a, b = self.leaves[:-1].copy(), self.leaves[1:].copy()
+        self.parting = np.zeros(max(0, n - 1), np.int64)
+        for level in range(len(ranks) - 1, -1, -1):  # equal halves first: the depth in binary
+            rank, within = ranks[level], np.maximum(a, b) < n
+            same = np.zeros(len(a), bool)
+            same[within] = rank[a[within]] == rank[b[within]]
+            self.parting[same] += 1 << level
+            a[same] += 1 << level
+            b[same] += 1 << level
+
+    def deep_nodes(self, depth: int) -> tuple[np.ndarray, np.ndarray]:
+        """(first, last): the leaves below each topmost internal node of the depth or deeper; each node is a maximal repeat."""
+        deep = np.diff(np.concatenate([[0], (self.parting >= depth).astype(np.int8), [0]]))
+        return np.flatnonzero(deep > 0), np.flatnonzero(deep < 0)
+
+
+def deep_windows(stretches: list[bytes], window: int) -> list[np.ndarray]:
+    """For each stretch, which of its windows start at a leaf below an internal node of depth window or more."""
+    tree = SuffixTree(stretches, window)
+    below = np.zeros(len(tree.leaves) + 1, np.int64)
+    first, last = tree.deep_nodes(window)
+    below[first] += 1
+    below[last + 1] -= 1
+    repeated = np.zeros(len(tree.leaves), bool)
+    repeated[tree.leaves[np.cumsum(below[:-1]) > 0]] = True
+    return [repeated[a : a + n - window + 1] for a, n in zip(tree.first.tolist(), tree.sizes.tolist())]
 
 
 def _spans(row: list[int], start: list[int], flags: list[np.ndarray], window: int) -> pa.RecordBatch:
@@ -147,22 +188,55 @@ def _spans(row: list[int], start: list[int], flags: list[np.ndarray], window: in
     return pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array(a, pa.int32()), pa.array(b, pa.int32())], names=["row", "start", "stop"])
 
 
+_RUNS = pa.schema([("row", pa.int64()), ("start", pa.int32()), ("n", pa.int32()), ("key", pa.int64()), ("own", pa.bool_()), ("c1", pa.int64()), ("c2", pa.int64())])
+_PIECES = pa.schema([("row", pa.int64()), ("start", pa.int32()), ("key", pa.int64()), ("stretch", pa.binary()), ("crowd", pa.bool_()), ("p0", pa.int64()), ("p1", pa.int64()), ("c1", pa.int64()), ("c2", pa.int64())])
+
+
+def _trees(pieces: DataFrame, window: int) -> DataFrame:
+    """Spans of repeated windows in pieces (group, row, start, stretch): groups meet in a partition, and each tree holds some whole groups."""
+
+    def trees(batches):
+        held, last, total = [], None, 0
+
+        def grow():
+            rows, starts, stretches = ([h[i] for h in held] for i in range(3))
+            return _spans(rows, starts, deep_windows(stretches, window), window)
+
+        for b in batches:
+            for r, s, k, x in zip(*(b.column(c).to_pylist() for c in ("row", "start", "group", "stretch"))):
+                if total >= GROUP_WORDS and k != last:
+                    yield grow()
+                    held, total = [], 0
+                held.append((r, s, x))
+                last, total = k, total + x.count(b" ") + 1
+        if held:
+            yield grow()
+
+    return pieces.select("group", "row", "start", "stretch").repartition("group").sortWithinPartitions("group").mapInArrow(trees, "row long, start int, stop int")
+
+
 def repeated_spans(keyed: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
-    """(row, start, stop): ranges of words covered by windows that start anywhere else too; they may overlap.  keyed: (row, text)."""
+    """(row, start, stop): ranges of words covered by windows that start anywhere else too; they may overlap.  keyed: (row, text).
+
+    A suffix is dealt out by a prefix.  The first is the anchor: the word sequence of least hash in the window, which equal windows share, so
+    that neighbouring suffixes travel as one stretch.  Stretches of equal digests are one first.  A group that is above GROUP_WORDS with
+    the anchor alone is split by its windows' first words, as many of PREFIXES as it takes; windows that are still too many to fit are equal
+    in all their words, or are told apart by the digest of these: that node is deep itself, and needs no tree below it.
+    """
 
     def scan(batches):
         for b in batches:
             rows = b.column("row").to_numpy()
             for first, words in _chunks(b.column("text").to_pylist()):
                 doc, start, n, key, own, content = words.runs(window, anchor)
-                yield pa.RecordBatch.from_arrays([pa.array(rows[first + doc]), pa.array(start.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(key), pa.array(own), pa.array(content)], names=["row", "start", "n", "key", "own", "content"])
+                yield pa.RecordBatch.from_arrays([pa.array(rows[first + doc]), pa.array(start.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(key), pa.array(own), pa.array(content[:, 0]), pa.array(content[:, 1])], schema=_RUNS)
 
-    runs = keyed.mapInArrow(scan, "row long, start int, n int, key long, own boolean, content long")
-    alike = runs.groupBy("key", "content").agg(F.count("*").alias("copies"), F.min("row").alias("first"), F.max("own").alias("own"))
-    groups = alike.groupBy("key").agg(F.count("*").alias("variants"), F.max("own").alias("own")).where("variants > 1 or own")
+    runs = saved(keyed.mapInArrow(scan, "row long, start int, n int, key long, own boolean, c1 long, c2 long"))
+    alike = runs.groupBy("key", "c1", "c2").agg(F.count("*").alias("copies"), F.min("row").alias("first"), F.max("own").alias("own"), F.first("n").alias("n"))
+    groups = alike.groupBy("key").agg(F.count("*").alias("variants"), F.max("own").alias("own"), F.sum(F.col("n") + window - 1).alias("words")).where("variants > 1 or own")
     # What occurs once and alone is dropped here; that is most of the text.
-    live = alike.join(groups.select("key", "variants", F.col("own").alias("looped")), "key", "left").where("copies > 1 or variants is not null").select("key", "content", "copies", "first", F.coalesce("variants", F.lit(0)).alias("variants"))
-    found = saved(runs.join(live, ["key", "content"]).where((F.col("copies") > 1) | (F.col("row") == F.col("first"))).select("row", "start", "n", "key", "copies", ((F.col("row") == F.col("first")) & (F.col("variants") > 0)).alias("open"), (F.col("variants") > CROWD).alias("crowd")))
+    live = alike.drop("own", "n").join(groups.select("key", "words"), "key", "left").where("copies > 1 or words is not null")
+    found = saved(runs.join(live, ["key", "c1", "c2"]).where((F.col("copies") > 1) | (F.col("row") == F.col("first"))).select("row", "start", "n", "key", "copies", ((F.col("row") == F.col("first")) & F.col("words").isNotNull()).alias("open"), F.coalesce(F.col("words") > GROUP_WORDS, F.lit(False)).alias("crowd")))
     direct = found.where("copies > 1").select("row", "start", (F.col("start") + F.col("n") + window - 1).alias("stop"))
     asked = found.where("open").groupBy("row").agg(F.collect_list(F.struct("start", "n", "key", "crowd")).alias("asked"))
 
@@ -170,44 +244,32 @@ def repeated_spans(keyed: DataFrame, window: int = WINDOW, anchor: int = ANCHOR)
         for b in batches:
             rows, texts, asked = (b.column(c).to_pylist() for c in ("row", "text", "asked"))
             for r, text, some in zip(rows, texts, asked):
-                words, out = Words(_raw([text])), ([], [], [], [], [], [])
+                words, out = Words(_raw([text])), []
                 for x in some:
-                    s, n = x["start"], x["n"]
+                    s, n, k = x["start"], x["n"], x["key"]
                     if x["crowd"]:
-                        h = words.windows(np.arange(s, s + n), window).view(np.int64)
-                        new = [(r, s + i, 1, x["key"], int(y), None) for i, y in enumerate(h)]
+                        at = np.arange(s, s + n)
+                        hashes = [words.prefixes(at, p).tolist() for p in PREFIXES]
+                        out += [(r, i, k, words.slice(i, i + window), True, p, q, *c) for i, p, q, c in zip(at.tolist(), *hashes, words.digests(at, at + window).tolist())]
                     else:
-                        new = [(r, s, n, x["key"], 0, words.slice(s, s + n + window - 1))]
-                    for values in new:
-                        for column, v in zip(out, values):
-                            column.append(v)
-                kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], names=["row", "start", "n", "key", "prefix", "stretch"])
-
-    pieces = saved(keyed.join(asked, "row").mapInArrow(cut, "row long, start int, n int, key long, prefix long, stretch binary"))
-
-    def trees(batches):
-        held, last, total = [], None, 0
-
-        def grow():
-            rows, starts, stretches = ([h[i] for h in held] for i in range(3))
-            return _spans(rows, starts, deep_windows(stretches, window), window)
-
-        for b in batches:
-            for r, s, k, x in zip(*(b.column(c).to_pylist() for c in ("row", "start", "key", "stretch"))):
-                if total >= TREE_WORDS and k != last:
-                    yield grow()
-                    held, total = [], 0
-                held.append((r, s, x))
-                last, total = k, total + x.count(b" ") + 1
-        if held:
-            yield grow()
-
-    small = pieces.where("stretch is not null").select("key", "row", "start", "stretch").repartition("key").sortWithinPartitions("key").mapInArrow(trees, "row long, start int, stop int")
-    crowd = pieces.where("stretch is null")
-    twice = crowd.groupBy("key", "prefix").agg(F.count("*").alias("c")).where("c > 1")
-    split = crowd.join(twice, ["key", "prefix"], "left_semi").select("row", "start", (F.col("start") + window).alias("stop"))
-    return direct.unionByName(small).unionByName(split)
+                        out.append((r, s, k, words.slice(s, s + n + window - 1), False, 0, 0, 0, 0))
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), _PIECES)], schema=_PIECES)
+
+    pieces = saved(keyed.join(asked, "row").mapInArrow(cut, "row long, start int, key long, stretch binary, crowd boolean, p0 long, p1 long, c1 long, c2 long"))
+    grown = [pieces.where(~F.col("crowd")).withColumn("group", F.col("key"))]
+    left = pieces.where("crowd")
+    for p in ("p0", "p1"):
+        n = left.groupBy("key", p).agg(F.count("*").alias("n")).where("n > 1")
+        sized = left.join(n, ["key", p])
+        grown.append(sized.where(F.col("n") * window <= GROUP_WORDS).withColumn("group", F.xxhash64("key", p)).drop("n"))
+        left = sized.where(F.col("n") * window > GROUP_WORDS).drop("n")
+    ends = left.groupBy("c1", "c2").agg(F.count("*").alias("n")).where("n > 1")
+    whole = left.join(ends, ["c1", "c2"], "left_semi").select("row", "start", (F.col("start") + window).alias("stop"))
+    spans = [direct, *(_trees(g, window) for g in grown), whole]
+    out = spans[0]
+    for more in spans[1:]:
+        out = out.unionByName(more)
+    return out
 
 
 def without_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -217,7 +279,7 @@ def without_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     fewer words than a window lose none; repeated rows are each other's copies; an empty table has no rows.
     """
     prepare(docs.sparkSession)
-    keyed = columns(docs, doc_id="long", text="string").withColumn("row", F.monotonically_increasing_id())
+    keyed = numbered(columns(docs, doc_id="long", text="string"))
     gone = repeated_spans(keyed.select("row", "text"), window).distinct().groupBy("row").agg(F.collect_list(F.struct("start", "stop")).alias("gone"))
 
     def strike(batches):
