@@ -73,17 +73,52 @@ def test_contamination(spark, texts):
 
 
 def test_lm_scores(spark, texts):
-    from vestige.llm.lm import tokens, scores
+    from vestige.llm.lm import SIZE, scores, tokens
 
-    docs = documents(spark, texts)
-    rows = {r.doc_id: r for r in scores(docs, every=1).collect()}
+    rows = {r.doc_id: r for r in scores(documents(spark, texts)).collect()}
     assert len(rows) == len(texts)
     for k, t in enumerate(texts):
         assert rows[k].n_tokens == len(tokens(t)) and rows[k].log_likelihood <= 0
         assert (rows[k].mean is None) == (rows[k].n_tokens == 0)
     assert rows[3].log_likelihood == pytest.approx(rows[123].log_likelihood, rel=1e-5)  # repeated rows
     ordinary = np.mean([rows[k].mean for k in range(100) if rows[k].n_tokens > 20])
-    assert ordinary > -np.log(4096)  # better than all words alike
+    assert ordinary > -np.log(SIZE)  # better than all words alike
+
+
+@pytest.mark.parametrize("shared", [1 << 17, 20, 0])
+def test_lm_scores_by_plain_loops(spark, texts, shared, monkeypatch):
+    """Each document's sum from the fitted network, token by token, with counts of all tokens; shares by broadcast, by both ways and by join."""
+    from collections import Counter
+
+    from vestige.llm import lm
+
+    monkeypatch.setattr(lm, "SHARED", shared)
+    kept = {}
+    monkeypatch.setattr(lm, "fit", lambda *of, fit=lm.fit: kept.setdefault("model", fit(*of)))
+    rows = texts[:40] + texts[-6:] + ["Ünïcode ΣΑΣ don't 3.5", "w " * 30_000]
+    got = {r.doc_id: r for r in lm.scores(documents(spark, rows).coalesce(2)).collect()}
+    lists = [re.findall(r"\w+|[^\w\s]", (t or "").lower()) for t in rows]
+    counts = Counter(w for x in lists for w in x)
+    named = sorted(counts, key=lambda w: (-counts[w], lm.token_hash(w)))[: lm.NAMED]
+    number = {w: k for k, w in enumerate(named)}
+    bucket = {w: lm.token_hash(w) % lm.BUCKETS for w in counts}
+    totals = Counter()
+    for w, n in counts.items():
+        if w not in number:
+            totals[bucket[w]] += n
+    m = {k: v.astype(float) for k, v in kept["model"].items()}
+    for k, own in enumerate(lists):
+        total, ids = 0.0, [lm.SIZE] * 2 + [number.get(w, lm.NAMED + bucket[w]) for w in own] + [lm.SIZE] * 2
+        for i, w in enumerate(own[:3000]):
+            x = np.concatenate([m["embed"][ids[j]] for j in (i, i + 1, i + 3, i + 4)])
+            h = np.tanh(x @ m["w1"] + m["b1"])
+            c, member = ids[i + 2] % lm.CLASSES, ids[i + 2] // lm.CLASSES
+            for y, at in ((h @ m["wc"] + m["bc"], c), (h @ m["wi"][c] + m["bi"][c], member)):
+                total += y[at] - np.log(np.exp(y).sum())
+            if w not in number:
+                total += np.log(counts[w] / (totals[bucket[w]] + 1))
+        if len(own) <= 3000:
+            assert got[k].n_tokens == len(own) and got[k].log_likelihood == pytest.approx(total, rel=1e-3, abs=1e-3)
 
 
 def test_lm_probabilities_sum_to_one():
@@ -93,22 +128,41 @@ def test_lm_probabilities_sum_to_one():
     assert np.exp(log_probabilities(start(), context, np.arange(SIZE))).sum() == pytest.approx(1, abs=1e-4)
 
 
+def test_lm_gradient():
+    """A step moves every weight against the difference quotient of the loss."""
+    from vestige.llm import lm
+
+    rng = np.random.default_rng(0)
+    context, target = rng.integers(0, lm.SIZE + 1, (300, 4)).astype(np.int32), rng.integers(0, lm.SIZE, 300).astype(np.int32)
+    model, state = {k: v.astype(np.float64) for k, v in lm.start().items()}, {}
+    moved = {k: v.copy() for k, v in model.items()}
+    lm.train(moved, context, target, state)
+    for k in model:
+        flat = np.argsort(np.abs(moved[k] - model[k]).ravel())[-3:]
+        for i in flat:
+            at = np.unravel_index(i, model[k].shape)
+            loss = []
+            for d in (1e-5, -1e-5):
+                other = {n: v.copy() for n, v in model.items()}
+                other[k][at] += d
+                loss.append(-lm.log_probabilities(other, context, target).sum())
+            slope = (loss[0] - loss[1]) / 2e-5
+            assert np.sqrt(state[k][at] - 1e-6) * np.sqrt(300) == pytest.approx(abs(slope), rel=1e-3) and np.sign(model[k][at] - moved[k][at]) == np.sign(slope)
+
+
 def test_lm_scores_of_unnamed_tokens(spark):
     """Of two unnamed tokens of one bucket in the same places, one that occurs 3 times is 3 times as likely as one that occurs once."""
-    from vestige.llm.lm import BUCKETS, NAMED, scores
+    from vestige.llm.lm import BUCKETS, NAMED, scores, token_hash
 
     named = [f"w{i:05d}" for i in range(NAMED)]
-    bucket = zlib.crc32(b"x0") % BUCKETS
-    often, once = "x0", next(w for w in (f"x{i}" for i in range(1, 100_000)) if zlib.crc32(w.encode()) % BUCKETS == bucket)
+    bucket = token_hash("x0") % BUCKETS
+    often, once = "x0", next(w for w in (f"x{i}" for i in range(1, 100_000)) if token_hash(w) % BUCKETS == bucket)
     texts = [" ".join(named[i : i + 40]) for i in range(0, NAMED, 40)] * 4
     texts += [f"w00001 w00002 {x} w00003 w00004" for x in (often, once, often, often)]
-    docs = documents(spark, texts).coalesce(2)
-    rows = {r.doc_id: r for r in scores(docs).collect()}
+    rows = {r.doc_id: r for r in scores(documents(spark, texts).coalesce(2)).collect()}
     a, b = rows[len(texts) - 4], rows[len(texts) - 3]
     assert a.log_likelihood - b.log_likelihood == pytest.approx(np.log(3), abs=1e-4)
     assert b.mean == pytest.approx(b.log_likelihood / 5)
-    every = {r.doc_id: r.log_likelihood for r in scores(docs, every=1).collect()}  # no document is left out of training
-    assert every == pytest.approx({k: r.log_likelihood for k, r in rows.items()}, rel=1e-4)
 
 
 def distance(a, b):
@@ -193,17 +247,56 @@ def brute_repeats(texts, window):
     return {d: (len(w), len(g), hashlib.sha256(" ".join(x for i, x in enumerate(w) if i not in g).encode()).hexdigest()) for d, (w, g) in enumerate(zip(lists, gone))}
 
 
-@pytest.mark.parametrize("crowd", [256, 1])
-def test_substrings(spark, texts, crowd, monkeypatch):
+@pytest.mark.parametrize("most", [400_000, 200, 1])
+def test_substrings(spark, texts, most, monkeypatch):
+    """The same result with one tree, with groups split by longer prefixes, and with every group split down to whole windows."""
     from vestige.llm import substrings
 
-    monkeypatch.setattr(substrings, "CROWD", crowd)
+    monkeypatch.setattr(substrings, "GROUP_WORDS", most)
     long = texts[7].split()
-    rows = texts + [" ".join(long[:36]) + " end", "head " + " ".join(long[:35]), " ".join(long[1:36]), "  b " * 40, " ".join("ab"[i % 2] for i in range(80)), " ".join(f"w{i % 37}" for i in range(150))]
+    rows = texts + [" ".join(long[:36]) + " end", "head " + " ".join(long[:35]), " ".join(long[1:36]), "  b " * 40, " ".join("ab"[i % 2] for i in range(80)), " ".join(f"w{i % 37}" for i in range(150))]
     got = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in substrings.digest(documents(spark, rows)).collect()}
     assert got == brute_repeats(rows, 35)
 
 
+def thue_morse(n):
+    x = "0"
+    while len(x) < n:
+        x += x.translate({48: 49, 49: 48})
+    return x
+
+
+def test_substrings_tell_colliding_words_apart(spark):
+    """Two words whose polynomial hashes modulo 2^64 are equal for every odd base: windows that differ in them alone are no repeats."""
+    from vestige.llm import substrings
+
+    one = thue_morse(2048)
+    other = one.translate({48: 49, 49: 48})
+    a, b = substrings.Words([one.encode()]), substrings.Words([other.encode()])
+    assert a.hash[0] == b.hash[0]
+    common = " ".join(f"c{i}" for i in range(34))
+    rows = [f"{common} {one}", f"{common} {other}", f"{one} {common}", f"{other} {common}"]
+    got = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in substrings.digest(documents(spark, rows)).collect()}
+    assert got == brute_repeats(rows, 35) and all(r[1] == 0 for r in got.values())
+
+
+def test_suffix_tree_nodes():
+    """Topmost nodes of each depth, and the depths at which neighbours part, against comparing all pairs of suffixes."""
+    from vestige.llm.substrings import SuffixTree
+
+    rng = np.random.default_rng(8)
+    rows = [" ".join(map(str, rng.integers(0, 3, n))).encode() for n in (1, 5, 30, 60)]
+    tree = SuffixTree(rows, 4)
+    suffixes = {int(f) + i: x.split()[i:] for f, x in zip(tree.first, rows) for i in range(len(x.split()))}
+    for depth in (2, 3, 4):
+        prefixes = {}
+        for at, s in suffixes.items():
+            if len(s) >= depth:
+                prefixes.setdefault(tuple(s[:depth]), set()).add(at)
+        first, last = tree.deep_nodes(depth)
+        assert sorted(map(sorted, (tree.leaves[a : b + 1].tolist() for a, b in zip(first, last)))) == sorted(sorted(x) for x in prefixes.values() if len(x) > 1)
+
+
 def test_substrings_at_every_distance(spark):
     """Passages of exactly a window, one word less and one more, between words that differ, at many places."""
     from vestige.llm import substrings
@@ -271,7 +364,29 @@ def test_simhash(spark, texts):
             break
     got = {r.doc_id: (r.fingerprint, r.component_id) for r in op6(documents(spark, rows)).collect()}
     assert got == {i: (f"{p:016x}", r) for i, (p, r) in enumerate(zip(prints, root))}
-    assert {r.doc_id for r in keep_one(documents(spark, rows)).collect()} == set(root)
+    assert {r.doc_id for r in keep_one(documents(spark, rows), shingle=3).collect()} == set(root)
+
+
+def test_rows_keep_their_numbers_behind_a_shuffle(spark):
+    """Row numbers behind a shuffle whose partitions are joined at run time, with one wide column: the same rows stay and the same lines go."""
+    from vestige.llm import language, linededup, simhash, substrings
+
+    plain = table(spark, "documents")
+    wide = plain.dropDuplicates(["doc_id"]).withColumn("wide", F.repeat(F.md5(F.col("doc_id").cast("string")), 200)).withColumn("place", F.lit("mine")).withColumn("lines_out", F.lit(1))
+    old = {k: spark.conf.get(k, None) for k in ("spark.sql.adaptive.advisoryPartitionSizeInBytes", "spark.sql.adaptive.coalescePartitions.parallelismFirst", "spark.sql.shuffle.partitions")}
+    for k, v in zip(old, ("64k", "false", "64")):
+        spark.conf.set(k, v)
+    try:
+        for f in (simhash.keep_one, language.accepted_documents, linededup.without_repeated_lines):
+            want = {(r.doc_id, r.text) for r in f(plain).select("doc_id", "text").collect()}
+            out = f(wide)
+            assert out.columns == wide.columns and {(r.doc_id, r.text) for r in out.select("doc_id", "text").collect()} == want, f.__name__
+            assert out.where("place <> 'mine' or lines_out <> 1").count() == 0
+        for f in (substrings.digest, linededup.line_classes):
+            assert set(map(tuple, f(wide).collect())) == set(map(tuple, f(plain).collect()))
+    finally:
+        for k, v in old.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
 def test_simhash_crowds(spark):
