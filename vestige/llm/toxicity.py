@@ -23,6 +23,13 @@ PREDICT = 0.3
 _word = re.compile(r"[^\W\d_]+")
 
 
+def lower(text: str | None) -> str:
+    """Lower case, but for characters whose lower case is longer, so that places stay those of the text."""
+    text = text or ""
+    low = text.lower()
+    return low if len(low) == len(text) else "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
+
+
 def features(word: str) -> list[str]:
     """The word, its beginnings of 3 to 8 letters and its ends of 3 to 5; the word is lower-cased."""
     n = len(word)
@@ -98,14 +105,13 @@ class Crf:
 
     def tag(self, text: str | None) -> tuple[float, list[dict]]:
         """Score, and spans {start, stop, probability} in characters of tokens that are more likely toxic than not."""
-        lowered = (text or "").lower()
+        lowered = lower(text)
         words = _word.findall(lowered)
         at, p = self.marginals(self.evidence(words))
         score = float(1 / (1 + np.exp(-np.clip(self.summary(p, len(words)) @ self.calibration, -30, 30))))
         spans, likely = [], dict(zip(at[p >= 0.5].tolist(), p[p >= 0.5].tolist()))
         if likely:
-            source = text if len(lowered) == len(text) else lowered
-            for k, m in enumerate(_word.finditer(source.lower())):
+            for k, m in enumerate(_word.finditer(lowered)):
                 if k in likely:
                     spans.append({"start": m.start(), "stop": m.end(), "probability": likely[k]})
         return score, spans
@@ -158,7 +164,7 @@ def train(examples: list[tuple[str, int]], drawn_from: dict[int, int] | None = N
     probability means the same whether the sample holds all of them or is capped; without it, the examples are all there is.
     """
     same: dict[str, str] = {}  # equal words are one object
-    docs = [([same.setdefault(w, w) for w in _word.findall((t or "").lower())], int(y)) for t, y in examples]
+    docs = [([same.setdefault(w, w) for w in _word.findall(lower(t))], int(y)) for t, y in examples]
     seen = [Counter(), Counter()]
     number = [sum(y == k for _, y in docs) for k in (0, 1)]
     memo: dict[str, list[str]] = {}
@@ -259,7 +265,7 @@ def score(docs: DataFrame, crf: Crf) -> DataFrame:
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score, predicted, spans: a row for each row of docs.
 
-    A null doc_id is not held out.  Without labels of both kinds every score is the same.
+    A null doc_id is not held out.  Repeated rows score alike.  A text of any length is scored whole.  Without labels of both kinds every score is the same.
     """
     prepare(docs.sparkSession)
     rows = score(docs, train(*training_sample(docs, labels)))
