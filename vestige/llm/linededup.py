@@ -19,12 +19,13 @@ FILTER_BITS = 1 << 23
 _DIGITS = bytes(48 if 48 <= c <= 57 else c for c in range(256))
 
 
-def normalise(text: str | None) -> list[str]:
-    """The lines of a text: lower case, white-space runs as one space, each digit as 0; blank lines are empty strings."""
+def normalise(text: str | None, fold: bool = False) -> list[str]:
+    """The lines of a text: lower case, white-space runs as one space, with fold each digit as 0; blank lines are empty strings."""
     if not text:
         return []
-    raw = text.encode("utf-8", "surrogatepass").translate(_DIGITS).decode("utf-8", "surrogatepass").lower()
-    return [" ".join(line.split()) for line in raw.split("\n")]
+    if fold:
+        text = text.encode("utf-8", "surrogatepass").translate(_DIGITS).decode("utf-8", "surrogatepass")
+    return [" ".join(line.split()) for line in text.lower().split("\n")]
 
 
 def line_id(line: str) -> bytes:
@@ -144,7 +145,7 @@ def patterns(line: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]
     return at[keep], x[keep], y[keep], role[keep]
 
 
-def occurrences(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
+def occurrences(docs: DataFrame, threshold: int = THRESHOLD, fold: bool = False) -> DataFrame:
     """A row for each line with text of docs (doc_id, row, text): doc_id, row, line_no, id, cells, probes."""
 
     def run(batches):
@@ -153,7 +154,7 @@ def occurrences(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
             for i in range(0, len(texts), 64):
                 take, number, ids, cells, probes = [], [], [], [], []
                 for k, text in enumerate(texts[i : i + 64], i):
-                    for j, line in enumerate(normalise(text)):
+                    for j, line in enumerate(normalise(text, fold)):
                         if line:
                             take.append(k)
                             number.append(j)
@@ -168,7 +169,7 @@ def occurrences(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     return docs.select("doc_id", "row", "text").mapInArrow(run, "doc_id long, row long, line_no int, id binary, cells array<long>, probes array<long>")
 
 
-def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+def _texts(docs: DataFrame, wanted: DataFrame, fold: bool) -> DataFrame:
     """(id, line) of the distinct lines of docs whose id is in wanted."""
     slot = F.pmod(F.xxhash64("id"), F.lit(FILTER_BITS))
     words = wanted.select(slot.alias("s")).groupBy((F.col("s") / 64).cast("long").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(s % 64 as int))")).alias("bits")).collect()
@@ -179,7 +180,7 @@ def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
     def run(batches):
         for b in batches:
-            lines = [(line_id(x), x) for text in b.column("text").to_pylist() for x in set(normalise(text)) if len(x) >= LEAST]
+            lines = [(line_id(x), x) for text in b.column("text").to_pylist() for x in set(normalise(text, fold)) if len(x) >= LEAST]
             yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in lines], pa.binary()), pa.array([x for _, x in lines], pa.string())], names=["id", "line"])
 
     def sift(batches):
@@ -210,7 +211,7 @@ def _crowd_links(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
     return edges.distinct(), counts
 
 
-def links(docs: DataFrame, found: DataFrame, threshold: int = THRESHOLD) -> tuple[DataFrame, DataFrame]:
+def links(docs: DataFrame, found: DataFrame, threshold: int = THRESHOLD, fold: bool = False) -> tuple[DataFrame, DataFrame]:
     """(edges, counts): edges (a, b) whose components are those of all pairs of distinct lines within threshold edits, and the number of such
     pairs of each line (id, n_links).  found: what occurrences() gives for docs.
 
@@ -228,7 +229,7 @@ def links(docs: DataFrame, found: DataFrame, threshold: int = THRESHOLD) -> tupl
     pairs = pairs.join(crowded.select(F.col("id").alias("a"), F.col("crowded").alias("ca")), "a", "left").join(crowded.select(F.col("id").alias("b"), F.col("crowded").alias("cb")), "b", "left")
     pairs = saved(pairs.where("ca is null or cb is null").select("a", "b"))
     wanted = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).unionByName(crowded.select("id")).distinct()
-    texts = saved(_texts(docs, saved(wanted)))
+    texts = saved(_texts(docs, saved(wanted), fold))
 
     def verify(batches):
         for b in batches:
@@ -244,11 +245,11 @@ def links(docs: DataFrame, found: DataFrame, threshold: int = THRESHOLD) -> tupl
     return edges, every.groupBy("id").agg(F.sum("k").cast("long").alias("n_links"))
 
 
-def _classes(docs: DataFrame, threshold: int) -> DataFrame:
+def _classes(docs: DataFrame, threshold: int, fold: bool) -> DataFrame:
     """doc_id, row, line_no of each line with text, its class's first line as (class_doc, class_row, class_line), n_links, kept."""
     prepare(docs.sparkSession)
-    found = saved(occurrences(docs, threshold))
-    edges, counts = links(docs, found, threshold)
+    found = saved(occurrences(docs, threshold, fold))
+    edges, counts = links(docs, found, threshold, fold)
     roots = components(edges)
     place = F.struct(F.col("doc_id").isNull().alias("x"), "doc_id", "row", "line_no")
     firsts = found.groupBy("id").agg(F.min(place).alias("first")).join(roots.withColumnRenamed("node", "id"), "id", "left").join(counts, "id", "left").withColumn("root", F.coalesce("root", "id"))
@@ -260,25 +261,25 @@ def _classes(docs: DataFrame, threshold: int) -> DataFrame:
     return found.select("doc_id", "row", "line_no", "id").join(named, "id").select("doc_id", "row", "line_no", F.col("best.doc_id").alias("class_doc"), F.col("best.row").alias("class_row"), F.col("best.line_no").alias("class_line"), "n_links", kept.alias("kept"))
 
 
-def line_classes(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
+def line_classes(docs: DataFrame, threshold: int = THRESHOLD, fold: bool = False) -> DataFrame:
     """A row for each line with text: doc_id, line_no (from 0), its class as the first line of it (class_doc, class_line), n_links, kept.
 
-    Lines are compared as normalise() gives them.  Equal ones are one text; n_links counts the other texts within threshold edits, and a
+    Lines are compared as normalise() gives them; with fold, lines that differ in figures alone are equal.  Equal ones are one text; n_links counts the other texts within threshold edits, and a
     class is what links reach.  Lines under LEAST characters have no links but equality.  The line kept is the class's first by (doc_id, row,
     line number), null ids last.  Null, empty and blank texts have no lines; an empty table has no rows; repeated rows count as rows.
     """
     keyed = numbered(columns(docs, doc_id="long", text="string"))
-    return _classes(keyed, threshold).drop("row", "class_row")
+    return _classes(keyed, threshold, fold).drop("row", "class_row")
 
 
-def without_repeated_lines(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
+def without_repeated_lines(docs: DataFrame, threshold: int = THRESHOLD, fold: bool = False) -> DataFrame:
     """docs with only the kept line of each class, and blank lines; text and n_chars (where there is one) change, no row goes.
 
     A null text stays null; a text of which no line is left is empty.
     """
     place, out_lines = fresh(docs, "place", "lines_out")
     keyed = numbered(docs, place)
-    lines = _classes(keyed.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(place).alias("row"), F.col("text").cast("string").alias("text")), threshold)
+    lines = _classes(keyed.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(place).alias("row"), F.col("text").cast("string").alias("text")), threshold, fold)
     gone = lines.where(~F.col("kept")).groupBy(F.col("row").alias(place)).agg(F.collect_set("line_no").alias(out_lines))
     left = F.array_join(F.filter(F.split("text", "\n"), lambda line, i: ~F.array_contains(out_lines, i)), "\n")
     out = keyed.join(gone, place, "left").withColumn("text", F.when(F.col(out_lines).isNull() | F.col("text").isNull(), F.col("text")).otherwise(left))
