@@ -99,9 +99,10 @@ def test_lm_scores_by_plain_loops(spark, texts, shared, monkeypatch):
     got = {r.doc_id: r for r in lm.scores(documents(spark, rows).coalesce(2)).collect()}
     lists = [re.findall(r"\w+|[^\w\s]", (t or "").lower()) for t in rows]
     counts = Counter(w for x in lists for w in x)
-    named = sorted(counts, key=lambda w: (-counts[w], lm.token_hash(w)))[: lm.NAMED]
+    hashed = dict(zip(counts, lm.token_hashes(list(counts)).tolist()))
+    named = sorted(counts, key=lambda w: (-counts[w], hashed[w]))[: lm.NAMED]
     number = {w: k for k, w in enumerate(named)}
-    bucket = {w: lm.token_hash(w) % lm.BUCKETS for w in counts}
+    bucket = {w: hashed[w] % lm.BUCKETS for w in counts}
     totals = Counter()
     for w, n in counts.items():
         if w not in number:
@@ -152,7 +153,10 @@ def test_lm_gradient():
 
 def test_lm_scores_of_unnamed_tokens(spark):
     """Of two unnamed tokens of one bucket in the same places, one that occurs 3 times is 3 times as likely as one that occurs once."""
-    from vestige.llm.lm import BUCKETS, NAMED, scores, token_hash
+    from vestige.llm.lm import BUCKETS, NAMED, scores, token_hashes
+
+    def token_hash(word):
+        return int(token_hashes([word])[0])
 
     named = [f"w{i:05d}" for i in range(NAMED)]
     bucket = token_hash("x0") % BUCKETS
@@ -323,6 +327,42 @@ def test_toxicity(spark):
     assert np.mean([r.predicted == r.toxic for r in held]) > 0.85
 
 
+def test_toxicity_marginals_and_spans_by_enumeration():
+    """Marginals against summing all tag sequences, and the places of tokens that are likelier toxic than not."""
+    from itertools import product
+
+    from vestige.llm.toxicity import Crf
+
+    crf = Crf({"bad$": 3.0, "mild$": 0.7, "nice$": -1.0}, -1.5, np.array([[0.4, -0.6], [-0.3, 0.8]]), np.array([-1.0, 0.5, 0.5, 0.5, 0.0]))
+    text = "İx Bad one mild BAD two nice bad three four mild İ bad"
+    words = ["İx", "bad", "one", "mild", "bad", "two", "nice", "bad", "three", "four", "mild", "İ", "bad"]
+    weight = [crf.weights.get(w + "$", 0.0) + crf.bias for w in words]
+    mass = np.zeros((len(words), 2))
+    for tags in product((0, 1), repeat=len(words)):
+        p = np.exp(sum(t * w for t, w in zip(tags, weight)) + sum(crf.transitions[a, b] for a, b in zip(tags, tags[1:])))
+        mass[np.arange(len(words)), tags] += p
+    want = mass[:, 1] / mass.sum(axis=1)
+    at, p = crf.marginals(crf.evidence(words))
+    assert [words[k] in ("bad", "mild", "nice") for k in at] == [True] * len(at) and p == pytest.approx(want[at])
+    _, spans = crf.tag(text)
+    likely = [k for k in at.tolist() if want[k] >= 0.5]
+    assert likely and [text[s["start"] : s["stop"]].lower() for s in spans] == [words[k] for k in likely]
+    assert [s["probability"] for s in spans] == pytest.approx([want[k] for k in likely])
+    assert crf.tag(None) == crf.tag("") and crf.tag("")[1] == []
+
+
+def test_toxicity_of_odd_rows(spark):
+    from vestige.llm.toxicity import toxicity
+
+    labels = spark.createDataFrame([(i, 0, i % 2) for i in range(40)] + [(None, 1, 1), (3, None, None)], "doc_id long, quality int, toxic int")
+    docs = documents(spark, [f"word{'xyz'[i % 3]} plain text {'vile ' * (i % 2)} number {'abcdefgh'[i % 8]}" for i in range(40)] + [None, "", "vile " * 50_000, "word", "word"]).withColumn("score", F.lit("mine"))
+    docs = docs.unionByName(docs.where("doc_id = 43").withColumn("doc_id", F.lit(None).cast("long")))
+    got = toxicity(docs, labels).collect()
+    assert len(got) == 46 and all(0 <= r.score <= 1 for r in got)
+    by = {r.doc_id: r for r in got}
+    assert by[40].score == by[41].score and by[43].score == by[44].score == by[None].score and not by[None].held_out
+
+
 def test_toxicity_of_a_capped_sample(spark, monkeypatch):
     """5 % of documents are toxic, the capped sample is half toxic: a word in 9 of 10 toxic and 1 of 10 clean documents is no proof."""
     from vestige.llm import toxicity as X
