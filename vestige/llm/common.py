@@ -88,7 +88,7 @@ def text_words(text: str | None) -> list[bytes]:
 
 
 def slices(texts: pa.Array, most: int = SLICE_BYTES):
-    """(first, part) over runs of texts of about that many bytes."""
+    """(first, part) over runs of texts of about that many bytes; a longer text may end one."""
     size = np.asarray(pc.fill_null(pc.binary_length(texts), 0)).astype(np.int64)
     run = (np.cumsum(size) - size) // most
     cuts = [*np.flatnonzero(np.diff(run, prepend=-1)).tolist(), len(texts)]
@@ -96,6 +96,20 @@ def slices(texts: pa.Array, most: int = SLICE_BYTES):
         yield a, texts.slice(a, b - a)
 
 
+def joined(batches):
+    """(doc_ids, texts) of batches of (doc_id, text), joined or cut to about SLICE_BYTES of text."""
+    held, size = [], 0
+    for b in batches:
+        for i, texts in slices(b.column("text")):
+            if held and size + texts.nbytes > SLICE_BYTES:
+                yield tuple(map(pa.concat_arrays, zip(*held)))
+                held, size = [], 0
+            held.append((b.column("doc_id").slice(i, len(texts)), texts))
+            size += texts.nbytes
+    if held:
+        yield tuple(map(pa.concat_arrays, zip(*held)))
+
+
 def coded(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str]]:
     """(codes, ends, words): the words between ASCII white space of all texts as places in the list of different words; ends[i] is text i's last place.
 

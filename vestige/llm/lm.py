@@ -7,24 +7,22 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
-import xxhash
+from pandas.util import hash_array
 from pyspark.sql import DataFrame, functions as F
 
-from .common import coded, columns, gathered, numbered, prepare, saved, slices
+from .common import coded, columns, gathered, joined, numbered, prepare, saved
 
 #: Words known by name (the most frequent), classes of the two-step output, buckets that all other words share by hash.
 NAMED, CLASSES, BUCKETS = 1984, 32, 64
 SIZE = NAMED + BUCKETS  # the outputs; SIZE / CLASSES in a class
 #: Words on either side that predict the one between, and the widths of the network.
-SIDE, EMBED, HIDDEN = 2, 12, 24
+SIDE, EMBED, HIDDEN = 2, 16, 32
 #: Rounds over all documents after which weights are averaged, tokens of a step, and its size.
 ROUNDS, BATCH, RATE = 1, 4096, 0.05
 #: Unnamed tokens, the most frequent first, whose shares of their buckets every worker has (16 bytes each); those of the others are joined.
 SHARED = 1 << 17
 #: Tokens that are scored at once, and weights of a row in which shards' weights are shuffled.
 BLOCK, SLICE = 8_192, 8_192
-#: Bytes of text whose tokens are a row of the table of tokens.
-PART_BYTES = 1 << 20
 
 _words = re.compile(r"\w+|[^\w\s]").findall
 _marked = re.compile(r"\w+|[^\w\s]|\n").findall
@@ -36,10 +34,11 @@ def tokens(text: str | None) -> list[str]:
     return _words((text or "").lower())
 
 
-def token_hash(token: str) -> int:
-    """What a token is known by: 64 bits of XXH3, signed."""
-    h = xxhash.xxh3_64_intdigest(token.encode("utf-8", "surrogatepass"))
-    return h - (1 << 64) if h >> 63 else h
+def token_hashes(different: list[str]) -> np.ndarray:
+    """What tokens are known by: 64 bits of SipHash, signed."""
+    out = np.empty(len(different), object)
+    out[:] = different
+    return hash_array(out, categorize=False).view(np.int64)
 
 
 def tokenised(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -57,7 +56,7 @@ def tokenised(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     size = np.diff(edge)[words]
     codes = gathered(places[real], edge[:-1][words], size)
     del known["\n"]
-    return codes, np.concatenate([[0], np.cumsum(size)])[ends], np.fromiter(map(token_hash, known), np.int64, len(known))
+    return codes, np.concatenate([[0], np.cumsum(size)])[ends], token_hashes(list(known))
 
 
 class Ids:
@@ -135,7 +134,7 @@ def contexts(ids: np.ndarray, ends: np.ndarray) -> np.ndarray:
 
 
 def _hidden(model: dict[str, np.ndarray], context: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    e = model["embed"][context].reshape(len(context), -1)
+    e = np.take(model["embed"], context, axis=0).reshape(len(context), -1)
     return e, np.tanh(e @ model["w1"] + model["b1"])
 
 
@@ -146,21 +145,28 @@ def _by_class(target: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int, int]
     return order, [(c, a, b) for c, (a, b) in enumerate(zip(cuts, cuts[1:])) if b > a]
 
 
+def _softmax(x: np.ndarray) -> np.ndarray:
+    """In place.  Weights stay far from where exponentials of float32 end."""
+    np.exp(x, out=x)
+    x *= (1 / (x @ np.ones(x.shape[1], x.dtype)))[:, None]
+    return x
+
+
 def log_probabilities(model: dict[str, np.ndarray], context: np.ndarray, target: np.ndarray) -> np.ndarray:
     """log P(target | both sides): the target's class, then the target within it.  Classes take every CLASSES-th id."""
     out = np.empty(len(target))
     for i in range(0, len(target), BLOCK):
         order, runs = _by_class(target[i : i + BLOCK])
         goal = target[i : i + BLOCK][order]
-        _, h = _hidden(model, context[i : i + BLOCK][order])
+        _, h = _hidden(model, np.take(context[i : i + BLOCK], order, axis=0))
         every = np.arange(len(goal))
         x = h @ model["wc"]
         x += model["bc"]
-        got = x[every, goal % CLASSES] - np.log(np.exp(x, out=x).sum(axis=1))
+        got = x[every, goal % CLASSES] - np.log(np.exp(x, out=x) @ np.ones(x.shape[1], x.dtype))
         for c, a, b in runs:
             x = h[a:b] @ model["wi"][c]
             x += model["bi"][c]
-            got[a:b] += x[every[: b - a], goal[a:b] // CLASSES] - np.log(np.exp(x, out=x).sum(axis=1))
+            got[a:b] += x[every[: b - a], goal[a:b] // CLASSES] - np.log(np.exp(x, out=x) @ np.ones(x.shape[1], x.dtype))
         out[i + order] = got
     return out
 
@@ -169,21 +175,19 @@ def train(model: dict[str, np.ndarray], context: np.ndarray, target: np.ndarray,
     """One step of Adagrad on a batch, in place."""
     n = len(target)
     order, runs = _by_class(target)
-    context, target = context[order], target[order]
+    context, target = np.take(context, order, axis=0), target[order]
     e, h = _hidden(model, context)
     group, member, every = target % CLASSES, target // CLASSES, np.arange(n)
     pc = h @ model["wc"]
     pc += model["bc"]
-    np.exp(pc, out=pc)
-    pc /= pc.sum(axis=1, keepdims=True)
+    _softmax(pc)
     pc[every, group] -= 1
     dh = pc @ model["wc"].T
     grads = {"wc": h.T @ pc, "bc": pc.sum(0), "wi": np.zeros_like(model["wi"]), "bi": np.zeros_like(model["bi"])}
     for c, a, b in runs:
         p = h[a:b] @ model["wi"][c]
         p += model["bi"][c]
-        np.exp(p, out=p)
-        p /= p.sum(axis=1, keepdims=True)
+        _softmax(p)
         p[every[: b - a], member[a:b]] -= 1
         np.dot(h[a:b].T, p, out=grads["wi"][c])
         p.sum(axis=0, out=grads["bi"][c])
@@ -198,7 +202,7 @@ def train(model: dict[str, np.ndarray], context: np.ndarray, target: np.ndarray,
     ids = flat[by_id]
     first = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]]))
     grads["embed"] = np.zeros_like(model["embed"])
-    grads["embed"][ids[first]] = np.add.reduceat(de[by_id], first, axis=0)
+    grads["embed"][ids[first]] = np.add.reduceat(np.take(de, by_id, axis=0), first, axis=0)
     for k, g in grads.items():
         g /= np.float32(np.sqrt(n))
         if k not in state:
@@ -219,10 +223,9 @@ def token_table(docs: DataFrame) -> DataFrame:
     """The tokens of all documents, written once: a row is some documents' ids and what tokenised() gives for them (longs, but codes are ints)."""
 
     def run(batches):
-        for b in batches:
-            for i, texts in slices(b.column("text"), PART_BYTES):
-                codes, ends, hashes = tokenised(texts)
-                yield pa.RecordBatch.from_arrays([pa.array([b.column("doc_id").slice(i, len(texts)).to_pylist()], pa.list_(pa.int64())), *(pa.array([x.tobytes()], pa.binary()) for x in (ends, codes.astype(np.int32), hashes))], schema=_TABLE)
+        for doc_ids, texts in joined(batches):
+            codes, ends, hashes = tokenised(texts)
+            yield pa.RecordBatch.from_arrays([pa.array([doc_ids.to_pylist()], pa.list_(pa.int64())), *(pa.array([x.tobytes()], pa.binary()) for x in (ends, codes.astype(np.int32), hashes))], schema=_TABLE)
 
     return saved(columns(docs, doc_id="long", text="string").mapInArrow(run, "doc_ids array<long>, ends binary, codes binary, hashes binary"))
 
@@ -296,7 +299,7 @@ def fit(table: DataFrame, named: np.ndarray, counts: np.ndarray, rounds: int = R
                 own = ids.value.of(hashes)[codes]
                 context = contexts(own, ends)
                 for some in np.array_split(rng.permutation(len(own)), max(1, round(len(own) / BATCH))) if len(own) else []:
-                    train(model, context[some], own[some], state)
+                    train(model, np.take(context, some, axis=0), own[some], state)
                 done += len(own)
             if done:
                 w = pack(model).astype(np.float64) * done
