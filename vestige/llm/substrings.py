@@ -232,9 +232,11 @@ def repeated_spans(keyed: DataFrame, window: int = WINDOW, anchor: int = ANCHOR)
                 yield pa.RecordBatch.from_arrays([pa.array(rows[first + doc]), pa.array(start.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(key), pa.array(own), pa.array(content[:, 0]), pa.array(content[:, 1])], schema=_RUNS)
 
     runs = saved(keyed.mapInArrow(scan, "row long, start int, n int, key long, own boolean, c1 long, c2 long"))
+    # A key that stands once, in a run that can't hold a window twice, repeats nothing; that is most of the text, and goes no further.
+    again = runs.groupBy("key").agg(F.count("*").alias("runs"), F.max("own").alias("own")).where("runs > 1 or own").select("key")
+    runs = saved(runs.join(again, "key", "left_semi"))
     alike = runs.groupBy("key", "c1", "c2").agg(F.count("*").alias("copies"), F.min("row").alias("first"), F.max("own").alias("own"), F.first("n").alias("n"))
     groups = alike.groupBy("key").agg(F.count("*").alias("variants"), F.max("own").alias("own"), F.sum(F.col("n") + window - 1).alias("words")).where("variants > 1 or own")
-    # What occurs once and alone is dropped here; that is most of the text.
     live = alike.drop("own", "n").join(groups.select("key", "words"), "key", "left").where("copies > 1 or words is not null")
     found = saved(runs.join(live, ["key", "c1", "c2"]).where((F.col("copies") > 1) | (F.col("row") == F.col("first"))).select("row", "start", "n", "key", "copies", ((F.col("row") == F.col("first")) & F.col("words").isNotNull()).alias("open"), F.coalesce(F.col("words") > GROUP_WORDS, F.lit(False)).alias("crowd")))
     direct = found.where("copies > 1").select("row", "start", (F.col("start") + F.col("n") + window - 1).alias("stop"))
