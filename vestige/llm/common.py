@@ -25,7 +25,7 @@ def prepare(spark: SparkSession) -> SparkSession:
     that folder would be on one machine, so a session without the setting is refused.
     """
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(TEXT_ROWS))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 * SLICE_BYTES))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(2 * SLICE_BYTES))
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None)
@@ -96,12 +96,12 @@ def slices(texts: pa.Array, most: int = SLICE_BYTES):
         yield a, texts.slice(a, b - a)
 
 
-def joined(batches):
-    """(doc_ids, texts) of batches of (doc_id, text), joined or cut to about SLICE_BYTES of text."""
+def joined(batches, most: int = SLICE_BYTES):
+    """(doc_ids, texts) of batches of (doc_id, text), joined or cut to about that many bytes of text."""
     held, size = [], 0
     for b in batches:
-        for i, texts in slices(b.column("text")):
-            if held and size + texts.nbytes > SLICE_BYTES:
+        for i, texts in slices(b.column("text"), most):
+            if held and size + texts.nbytes > most:
                 yield tuple(map(pa.concat_arrays, zip(*held)))
                 held, size = [], 0
             held.append((b.column("doc_id").slice(i, len(texts)), texts))

@@ -171,7 +171,7 @@ def occurrences(docs: DataFrame, threshold: int = THRESHOLD, fold: bool = False)
 
 def _texts(docs: DataFrame, wanted: DataFrame, fold: bool) -> DataFrame:
     """(id, line) of the distinct lines of docs whose id is in wanted."""
-    slot = F.pmod(F.xxhash64("id"), F.lit(FILTER_BITS))
+    slot = F.shiftright(F.conv(F.hex(F.substring("id", 1, 3)), 16, 10).cast("long"), 1)  # ids are hashes: their first 23 bits are even
     words = wanted.select(slot.alias("s")).groupBy((F.col("s") / 64).cast("long").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(s % 64 as int))")).alias("bits")).collect()
     bits = np.zeros(FILTER_BITS // 64, np.int64)
     for r in words:  # at most FILTER_BITS / 64 rows
@@ -180,15 +180,14 @@ def _texts(docs: DataFrame, wanted: DataFrame, fold: bool) -> DataFrame:
 
     def run(batches):
         for b in batches:
-            lines = [(line_id(x), x) for text in b.column("text").to_pylist() for x in set(normalise(text, fold)) if len(x) >= LEAST]
-            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in lines], pa.binary()), pa.array([x for _, x in lines], pa.string())], names=["id", "line"])
-
-    def sift(batches):
-        for b in batches:
-            s = b.column("s").to_numpy()
-            yield b.filter(pa.array(shared.value[s >> 6] >> (s & 63) & 1 == 1)).drop_columns(["s"])
-
-    lines = docs.select("text").mapInArrow(run, "id binary, line string").select("id", "line", slot.alias("s")).mapInArrow(sift, "id binary, line string")
+            lines = [x for text in b.column("text").to_pylist() for x in set(normalise(text, fold)) if len(x) >= LEAST]
+            ids = [line_id(x) for x in lines]
+            first = np.frombuffer(b"".join(ids), np.uint8).reshape(-1, 16)[:, :3].astype(np.int64)
+            s = (first[:, 0] << 16 | first[:, 1] << 8 | first[:, 2]) >> 1
+            take = np.flatnonzero(shared.value[s >> 6] >> (s & 63) & 1).tolist()
+            yield pa.RecordBatch.from_arrays([pa.array([ids[k] for k in take], pa.binary()), pa.array([lines[k] for k in take], pa.string())], names=["id", "line"])
+
+    lines = docs.select("text").mapInArrow(run, "id binary, line string")
     return lines.distinct().join(wanted, "id", "left_semi")
 
 

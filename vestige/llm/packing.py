@@ -14,15 +14,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from tokenizers import Tokenizer
 
-from .common import coded, columns, gathered, prepare, slices
+from .common import SLICE_BYTES, coded, columns, gathered, joined, prepare
 from .vocabulary import pretokens_of_each
 
 #: Tokens that are packed together; a task holds no more than this and one Arrow batch.
 BLOCK_TOKENS = 2_000_000
 #: Longest cut of what is left of a document beyond whole sequences.
 PIECE = 512
-#: Pre-tokens whose ids a worker remembers before it starts anew: about 50 MB.
-MEMORY = 300_000
+#: Pre-tokens whose ids a worker remembers before it starts anew: about 30 MB.
+MEMORY = 200_000
 
 
 def differencing(sizes: np.ndarray, k: int) -> np.ndarray:
@@ -98,7 +98,17 @@ class _Ids:
 
     def clear(self) -> None:
         self.known: dict[str, int] = {"\n": -1}
-        self.pool, self.start, self.size = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.pool, self.start, self.size, self.again = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool)
+
+    def forget(self) -> None:
+        """Pre-tokens that no later run of texts has had go; all of them, where that leaves too many."""
+        keep = np.flatnonzero(self.again)
+        if 2 * len(keep) > MEMORY:
+            return self.clear()
+        names = [w for w, k in self.known.items() if k < 0 or self.again[k]]
+        self.known = dict(zip(names, range(-1, len(keep))))
+        self.pool, self.size = gathered(self.pool, self.start[keep], self.size[keep]), self.size[keep]
+        self.start, self.again = np.cumsum(self.size) - self.size, np.zeros(len(keep), bool)
 
     def learn(self, new: list[str]) -> None:
         pools = [self.pool]
@@ -117,14 +127,17 @@ class _Ids:
     def encode(self, texts: pa.Array) -> list[np.ndarray]:
         """The ids of each text."""
         if len(self.known) > MEMORY:
-            self.clear()
+            self.forget()
         special = pc.match_substring(texts, "<|").fill_null(False)
         odd = np.flatnonzero(np.asarray(special))
         codes, ends, different = coded(pc.if_else(special, "", texts))
         parts = pretokens_of_each(different)
+        old = len(self.known) - 1
         self.learn(list(set(parts).difference(self.known)))
         number = np.fromiter(map(self.known.__getitem__, parts), np.int64, len(parts))
         inside = number >= 0
+        self.again = np.concatenate([self.again, np.zeros(len(self.known) - 1 - old, bool)])
+        self.again[number[inside & (number < old)]] = True
         edge = np.concatenate([[0], np.cumsum(inside)[~inside]])
         number = number[inside]
         each = np.concatenate([[0], np.cumsum(self.size[number])])[edge]  # where each word's ids begin among those of all different words
@@ -183,17 +196,15 @@ def pack(docs: DataFrame, path: str, capacity: int = 4096, stop: int = 2) -> Dat
     def run(batches):
         encoder, base = _ids(path), TaskContext.get().partitionId() << 32
         doc_ids, ids, held = [], [], 0
-        for b in batches:
-            keys = b.column("doc_id").to_pylist()
-            for i, texts in slices(b.column("text")):
-                new = [np.concatenate([x, last]) for x in encoder.encode(texts)]
-                doc_ids += keys[i : i + len(new)]
-                ids += new
-                held += sum(map(len, new))
-                if held >= BLOCK_TOKENS:
-                    out, base = flush(doc_ids, ids, base)
-                    yield out
-                    doc_ids, ids, held = [], [], 0
+        for keys, texts in joined(batches, SLICE_BYTES // 2):
+            new = [np.concatenate([x, last]) for x in encoder.encode(texts)]
+            doc_ids += keys.to_pylist()
+            ids += new
+            held += sum(map(len, new))
+            if held >= BLOCK_TOKENS:
+                out, base = flush(doc_ids, ids, base)
+                yield out
+                doc_ids, ids, held = [], [], 0
         if ids:
             yield flush(doc_ids, ids, base)[0]
 
