@@ -80,8 +80,8 @@ def refang(text: Column) -> Column:
 
 
 def confusables(name: Column) -> Column:
-    """Letters and pairs that look alike folded to one: rn to m, vv to w, then 0 to o, 1 to l, 5 to s."""
-    return F.translate(F.replace(F.replace(F.lower(name), F.lit("rn"), F.lit("m")), F.lit("vv"), F.lit("w")), "015", "ols")
+    """Names that look alike folded to one: lower case, without - _ and ., 0 as o, 1 as l, rn as m, vv as w."""
+    return F.replace(F.replace(F.translate(F.lower(name), "01-_.", "ol"), F.lit("rn"), F.lit("m")), F.lit("vv"), F.lit("w"))
 
 
 def version(text: Column) -> Column:
@@ -119,6 +119,23 @@ def is_placeholder(value: Column) -> Column:
     return value.rlike(r"(?i)example|placeholder|changeme|redacted|dummy|your[_-]") | value.rlike(r"(.)\1{5}")
 
 
+#: Credential literals by kind; the first group is the value.
+CREDENTIALS = {
+    "assigned": r"(?i)\b(?:token|secret|password|api[_-]?key)\s*[=:]\s*[\"']([^\"'\s]{12,})[\"']",
+    "access_key": r"\b(AKIA[0-9A-Z]{16})\b",
+    "private_key": r"(-----BEGIN [A-Z ]*PRIVATE KEY-----)",
+}
+
+
+def credentials(text: Column) -> Column:
+    """The different credential literals of a text, placeholders left out: an array of (kind, value), empty for null."""
+
+    def of(kind: str, pattern: str) -> Column:
+        return F.transform(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(pattern), 1), lambda v: F.struct(F.lit(kind).alias("kind"), v.alias("value")))
+
+    return F.array_distinct(F.filter(F.concat(*(of(k, p) for k, p in CREDENTIALS.items())), lambda x: ~is_placeholder(x["value"])))
+
+
 def printable(text: Column) -> Column:
     """Without control, direction and invisible characters; tab and line end stay."""
     return F.regexp_replace(text, r"[\x00-\x08\x0B-\x1F\x7F​-‏‪-‮⁠-⁩﻿]", "")

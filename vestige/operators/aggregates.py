@@ -59,5 +59,10 @@ def adjusted_confidence(start: Column, steps: list[Column]) -> Column:
 
 
 def capped_lists(rows: DataFrame, kind: str, order: list, most: int) -> DataFrame:
-    """The first rows of each kind, with omitted: how many more there are."""
-    return rows.withColumn("k", F.row_number().over(Window.partitionBy(kind).orderBy(*order))).withColumn("omitted", F.greatest(F.count("*").over(Window.partitionBy(kind)) - most, F.lit(0))).where(F.col("k") <= most)
+    """The first rows of each kind, with omitted: how many more there are.  A null kind is a kind.
+
+    Ranks alone are filtered, so each task hands on its own first rows of a kind; the counts are a grouped join.
+    """
+    counts = rows.groupBy(F.col(kind).alias("__kind")).agg(F.count("*").alias("__n"))
+    first = rows.withColumn("__k", F.row_number().over(Window.partitionBy(kind).orderBy(*order))).where(F.col("__k") <= most)
+    return first.join(counts, F.col(kind).eqNullSafe(F.col("__kind"))).withColumn("omitted", F.greatest(F.col("__n") - most, F.lit(0))).drop("__k", "__n", "__kind")

@@ -113,3 +113,13 @@ def ancestors(parents: DataFrame, child: str, parent: str, depth: int) -> DataFr
         step = reach.select(F.col("child").alias("ancestor"), F.col("ancestor").alias("__up"), F.col("hops").alias("__h"))
         reach = reach.unionByName(reach.join(step, "ancestor").select("child", F.col("__up").alias("ancestor"), (F.col("hops") + F.col("__h")).alias("hops"))).where(F.col("hops") <= depth).groupBy("child", "ancestor").agg(F.min("hops").alias("hops"))
     return reach
+
+
+def orphans(rows: DataFrame, known: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows whose key stands nowhere in known; rows with a null key are orphans too, and repeated rows stay repeated."""
+    return rows.join(known.select(*keys), keys, "left_anti")
+
+
+def reused(found: DataFrame, value: str, source: str, least: int = 2) -> DataFrame:
+    """Values found in at least so many sources: value, n_sources.  Null values and sources don't count."""
+    return found.where(F.col(value).isNotNull()).groupBy(value).agg(F.count_distinct(source).alias("n_sources")).where(F.col("n_sources") >= least)

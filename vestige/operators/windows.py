@@ -83,6 +83,12 @@ def content_runs(rows: DataFrame, key: str, value: str, order: list[str]) -> Dat
 
 
 def last_before(events: DataFrame, key: str, wanted: Column, value: str, back: int, ts: str = "ts", tie: str = "event_id") -> DataFrame:
-    """events with trigger: the value of the latest wanted row among the back rows before each."""
-    w = Window.partitionBy(key).orderBy(micros(ts), tie).rowsBetween(-back, -1)
-    return events.withColumn("trigger", F.last(F.when(wanted, F.col(value)), ignorenulls=True).over(w))
+    """events with trigger: the value of the latest wanted row among the back rows before each.
+
+    A running last of the value and its row's number, so a row costs the same however far it looks back.
+    """
+    w = Window.partitionBy(key).orderBy(micros(ts), tie)
+    rows = events.withColumn("__n", F.row_number().over(w))
+    last = F.last(F.when(wanted, F.struct(F.col(value).alias("v"), F.col("__n").alias("n"))), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    found = rows.withColumn("__last", last)
+    return found.withColumn("trigger", F.when(F.col("__n") - F.col("__last.n") <= back, F.col("__last.v"))).drop("__n", "__last")

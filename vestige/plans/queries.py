@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import text as T
-from ..operators import aggregates as A, joins as J, windows as W
+from ..operators import aggregates as A, joins as J, sessions as S, windows as W
 from . import rules as R
 
 QUERIES, SQL = {}, {}
@@ -112,9 +112,9 @@ def pair_call_result(spark, d):
     return J.pair_first(calls, results, ["conv_id"], ["call"], ["result"])
 
 
-@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_custkey IS NOT NULL)")
+@query("SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE doc_id IS NOT NULL)")
 def orphan_anti(spark, d):
-    return _t(spark, d, "customer").join(_t(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_anti").select("c_custkey")
+    return J.orphans(_t(spark, d, "documents").select("doc_id"), _t(spark, d, "labels"), ["doc_id"])
 
 
 _SPAN = "SELECT user_id, event_id AS span_id, epoch_us(ts) - 1800000000 AS start, epoch_us(ts) + 1800000000 AS stop FROM events WHERE event_type = 'purchase'"
@@ -162,18 +162,19 @@ def prefix_join(spark, d):
     return J.prefix_join(full.select(F.substring("full_id", 1, 9).alias("short_id")), full, "short_id", "full_id", 7, 16)
 
 
-@query("""WITH p AS (SELECT conv_id * 1000 + turn AS id, list_distinct(list_filter(regexp_split_to_array(lower(text), '[^a-z0-9]+'), lambda x: x <> '')) AS s FROM conversations)
-SELECT a, b, j AS jaccard FROM (SELECT a.id AS a, b.id AS b, len(list_intersect(a.s, b.s)) / (len(a.s) + len(b.s) - len(list_intersect(a.s, b.s))) AS j FROM p a JOIN p b ON a.id < b.id WHERE len(a.s) > 0 AND len(b.s) > 0) WHERE j >= 0.8""")
+@query("""WITH p AS (SELECT doc_id AS id, list_distinct(list_filter(regexp_split_to_array(lower(text), '[^a-z0-9]+'), lambda x: x <> '')) AS s FROM documents)
+SELECT a, b, j AS jaccard FROM (SELECT a.id AS a, b.id AS b, len(list_intersect(a.s, b.s)) / (len(a.s) + len(b.s) - len(list_intersect(a.s, b.s))) AS j FROM p a JOIN p b ON a.id < b.id WHERE len(a.s) > 0 AND len(b.s) > 0 AND len(a.s) >= 0.8 * len(b.s) AND len(b.s) >= 0.8 * len(a.s)) WHERE j >= 0.8""")
 def jaccard_similarity(spark, d):
-    c = _t(spark, d, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), T.words(F.col("text")).alias("w"))
-    return J.similar(c, "id", "w", 0.8)
+    return J.similar(_t(spark, d, "documents").select(F.col("doc_id").alias("id"), T.words(F.col("text")).alias("w")), "id", "w", 0.8)
 
 
-@query("""WITH a AS (SELECT p_partkey AS k, p_size AS v FROM part WHERE p_partkey % 3 <> 0), b AS (SELECT p_partkey AS k, CASE WHEN p_partkey % 5 = 0 THEN p_size + 1 ELSE p_size END AS v FROM part WHERE p_partkey % 7 <> 0)
+@query("""WITH a AS (SELECT c_custkey AS k, c_nationkey AS v FROM customer), b AS (SELECT o_custkey + 7 AS k, min(o_orderkey) % 25 AS v FROM orders GROUP BY 1)
 SELECT k, CASE WHEN a.k IS NULL THEN 'ADDED' WHEN b.k IS NULL THEN 'REMOVED' ELSE 'MODIFIED' END AS change FROM a FULL JOIN b USING (k) WHERE a.k IS NULL OR b.k IS NULL OR a.v IS DISTINCT FROM b.v""")
 def baseline_diff(spark, d):
-    p = _t(spark, d, "part").select(F.col("p_partkey").alias("k"), F.col("p_size").alias("v"))
-    return J.difference(p.where("k % 3 <> 0"), p.where("k % 7 <> 0").withColumn("v", F.when(F.col("k") % 5 == 0, F.col("v") + 1).otherwise(F.col("v"))), "k", "v")
+    """Customers with their nations against customers of orders, counted on by 7, with a figure of their orders."""
+    before = _t(spark, d, "customer").select(F.col("c_custkey").alias("k"), F.col("c_nationkey").alias("v"))
+    after = _t(spark, d, "orders").groupBy((F.col("o_custkey") + 7).alias("k")).agg((F.min("o_orderkey") % 25).alias("v"))
+    return J.difference(before, after, "k", "v")
 
 
 @query("""SELECT a.event_id, min(epoch_us(b.ts)) AS next_us FROM events a JOIN events b ON a.user_id = b.user_id AND a.event_type = 'click' AND b.event_type = 'purchase' AND epoch_us(b.ts) > epoch_us(a.ts) AND epoch_us(b.ts) <= epoch_us(a.ts) + 86400000000 GROUP BY a.event_id""")
@@ -231,10 +232,10 @@ def corpus_scores(spark, d):
     return A.corpus_scores(x.where("toxic = 1"), x.where("quality = 0"), ["doc_id"])
 
 
-@query("""WITH s AS (SELECT user_id, CASE event_type WHEN 'error' THEN 'CONTRADICTED' WHEN 'purchase' THEN 'CORROBORATED' WHEN 'click' THEN 'OBSERVED' ELSE 'REPORTED' END AS state FROM events WHERE event_id % 7 = 0)
+@query("""WITH s AS (SELECT user_id, CASE event_type WHEN 'error' THEN 'CONTRADICTED' WHEN 'purchase' THEN 'CORROBORATED' WHEN 'click' THEN 'OBSERVED' ELSE 'REPORTED' END AS state FROM events)
 SELECT user_id, arg_min(state, CASE state WHEN 'CONTRADICTED' THEN 0 WHEN 'CORROBORATED' THEN 1 WHEN 'OBSERVED' THEN 3 ELSE 4 END) AS state FROM s GROUP BY user_id""")
 def evidence_state(spark, d):
-    e = _t(spark, d, "events").where("event_id % 7 = 0")
+    e = _t(spark, d, "events")
     k = F.col("event_type")
     return A.strongest_state(e.withColumn("state", F.when(k == "error", "CONTRADICTED").when(k == "purchase", "CORROBORATED").when(k == "click", "OBSERVED").otherwise("REPORTED")), "user_id")
 
@@ -267,21 +268,26 @@ def host_extract_allowlist(spark, d):
 _EMAIL = r"[A-Za-z0-9._-]+@[A-Za-z0-9.-]+"
 
 
-@query()
+@query(f"""WITH p AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{_EMAIL}') AS f, regexp_split_to_array(coalesce(text, ''), '{_EMAIL}') AS r FROM documents)
+SELECT doc_id, r[1] || coalesce(array_to_string(list_transform(range(1, len(f) + 1), lambda i: '[REDACTED:email:' || substr(sha256(f[i]), 1, 8) || ']' || r[i + 1]), ''), '') AS text FROM p""")
 def redact_markers(spark, d):
     return _t(spark, d, "documents").select("doc_id", T.redact(F.coalesce("text", F.lit("")), _EMAIL, "email").alias("text"))
 
 
-@query(f"SELECT doc_id, sha256(v) AS fingerprint FROM (SELECT doc_id, unnest(list_distinct(regexp_extract_all(text, '{_EMAIL}'))) AS v FROM documents)")
+_SECRETS = " UNION ALL ".join(f"""SELECT doc_id, source, '{k}' AS kind, unnest(regexp_extract_all(text, '{p.replace("'", "''")}', 1)) AS v FROM documents""" for k, p in T.CREDENTIALS.items())
+_REAL = "NOT regexp_matches(v, '(?i)example|placeholder|changeme|redacted|dummy|your[_-]') AND NOT regexp_matches(v, '" + "|".join(f"[{c}]{{6}}" for c in "0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ_-") + "')"
+
+
+@query(f"SELECT DISTINCT doc_id, kind, sha256(v) AS fingerprint FROM ({_SECRETS}) WHERE {_REAL}")
 def secret_scan(spark, d):
-    found = _t(spark, d, "documents").select("doc_id", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(_EMAIL), 0))).alias("v"))
-    return found.select("doc_id", F.sha2(F.col("v").cast("binary"), 256).alias("fingerprint"))
+    found = _t(spark, d, "documents").select("doc_id", F.explode(T.credentials(F.col("text"))).alias("c"))
+    return found.select("doc_id", "c.kind", F.sha2(F.col("c.value").cast("binary"), 256).alias("fingerprint")).distinct()
 
 
-@query(f"SELECT v, count(DISTINCT source) AS n_sources FROM (SELECT source, unnest(regexp_extract_all(text, '{_EMAIL}')) AS v FROM documents) GROUP BY v HAVING count(DISTINCT source) >= 2")
+@query(f"SELECT sha256(v) AS fingerprint, count(DISTINCT source) AS n_sources FROM ({_SECRETS}) WHERE {_REAL} GROUP BY v HAVING count(DISTINCT source) >= 2")
 def secret_reuse(spark, d):
-    found = _t(spark, d, "documents").select("source", F.explode(F.regexp_extract_all("text", F.lit(_EMAIL), 0)).alias("v"))
-    return found.groupBy("v").agg(F.count_distinct("source").alias("n_sources")).where("n_sources >= 2")
+    found = _t(spark, d, "documents").select("source", F.explode(T.credentials(F.col("text"))).alias("c"))
+    return J.reused(found.select(F.sha2(F.col("c.value").cast("binary"), 256).alias("fingerprint"), "source"), "fingerprint", "source")
 
 
 @query(r"SELECT event_id, trim(regexp_replace(event_type || '   ' || props, '\s+', ' ', 'g')) AS row_text FROM events WHERE event_type IN ('click', 'error') AND contains(lower(event_type || ' ' || props), '9}')")
@@ -290,7 +296,7 @@ def explorer_filter(spark, d):
     return e.select("event_id", T.squeeze(F.concat("event_type", F.lit("   "), "props")).alias("row_text"))
 
 
-@query("SELECT p_partkey, translate(replace(replace(lower(p_name), 'rn', 'm'), 'vv', 'w'), '015', 'ols') AS folded FROM part")
+@query("SELECT p_partkey, replace(replace(replace(replace(replace(replace(replace(lower(p_name), '-', ''), '_', ''), '.', ''), '0', 'o'), '1', 'l'), 'rn', 'm'), 'vv', 'w') AS folded FROM part")
 def confusable_names(spark, d):
     return _t(spark, d, "part").select("p_partkey", T.confusables(F.col("p_name")).alias("folded"))
 
@@ -319,3 +325,106 @@ def chain3_greedy(spark, d):
     k = F.col("event_type")
     chain = R.Chain("view-click-purchase", (R.Step(k == "view"), R.Step(k == "click"), R.Step(k == "purchase")), 2 * 86_400_000_000)
     return R.chain_matches(_t(spark, d, "events").withColumn("at", W.micros()), chain, "user_id", "at", "event_id")
+
+
+# Detections within sessions.
+
+
+def _u(spark, d) -> DataFrame:
+    return _t(spark, d, "events").withColumn("u", W.micros())
+
+
+@query("SELECT count(*) AS n, arg_min(event_id, (epoch_us(ts), event_id)) AS first_event FROM events WHERE event_type = 'error'")
+def global_first(spark, d):
+    return S.count_with_first(_u(spark, d), F.col("event_type") == "error", "u", "event_id")
+
+
+@query("SELECT user_id, count(*) AS n FROM events WHERE event_type = 'click' GROUP BY user_id HAVING count(*) > 10")
+def spawn_explosion(spark, d):
+    return S.sessions_over(_u(spark, d), "user_id", F.col("event_type") == "click", 10)
+
+
+@query("""WITH o AS (SELECT o_custkey, o_orderstatus = 'P' AS broken, epoch_us(CAST(o_orderdate AS TIMESTAMP)) AS u, lag(epoch_us(CAST(o_orderdate AS TIMESTAMP)) IGNORE NULLS) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS p FROM orders),
+g AS (SELECT o_custkey, count(*) FILTER (WHERE broken) AS breaks, count(*) FILTER (WHERE u < p - 60000000) AS steps_back FROM o GROUP BY o_custkey)
+SELECT *, CASE WHEN breaks > 0 THEN 'HIGH' ELSE 'MEDIUM' END AS severity FROM g WHERE breaks > 0 OR steps_back > 0""")
+def session_tampering(spark, d):
+    return S.integrity(_t(spark, d, "orders").withColumn("u", W.micros("o_orderdate")), "o_custkey", F.col("o_orderstatus") == "P", "u", "o_orderkey")
+
+
+@query("""WITH t AS (SELECT user_id, max(epoch_us(ts)) AS done_us FROM events WHERE event_type = 'purchase' GROUP BY user_id)
+SELECT user_id, done_us, arg_min(event_id, (epoch_us(ts), event_id)) AS event_id FROM events JOIN t USING (user_id) WHERE event_type <> 'purchase' AND epoch_us(ts) > done_us + 60000000 GROUP BY user_id, done_us""")
+def resume_after_done(spark, d):
+    return S.resumed_after_done(_u(spark, d), "user_id", "user_id", F.col("event_type") == "purchase", "u", "event_id")
+
+
+@query("SELECT conv_id, count(DISTINCT role) AS n_identities FROM conversations GROUP BY conv_id HAVING count(DISTINCT role) >= 2")
+def identity_switch(spark, d):
+    return S.several_identities(_t(spark, d, "conversations"), "conv_id", "role")
+
+
+_MODE = "CASE WHEN event_type = 'view' THEN 'plan' WHEN event_type = 'signup' THEN 'open' END"
+
+
+@query(f"""SELECT user_id, event_id FROM (SELECT user_id, event_id, event_type, last_value({_MODE} IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY epoch_us(ts), event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS m FROM events)
+WHERE event_type = 'purchase' AND m = 'plan'""")
+def plan_mode_change(spark, d):
+    return S.changes_in_mode(_u(spark, d), "user_id", F.expr(_MODE), "plan", F.col("event_type") == "purchase", "u", "event_id")
+
+
+@query("""WITH e AS (SELECT user_id, event_id, epoch_us(ts) AS u, CASE WHEN event_type IN ('view', 'click') THEN CAST(value > 20 AS INTEGER) + CAST(value > 60 AS INTEGER) END AS r, sum(CASE WHEN event_type = 'signup' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY epoch_us(ts), event_id ROWS UNBOUNDED PRECEDING) AS a FROM events),
+p AS (SELECT *, lag(r) OVER w AS was, lag(a) OVER w AS b FROM e WHERE r IS NOT NULL WINDOW w AS (PARTITION BY user_id ORDER BY u, event_id))
+SELECT user_id, event_id, was, r AS now FROM p WHERE r > was AND a = b""")
+def permission_drift(spark, d):
+    rank = F.when(F.col("event_type").isin("view", "click"), (F.col("value") > 20).cast("int") + (F.col("value") > 60).cast("int"))
+    return S.widened_unapproved(_u(spark, d), "user_id", rank, F.col("event_type") == "signup", "u", "event_id")
+
+
+@query("""WITH e AS (SELECT *, last_value(CASE WHEN event_type IN ('view', 'signup') THEN event_id END IGNORE NULLS) OVER w AS m, last_value(CASE WHEN event_type IN ('view', 'signup') THEN event_type END IGNORE NULLS) OVER w AS k FROM events WINDOW w AS (PARTITION BY user_id ORDER BY epoch_us(ts), event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
+SELECT user_id, event_id, m AS source_event FROM e WHERE event_type = 'purchase' AND k = 'view'""")
+def multimodal_trigger(spark, d):
+    k = F.col("event_type")
+    return S.unprompted(_u(spark, d), "user_id", k == "view", k == "signup", k == "purchase", "u", "event_id")
+
+
+@query("""SELECT user_id, event_id FROM (SELECT user_id, event_id, event_type, lag(event_type) OVER (PARTITION BY user_id ORDER BY epoch_us(ts), event_id) AS p FROM events WHERE event_type IN ('error', 'purchase', 'click')) WHERE event_type = 'purchase' AND p = 'error'""")
+def unverified_success(spark, d):
+    k = F.col("event_type")
+    return S.unverified_success(_u(spark, d), "user_id", k == "error", k == "purchase", k == "click", "u", "event_id")
+
+
+@query("""WITH s AS (SELECT l_partkey, CAST(l_suppkey AS VARCHAR) AS v, min(l_orderkey) AS a FROM lineitem WHERE l_suppkey IS NOT NULL GROUP BY 1, 2)
+SELECT l_partkey, count(*) AS n_versions, array_to_string(list(v ORDER BY a, v)[1:20], ',') AS versions FROM s GROUP BY l_partkey HAVING count(*) >= 2""")
+def identity_drift(spark, d):
+    return S.drifting(_t(spark, d, "lineitem"), ["l_partkey"], "l_suppkey", "l_orderkey")
+
+
+_ERA = (820_454_400_000_000, 883_612_800_000_000)  # 1996 and 1998 begin
+
+
+@query(f"""WITH r AS (SELECT l_orderkey AS o_orderkey, min(epoch_us(CAST(l_shipdate AS TIMESTAMP))) AS done FROM lineitem GROUP BY 1), c AS (SELECT o_orderkey, epoch_us(CAST(o_orderdate AS TIMESTAMP)) AS u, done FROM orders LEFT JOIN r USING (o_orderkey))
+SELECT o_orderkey, 'before_era' AS fault FROM c WHERE u < {_ERA[0]} UNION ALL SELECT o_orderkey, 'future' FROM c WHERE u > {_ERA[1]} UNION ALL SELECT o_orderkey, 'result_first' FROM c WHERE done < u""")
+def clock_anomaly(spark, d):
+    calls = _t(spark, d, "orders").select("o_orderkey", W.micros("o_orderdate").alias("u"))
+    results = _t(spark, d, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), W.micros("l_shipdate").alias("done"))
+    return S.clock_faults(calls, results, "o_orderkey", "u", "done", *_ERA)
+
+
+@query("SELECT props, count(*) FILTER (WHERE event_type = 'error') AS errors, count(*) AS n FROM events GROUP BY props HAVING count(*) FILTER (WHERE event_type = 'error') >= 5")
+def backend_errors(spark, d):
+    return S.error_rates(_u(spark, d), "props", F.col("event_type") == "error", 5)
+
+
+@query(f"WITH f AS ({_FINDINGS}) SELECT 'severity' AS facet, severity AS value, count(*) AS n FROM f GROUP BY severity UNION ALL SELECT 'rule_id', rule_id, count(*) FROM f GROUP BY rule_id")
+def case_summary(spark, d):
+    return S.summary(_findings(_t(spark, d, "events")), "severity", "rule_id")
+
+
+@query("""SELECT conv_id, count(*) AS turns, CAST(sum(length(text)) AS BIGINT) AS chars, count(DISTINCT role) AS roles, arg_min(substr(text, 1, 80), turn) FILTER (WHERE role = 'user') AS opening FROM conversations GROUP BY conv_id""")
+def conversation_list(spark, d):
+    return S.conversation_list(_t(spark, d, "conversations"), "conv_id", "turn", "role", "text")
+
+
+@query("""SELECT r.user_id, r.props, r.event_id, max(epoch_us(f.ts)) AS fetched_us FROM events r JOIN events f ON f.user_id = r.user_id AND f.props = r.props AND f.event_type = 'view' AND r.event_type = 'click' AND epoch_us(f.ts) <= epoch_us(r.ts) AND epoch_us(r.ts) - epoch_us(f.ts) <= 864000000000 GROUP BY ALL""")
+def artifact_execution(spark, d):
+    e = _u(spark, d)
+    return S.fetched_then_run(e.where("event_type = 'view'"), e.where("event_type = 'click'"), ["user_id", "props"], "u", "u", "event_id", 864_000_000_000)
