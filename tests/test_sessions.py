@@ -103,8 +103,8 @@ def test_confusables(spark):
     assert [r.y for r in rows] == ["mwol5", None]
 
 
-def test_dot(spark):
-    from vestige.sinks.lines import dot
+def test_digraph(spark):
+    from vestige.sinks.lines import digraph
 
     rows = spark.createDataFrame([('a"b', "c\\d", "uses"), (None, "e", "x")], "from string, to string, relation string")
-    assert [r.value for r in dot(rows).collect()] == ["digraph events {", '"a\\"b" -> "c\\\\d" [label="uses"];', '"" -> "e" [label="x"];', "}"]
+    assert [r.value for r in digraph(rows).collect()] == ["digraph events {", '"a\\"b" -> "c\\\\d" [label="uses"];', '"" -> "e" [label="x"];', "}"]

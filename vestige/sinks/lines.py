@@ -25,12 +25,16 @@ def l2t_csv(events: DataFrame) -> DataFrame:
     return events.select(F.date_format("ts", "MM/dd/yyyy").alias("date"), F.date_format("ts", "HH:mm:ss").alias("time"), F.lit("UTC").alias("timezone"), F.lit("....").alias("MACB"), F.lit("LOG").alias("source"), F.col("kind").alias("sourcetype"), F.col("kind").alias("type"), F.col("user"), blank.alias("host"), F.substring("message", 1, 80).alias("short"), F.col("message").alias("desc"), F.lit(2).alias("version"), blank.alias("filename"), blank.alias("inode"), blank.alias("notes"), blank.alias("format"), blank.alias("extra"))
 
 
-def dot(edges: DataFrame, name: str = "events") -> DataFrame:
-    """The lines of a Graphviz digraph: its head, an edge for each row of (from, to, relation), its end; partitions are in that order."""
+def dot(edges: DataFrame) -> DataFrame:
+    """Edge lines of a Graphviz digraph (from, to, relation); nulls are empty names."""
 
     def quoted(c: str) -> Column:
         return F.concat(F.lit('"'), F.replace(F.replace(F.coalesce(F.col(c).cast("string"), F.lit("")), F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"')), F.lit('"'))
 
-    lines = edges.select(F.concat(quoted("from"), F.lit(" -> "), quoted("to"), F.lit(" [label="), quoted("relation"), F.lit("];")).alias("value"))
+    return edges.select(F.concat(quoted("from"), F.lit(" -> "), quoted("to"), F.lit(" [label="), quoted("relation"), F.lit("];")).alias("value"))
+
+
+def digraph(edges: DataFrame, name: str = "events") -> DataFrame:
+    """A whole Graphviz file: its head, dot()'s lines and its end, in the order of the partitions."""
     head, end = (edges.sparkSession.range(1).select(F.lit(x).alias("value")) for x in (f"digraph {name} {{", "}"))
-    return head.unionByName(lines).unionByName(end)
+    return head.unionByName(dot(edges)).unionByName(end)
