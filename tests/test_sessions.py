@@ -108,3 +108,15 @@ def test_digraph(spark):
 
     rows = spark.createDataFrame([('a"b', "c\\d", "uses"), (None, "e", "x")], "from string, to string, relation string")
     assert [r.value for r in digraph(rows).collect()] == ["digraph events {", '"a\\"b" -> "c\\\\d" [label="uses"];', '"" -> "e" [label="x"];', "}"]
+
+
+def test_similar_sets(spark):
+    """All pairs of small sets from few tokens, with equal, null and empty ones, against comparing every two."""
+    import random
+
+    rng = random.Random(5)
+    sets = [sorted(rng.sample("abcdefghijkl", rng.randint(1, 9))) for _ in range(60)] + [["a"], ["a"], [], None]
+    rows = spark.createDataFrame(list(enumerate(sets)), "id int, w array<string>")
+    for least in (0.5, 0.8, 1.0):
+        want = {(i, j) for i, x in enumerate(sets) for j, y in enumerate(sets) if i < j and x and y and len(set(x) & set(y)) >= least * len(set(x) | set(y)) - 1e-12}
+        assert {(r.a, r.b) for r in J.similar(rows, "id", "w", least).collect()} == want

@@ -75,18 +75,22 @@ def prefix_join(short: DataFrame, full: DataFrame, a: str, b: str, n: int, most:
 
 
 def similar(rows: DataFrame, id: str, tokens: str, least: float) -> DataFrame:
-    """Pairs a < b of token sets with a Jaccard similarity of at least least: a, b, jaccard.
+    """Pairs a < b of token sets with a Jaccard similarity of at least least: a, b, jaccard.  Null and empty sets are in no pair.
 
-    Prefix filter: sorted from rare to frequent, two such sets share one of their first n - ceil(least n) + 1 tokens; sizes must fit too.
+    Prefix filter: sorted from rare to frequent, two such sets share one of their first n - ceil(least n) + 1 tokens; sizes must fit, and so must
+    what is left behind the first token shared.  Ids, sizes and places alone are joined by token; sets are fetched for the pairs left.
     """
     item = rows.select(F.col(id).alias("id"), F.explode(tokens).alias("t"))
     counts = item.groupBy("t").agg(F.count("*").alias("c"))
     ordered = item.join(counts, "t").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("c", "t"))).alias("s"))
-    n = F.size("s")
-    entry = ordered.select("id", F.transform("s", lambda x: x["t"]).alias("s")).withColumn("t", F.explode(F.slice("s", 1, n - F.ceil(n * F.lit(least) - 1e-9).cast("int") + 1)))
-    a, b = entry.select(F.col("id").alias("a"), "t", F.col("s").alias("x")), entry.select(F.col("id").alias("b"), "t", F.col("s").alias("y"))
-    near = a.join(b, "t").where("a < b").where((F.size("x") >= F.size("y") * least) & (F.size("y") >= F.size("x") * least))
-    return near.dropDuplicates(["a", "b"]).select("a", "b", jaccard(F.col("x"), F.col("y")).alias("jaccard")).where(F.col("jaccard") >= least)
+    sets, n = ordered.select("id", F.transform("s", lambda x: x["t"]).alias("s")), F.size("s")
+    entry = sets.select("id", n.alias("n"), F.posexplode(F.slice("s", 1, n - F.ceil(n * F.lit(least) - 1e-9).cast("int") + 1)).alias("at", "t"))
+    a, b = entry.select(F.col("id").alias("a"), "t", F.col("n").alias("m"), F.col("at").alias("i")), entry.select(F.col("id").alias("b"), "t", "n", F.col("at").alias("j"))
+    fits = (F.col("m") >= F.col("n") * least) & (F.col("n") >= F.col("m") * least)
+    room = F.least(F.col("m") - F.col("i"), F.col("n") - F.col("j")) >= F.lit(least / (1 + least)) * (F.col("m") + F.col("n")) - 1e-9
+    pairs = a.join(b, "t").where("a < b").where(fits & room).select("a", "b").distinct()
+    near = pairs.join(sets.select(F.col("id").alias("a"), F.col("s").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("s").alias("y")), "b")
+    return near.select("a", "b", jaccard(F.col("x"), F.col("y")).alias("jaccard")).where(F.col("jaccard") >= least)
 
 
 def difference(before: DataFrame, after: DataFrame, key: str, value: str) -> DataFrame:
