@@ -120,3 +120,9 @@ def test_similar_sets(spark):
     for least in (0.5, 0.8, 1.0):
         want = {(i, j) for i, x in enumerate(sets) for j, y in enumerate(sets) if i < j and x and y and len(set(x) & set(y)) >= least * len(set(x) | set(y)) - 1e-12}
         assert {(r.a, r.b) for r in J.similar(rows, "id", "w", least).collect()} == want
+
+
+def test_metadata_hosts(spark):
+    hosts = ["169.254.169.254", "METADATA", "[fd00:ec2::254]", "0xA9FEA9FE", "100.100.100.200", "169.254.169.25", "example.net", "", None]
+    rows = spark.createDataFrame([(h,) for h in hosts], "h string").select(T.is_metadata(F.col("h")).alias("m")).collect()
+    assert [r.m for r in rows] == [True] * 5 + [False] * 3 + [None]

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 #: Addresses of cloud instance metadata.
-METADATA_HOSTS = ("169.254.169.254", "metadata.google.internal", "metadata", "fd00:ec2::254")
+METADATA_HOSTS = ("169.254.169.254", "metadata.google.internal", "metadata", "fd00:ec2::254", "169.254.170.2", "100.100.100.200", "169.254.169.253", "2852039166", "0xa9fea9fe", "0xa9.0xfe.0xa9.0xfe", "0251.0376.0251.0376", "::ffff:a9fe:a9fe", "::ffff:169.254.169.254")
 #: Severities and evidence states, worst or strongest first.
 SEVERITIES = ("CRITICAL", "HIGH", "MEDIUM", "LOW", "INFO")
 EVIDENCE_STATES = ("CONTRADICTED", "CORROBORATED", "PARTIALLY_CORROBORATED", "OBSERVED", "REPORTED", "REQUESTED", "UNKNOWN")
@@ -57,7 +57,8 @@ def is_allowed(host: Column, allowed: tuple[str, ...]) -> Column:
 
 
 def is_metadata(host: Column) -> Column:
-    return host.isin(*METADATA_HOSTS)
+    """Whether a host, in any case and with or without brackets, serves a cloud machine's own credentials; null for null."""
+    return F.regexp_replace(F.lower(host), r"^\[|\]\z", "").isin(*METADATA_HOSTS)
 
 
 def host_key(host: Column) -> Column:
