@@ -14,6 +14,8 @@ from .common import columns, numbered, prepare, saved, text_words
 WINDOW, ANCHOR = 35, 8
 #: Most words of a group of suffixes, which one tree holds; larger groups are split by the next of these prefix lengths, which are words of a window.
 GROUP_WORDS, PREFIXES = 400_000, (12, 20)
+#: Shares in which the windows of one prefix are counted.
+SALTS = 64
 #: Bytes of text that are hashed at once.
 CHUNK_BYTES = 1 << 20
 
@@ -215,6 +217,17 @@ def _trees(pieces: DataFrame, window: int) -> DataFrame:
     return pieces.select("group", "row", "start", "stretch").repartition("group").sortWithinPartitions("group").mapInArrow(trees, "row long, start int, stop int")
 
 
+def _counted(pieces: DataFrame, *keys: str) -> DataFrame:
+    """The pieces whose keys stand more than once, and how often (n).
+
+    A group's pieces are counted and joined in SALTS shares, and only the shares' counts meet, so no task reads a whole large group.
+    """
+    salted = pieces.withColumn("salt", F.pmod(F.xxhash64("row", "start"), F.lit(SALTS)).cast("int"))
+    shares = salted.groupBy(*keys, "salt").agg(F.count("*").alias("n"))
+    totals = shares.groupBy(*keys).agg(F.sum("n").alias("n"), F.collect_list("salt").alias("salts")).where("n > 1")
+    return salted.join(totals.select(*keys, "n", F.explode("salts").alias("salt")), [*keys, "salt"]).drop("salt")
+
+
 def repeated_spans(keyed: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
     """(row, start, stop): ranges of words covered by windows that start anywhere else too; they may overlap.  keyed: (row, text).
 
@@ -261,12 +274,10 @@ def repeated_spans(keyed: DataFrame, window: int = WINDOW, anchor: int = ANCHOR)
     grown = [pieces.where(~F.col("crowd")).withColumn("group", F.col("key"))]
     left = pieces.where("crowd")
     for p in ("p0", "p1"):
-        n = left.groupBy("key", p).agg(F.count("*").alias("n")).where("n > 1")
-        sized = left.join(n, ["key", p])
+        sized = _counted(left, "key", p)
         grown.append(sized.where(F.col("n") * window <= GROUP_WORDS).withColumn("group", F.xxhash64("key", p)).drop("n"))
         left = sized.where(F.col("n") * window > GROUP_WORDS).drop("n")
-    ends = left.groupBy("c1", "c2").agg(F.count("*").alias("n")).where("n > 1")
-    whole = left.join(ends, ["c1", "c2"], "left_semi").select("row", "start", (F.col("start") + window).alias("stop"))
+    whole = _counted(left, "c1", "c2").select("row", "start", (F.col("start") + window).alias("stop"))
     spans = [direct, *(_trees(g, window) for g in grown), whole]
     out = spans[0]
     for more in spans[1:]:
