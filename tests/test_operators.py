@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from vestige.functions import text as T
 from vestige.operators import joins as J, windows as W
-from vestige.plans import queries as Q, rules as R
+from vestige.plans import command_queries, queries as Q, rules as R, transcript_queries  # noqa: F401
 from vestige.sinks import lines
 from vestige.sources import telemetry
 from vestige.streaming import live

@@ -140,3 +140,73 @@ def credentials(text: Column) -> Column:
 def printable(text: Column) -> Column:
     """Without control, direction and invisible characters; tab and line end stay."""
     return F.regexp_replace(text, r"[\x00-\x08\x0B-\x1F\x7F​-‏‪-‮⁠-⁩﻿]", "")
+
+
+def within_one_edit(a: Column, b: Column) -> Column:
+    """Equal, or one character put in, left out or changed, or two neighbours swapped."""
+    swapped = F.exists(F.sequence(F.lit(1), F.greatest(F.length(a) - 1, F.lit(1))), lambda i: F.concat(F.substr(a, F.lit(1), i - 1), F.substr(a, i + 1, F.lit(1)), F.substr(a, i, F.lit(1)), F.substr(a, i + 2)) == b)
+    return (F.levenshtein(a, b) <= 1) | ((F.length(a) == F.length(b)) & swapped)
+
+
+def host_of(destination: Column) -> Column:
+    """Lower-cased host of host:port, without a dot at its end."""
+    return F.regexp_replace(F.regexp_replace(F.lower(destination), r"(?<=.):[^:\]]*\z", ""), r"\.\z", "")
+
+
+def host_under(host: Column, domain: Column) -> Column:
+    """The domain itself or a name under it."""
+    return (host_of(host) == domain) | F.endswith(host_of(host), F.concat(F.lit("."), domain))
+
+
+def holds_domain(text: Column, domain: str) -> Column:
+    """The domain stands in the text as a whole name or the end of one; a dot behind it may only end a sentence."""
+    return F.lower(text).rlike(r"(?<![a-z0-9_-])\Q" + domain + r"\E(?![a-z0-9_-]|\.[a-z0-9_-])")
+
+
+def uuid5(namespace: str, name: Column) -> Column:
+    """The name-based identifier (version 5) of a name's UTF-8 bytes."""
+    space = F.unhex(F.lit(namespace.replace("-", "")))
+    h = F.sha1(F.concat(space, name.cast("binary")))
+    variant = F.translate(F.substring(h, 17, 1), "0123456789abcdef", "89ab" * 4)
+    return F.concat(F.substring(h, 1, 8), F.lit("-"), F.substring(h, 9, 4), F.lit("-5"), F.substring(h, 14, 3), F.lit("-"), variant, F.substring(h, 18, 3), F.lit("-"), F.substring(h, 21, 12))
+
+
+#: What clients write where a call didn't run, by whose decision.
+REFUSALS = {
+    "user": r"(?i)doesn'?t want to proceed with this tool use|tool use was rejected|user rejected tool use",
+    "rule": r"(?i)permission to use \S+.{0,200}?(?:has been|was) denied",
+    "not granted": r"(?i)this command requires approval|requested permissions? to use .{0,160}haven'?t granted|MCP request blocked",
+}
+
+
+def refusal(result: Column) -> Column:
+    """Who refused a call by its result's text: user, rule or not granted; null for none of them."""
+    return F.coalesce(*(F.when(result.rlike(p), F.lit(k)) for k, p in REFUSALS.items()))
+
+
+#: Lines that clients write in a person's name.
+AUTOMATIC = r"^\s*(?:\[Request interrupted|<command-|<local-command|Caveat: |<system-reminder>|This session is being continued)"
+
+
+def is_instruction(kind: Column, text: Column) -> Column:
+    """A person's prompt, unless a client wrote it, or an agent's message to another."""
+    return (kind == "agent_message") | ((kind == "human_prompt") & ~F.coalesce(text, F.lit("")).rlike(AUTOMATIC))
+
+
+#: Services that pass data on, by kind.
+SERVICES = {
+    "shortener": ("bit.ly", "tinyurl.com", "is.gd", "v.gd", "t.co", "rebrand.ly", "cutt.ly", "shorturl.at", "tiny.cc", "ow.ly", "buff.ly", "rb.gy", "t.ly", "s.id", "shorturl.gg", "clck.ru", "urlz.fr", "surl.li", "goo.su"),
+    "screenshot": ("s.wordpress.com", "s0.wp.com", "urlbox.io", "api.screenshotone.com", "screenshotapi.net", "htmlcsstoimg.com", "hcti.io", "image.thum.io", "api.apiflash.com", "shot.screenshotapi.net", "render-tron.appspot.com"),
+    "request-bin": ("webhook.site", "requestbin.com", "requestbin.net", "pipedream.net", "beeceptor.com", "hookbin.com", "requestcatcher.com", "interact.sh", "oast.fun", "oast.pro", "oast.live", "oast.site", "oast.online", "oast.me", "oastify.com", "burpcollaborator.net", "dnslog.cn", "canarytokens.com", "httpbin.org", "httpbun.com", "postb.in", "ptsv3.com"),
+    "serverless-edge": ("workers.dev", "pages.dev", "vercel.app", "netlify.app", "deno.dev", "script.google.com", "script.googleusercontent.com", "glitch.me", "repl.co", "onrender.com", "fly.dev", "herokuapp.com"),
+    "blockchain-rpc": ("infura.io", "alchemy.com", "alchemyapi.io", "nodereal.io", "getblock.io", "llamarpc.com", "cloudflare-eth.com", "ankr.com", "quicknode.pro", "publicnode.com", "api.trongrid.io", "mainnet.helius-rpc.com", "api.mainnet-beta.solana.com"),
+    "tunnel": ("trycloudflare.com", "ngrok.io", "ngrok-free.app", "ngrok.app", "ngrok-free.dev", "loca.lt", "serveo.net", "localhost.run", "lhr.life", "pinggy.link", "bore.pub", "localtonet.com", "tunnelmole.net"),
+    "paste": ("pastebin.com", "paste.ee", "hastebin.com", "ghostbin.com", "rentry.co", "rentry.org", "dpaste.org", "dpaste.com", "termbin.com", "transfer.sh", "0x0.st", "file.io", "gofile.io", "catbox.moe", "litterbox.catbox.moe", "tmpfiles.org", "bashupload.com", "temp.sh", "oshi.at", "pixeldrain.com"),
+    "chat-webhook": ("discord.com", "discordapp.com", "api.telegram.org", "hooks.slack.com"),
+}
+
+
+def service_category(destination: Column) -> Column:
+    """The kind of service that a host, with or without port, belongs to; null for none."""
+    host = host_of(destination)
+    return F.coalesce(*(F.when(is_allowed(host, names), F.lit(k)) for k, names in SERVICES.items()))
