@@ -1,6 +1,7 @@
 """The engine's own operators: their SQL twins, brute-force versions of what has none, readers, sinks and streams."""
 
 import math
+import random
 import uuid
 
 import duckdb
@@ -50,6 +51,49 @@ def test_chains(spark):
     assert {tuple(r) for r in R.chain_matches(df, chain, "s", "at", "e").collect()} == {("a", "c", 0, 3), ("a", "c", 7, 10)}
 
 
+def plain_chain(rows, steps, window, most):
+    """Every start in order, and each step's first row behind the step before that qualifies."""
+    rows, out, start = sorted(rows, key=lambda r: (r[1], r[0])), [], 0
+    while start < len(rows) and (most is None or len(out) < most):
+        path, shared = [start] if rows[start][2] == steps[0] else [], set(rows[start][3])
+        for want in steps[1:] if path else ():
+            for j in range(path[-1] + 1, len(rows)):
+                if window and rows[j][1] - rows[start][1] > window:
+                    break
+                if rows[j][2] == want and shared & set(rows[j][3]):
+                    path.append(j)
+                    shared &= set(rows[j][3])
+                    break
+            else:
+                break
+            if rows[path[-1]][2] != want or (window and rows[path[-1]][1] - rows[start][1] > window):
+                break
+        whole = len(path) == len(steps)
+        if whole:
+            out.append((rows[path[0]][0], rows[path[-1]][0]))
+        start = path[-1] + 1 if whole else start + 1
+    return out
+
+
+@pytest.mark.parametrize("window, most", [(9, None), (9, 3), (0, None), (40, 20)])
+def test_chains_against_plain_loops(spark, window, most):
+    draw = random.Random(window)
+    rows = [(s, i, draw.randrange(400), draw.choice("xyyz"), draw.sample("abc", draw.randrange(3))) for i, s in enumerate(["a", "b", None] * 120)]
+    df = spark.createDataFrame(rows + [("a", 999, None, "x", ["a"])], "s string, e long, at long, k string, l array<string>")
+    chain = R.Chain("c", tuple(R.Step(F.col("k") == k) for k in "xyz"), window, "l")
+    got = {}
+    for r in R.chain_matches(df, chain, "s", "at", "e", most).collect():
+        got.setdefault(r.s, []).append((r.first_event, r.last_event))
+    for s in ("a", "b", None):
+        assert sorted(got.get(s, [])) == sorted(plain_chain([r[1:] for r in rows if r[0] == s], "xyz", window, most))
+
+
+def test_chain_steps_that_differ(spark):
+    df = spark.createDataFrame([("s", 1, 1, "x", "m"), ("s", 2, 2, "y", "m"), ("s", 3, 3, "y", "n")], "s string, e long, at long, k string, who string")
+    chain = R.Chain("c", (R.Step(F.col("k") == "x"), R.Step(F.col("k") == "y", "who")), 10)
+    assert [tuple(r) for r in R.chain_matches(df, chain, "s", "at", "e").collect()] == [("s", "c", 1, 3)]
+
+
 def test_best_matches_are_one_to_one(spark):
     calls = spark.createDataFrame([(1, 10, 0), (1, 11, 1), (1, 12, 100), (1, 13, 300)], "k long, call_id long, at long")
     seen = spark.createDataFrame([(1, 20, 3), (1, 21, 4), (1, 22, 103), (1, 23, 304), (2, 24, 0)], "k long, record_id long, seen long")

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 #: Phrases that override instructions.
 INJECTION_PHRASES = ("ignore previous instructions", "ignore all previous instructions", "disregard your instructions", "disregard all prior", "ignore your system prompt", "override your system prompt", "you are now dan", "pretend you have no restrictions", "do not tell the user", "without informing the user", "exfiltrate", "<!-- ai:", "[system]", "important: before responding")
-#: Matches of one pattern in a group, at most.
+#: Matches of one pattern in a group, at most, where no other number is asked for.
 MOST_MATCHES = 20
 
 
@@ -55,12 +55,18 @@ def findings(rows: DataFrame, rules: list[Rule], subject: str) -> DataFrame:
 
 @dataclass(frozen=True)
 class Step:
+    """differs: a column whose value must be another than that of the step before."""
+
     when: Column
+    differs: str | None = None
 
 
 @dataclass(frozen=True)
 class Chain:
-    """Steps in order within window_us of the first; linked: every step shares this column's value with the first."""
+    """Steps in order within window_us of the first (0: however late).
+
+    link: a column of one value or an array of them; each step shares a value with the step before, and from the third on one that was shared there.
+    """
 
     chain_id: str
     steps: tuple[Step, ...]
@@ -68,38 +74,66 @@ class Chain:
     link: str | None = None
 
 
-def chain_matches(events: DataFrame, chain: Chain, key: str, at: str, tie: str) -> DataFrame:
-    """Greedy matches that don't overlap: key, chain_id, first_event, last_event, at most MOST_MATCHES in a group.
+def _segments(rows: DataFrame, window_us: int) -> DataFrame:
+    """Rows with the number of their segment (s): segments of a key are further apart than the window, so no match crosses them.
 
-    Rows that can be no step are dropped before the shuffle; what a group keeps while it is read is its open match alone.
+    A bucket of the window's width holds no such gap, so the buckets' first and last times tell them; only these are ordered by key.
+    """
+    if not window_us:
+        return rows.withColumn("s", F.lit(0).cast("long"))
+    rows = rows.withColumn("b", F.floor(F.col("at") / window_us))
+    w = Window.partitionBy("k").orderBy("b")
+    spans = rows.groupBy("k", "b").agg(F.min("at").alias("lo"), F.max("at").alias("hi"))
+    spans = spans.withColumn("new", (F.col("lo") - F.lag("hi").over(w) > window_us).cast("int"))
+    spans = spans.select(F.col("k").alias("sk"), F.col("b").alias("sb"), F.coalesce(F.sum("new").over(w), F.lit(0)).alias("s"))
+    return rows.join(spans, F.col("k").eqNullSafe(F.col("sk")) & (F.col("b") == F.col("sb"))).drop("sk", "sb", "b")
+
+
+def chain_matches(events: DataFrame, chain: Chain, key: str, at: str, tie: str, most: int | None = MOST_MATCHES) -> DataFrame:
+    """Greedy matches that don't overlap: key, chain_id, first_event, last_event; of a key the first so many, or all of them (None).
+
+    After a match the search goes on behind its last row, after a failed start at the row behind that start.  Rows that can be no step or
+    have no time are left out; rows without a key are one group; repeated rows are rows; an empty table has no matches.  What is read at
+    once is a run of a key's rows none of which is further than the window from the next, all its rows only where there is no window.
     """
     bits = reduce(lambda a, b: a.bitwiseOR(b), (F.when(s.when, F.lit(1 << i)).otherwise(F.lit(0)) for i, s in enumerate(chain.steps)))
-    rows = events.select(F.col(key).cast("string").alias("k"), F.col(at).cast("long").alias("at"), F.col(tie).cast("long").alias("e"), bits.alias("bits"), (F.col(chain.link) if chain.link else F.lit("")).cast("string").alias("link")).where("bits <> 0")
-    last, name, window, linked = len(chain.steps), chain.chain_id, chain.window_us, bool(chain.link)
+    link = F.lit(None).cast("array<string>")
+    if chain.link:
+        many = dict(events.dtypes)[chain.link].startswith("array")
+        link = (F.col(chain.link) if many else F.when(F.col(chain.link).isNotNull(), F.array(chain.link))).cast("array<string>")
+    names = [s.differs for s in chain.steps]
+    differs = F.array(*(F.col(n).cast("string") if n else F.lit(None).cast("string") for n in names))
+    rows = events.select(F.col(key).cast("string").alias("k"), F.col(at).cast("long").alias("at"), F.col(tie).cast("long").alias("e"), bits.alias("bits"), link.alias("link"), differs.alias("d")).where("bits <> 0 and at is not null")
+    name, window, linked = chain.chain_id, chain.window_us, bool(chain.link)
+
+    def follow(events: list, start: int) -> tuple[int, int] | None:
+        """Places of the last row and of what comes behind it, of the match that starts here."""
+        before, shared, place = events[start], set(events[start].link if linked and events[start].link is not None else ()), start + 1
+        for step in range(1, len(names)):
+            while True:
+                if place == len(events) or (window and events[place].at - events[start].at > window):
+                    return None
+                r, place = events[place], place + 1
+                common = shared.intersection(r.link) if linked and r.link is not None else ()
+                if r.bits >> step & 1 and (not linked or common) and (names[step] is None or r.d[step] != before.d[step]):
+                    break
+            before, shared = r, set(common)
+        return place - 1, place
 
     def match(group: pd.DataFrame) -> pd.DataFrame:
-        out, want, first, start, link = [], 0, None, 0, None
-        ordered = group.sort_values(["at", "e"])
-        pending = list(ordered.itertuples(index=False))
-        i = 0
-        while i < len(pending) and len(out) < MOST_MATCHES:
-            r = pending[i]
-            if want and r.at - start > window:
-                want, i = 0, anchor + 1  # the next anchor is behind the one that failed
-                continue
-            if r.bits >> want & 1 and (want == 0 or not linked or r.link == link):
-                if want == 0:
-                    first, start, link, anchor = r.e, r.at, r.link, i
-                want += 1
-                if want == last:
-                    out.append((r.k, name, first, r.e))
-                    want = 0
-            i += 1
-            if i == len(pending) and want:
-                want, i = 0, anchor + 1
-        return pd.DataFrame(out, columns=["k", "chain_id", "first_event", "last_event"])
-
-    return rows.groupBy("k").applyInPandas(match, "k string, chain_id string, first_event long, last_event long").withColumnRenamed("k", key)
+        out, i = [], 0
+        ordered = list(group.sort_values(["at", "e"]).itertuples(index=False))
+        while i < len(ordered) and (most is None or len(out) < most):
+            found = follow(ordered, i) if ordered[i].bits & 1 else None
+            if found:
+                out.append((ordered[i].k, name, ordered[i].e, ordered[found[0]].e, ordered[i].at))
+            i = found[1] if found else i + 1
+        return pd.DataFrame(out, columns=["k", "chain_id", "first_event", "last_event", "first_at"])
+
+    found = _segments(rows, window).groupBy("k", "s").applyInPandas(match, "k string, chain_id string, first_event long, last_event long, first_at long")
+    if most is not None:
+        found = found.withColumn("n", F.row_number().over(Window.partitionBy("k").orderBy("first_at", "first_event"))).where(F.col("n") <= most)
+    return found.select(F.col("k").alias(key), "chain_id", "first_event", "last_event")
 
 
 def precursor_then(events: DataFrame, key: str, at: str, tie: str, first: Column, then: Column) -> DataFrame:
