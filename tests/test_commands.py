@@ -6,7 +6,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from vestige.functions import commands as C, text as T
-from vestige.sources import transcripts as S
+from vestige.sources import lines as L, transcripts as S
 
 
 def one(spark, value, *columns):
@@ -76,3 +76,10 @@ def test_chat_shapes(spark):
     assert {(r.event_type, r.text, r.tool, r.command) for r in S.chat_lines(df).collect()} == {("model_response", "x", None, None), ("tool_call", None, "sh", "ls"), ("tool_result", '{"o":1}', "sh", None)}
     other = spark.createDataFrame([("f", json.dumps(rows[2]))], "artifact string, value string")
     assert [(r.event_type, r.text) for r in S.chat_lines(other, S.Fields(role="$.who", content=("$.said",))).collect()] == [("human_prompt", "hi")]
+
+
+def test_telemetry_lines(spark):
+    values = [None, "", "noise", "{}", '{"ts": 1', '{"ts": 1714557600.5, "method": "GET", "host": "A.org", "uri": "/x", "id.resp_h": "10.0.0.1"}', "May 1 10:00:00 h unbound[1:0] info: 10.0.0.2 b.org. A IN", '{"Type": "container", "Status": "health_status"}', '{"details": {"author_name": "u", "add": "key"}, "created_at": "2024-05-01T10:00:00Z"}']
+    got = L.by_line(spark.createDataFrame([(v, i) for i, v in enumerate(values)], "value string, n int"))
+    assert sorted((r.n, r.source, r.dest_host, r.cmdline, r.user) for r in got.collect()) == [(5, "zeek-http", "a.org", "GET", None), (6, "unbound", "b.org", "A", None), (8, "gitlab", None, "key", "u")]
+    assert L.by_line(spark.createDataFrame([], "value string")).count() == 0

@@ -1,10 +1,10 @@
-"""Queries on transcripts: the conversations written as lines of each dialect and read back, with SQL on the conversations themselves."""
+"""Queries on transcripts and telemetry lines: rows of the tables written in each dialect and read back, with SQL on the rows themselves."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..sources import transcripts as S
+from ..sources import lines as L, transcripts as S
 from .queries import _t, query
 
 _COLUMNS = ("session", "event_type", "text", "tool", "call_id", "command")
@@ -86,3 +86,40 @@ def chat_transcripts(spark, d):
         _lines(turns, "role = 'assistant'", _named(role=F.lit("tool"), **base, tool_call_id=_call(), content=_done())),
     ]
     return S.chat_lines(_all(lines)).select(*_COLUMNS)
+
+
+_AT = "2024-05-01T10:00:00Z"
+_KINDS = ("cloud", "cloud", "cloud", "dns", "network", "container", "cloud", "dns", "cloud", "dns")
+_SOURCES = ("cloudtrail", "gcp", "azure", "zeek-dns", "zeek-ssl", "podman", "github", "bind", "s3", "dnsmasq")
+_COMMANDS = ("s3:DeleteObject", "v1.compute.delete", "Microsoft.Compute/delete", None, None, "podman start", "repo.destroy", "A", "REST.GET.OBJECT", "AAAA")
+_PEOPLE = ("{u}", "{u}", "{u}", None, None, None, "{u}", None, "{u}", None)
+_HOSTS = (None, None, None, "h{u}.example.org", "h{u}.example.org", None, None, "h{u}.example.org", None, "h{u}.example.org")
+
+
+def _cases(values) -> str:
+    def sql(v: str) -> str:
+        return "concat('" + v.replace("{u}", "', CAST(user_id AS VARCHAR), '") + "')"
+
+    return f"CASE event_id % {len(values)} {' '.join(f'WHEN {i} THEN {sql(v)}' for i, v in enumerate(values) if v)} END"
+
+
+@query(f"""SELECT event_id, {_cases(_KINDS)} AS kind, {_cases(_SOURCES)} AS source, {_cases(_COMMANDS)} AS cmdline, {_cases(_PEOPLE)} AS "user", {_cases(_HOSTS)} AS dest_host,
+CASE WHEN event_id % 10 <> 9 THEN 1714557600 END AS seconds FROM events""")
+def telemetry_lines(spark, d):
+    u = F.col("user_id").cast("string")
+    host = F.concat(F.lit("H"), u, F.lit(".example.org."))
+    at = F.lit(_AT)
+    forms = (
+        F.to_json(_named(eventTime=at, eventSource=F.lit("s3.amazonaws.com"), eventName=F.lit("DeleteObject"), userIdentity=_named(arn=u))),
+        F.to_json(_named(timestamp=at, protoPayload=_named(methodName=F.lit("v1.compute.delete"), authenticationInfo=_named(principalEmail=u)))),
+        F.to_json(_named(time=at, operationName=_named(value=F.lit("Microsoft.Compute/delete")), caller=u)),
+        F.to_json(_named(ts=F.lit(1714557600), query=host)),
+        F.to_json(_named(ts=F.lit(1714557600), server_name=host)),
+        F.to_json(_named(Time=at, Type=F.lit("Container"), Status=F.lit("start"), Image=F.lit("i"))),
+        F.to_json(_named(created_at=at, action=F.lit("repo.destroy"), actor=u)),
+        F.concat(F.lit("01-May-2024 10:00:00.123 queries: info: client @0x7f 10.0.0.1#5353 (x): query: "), host, F.lit(" IN A +E(0)K")),
+        F.concat(F.lit("79a5 bucket [01/May/2024:10:00:00 +0000] 10.0.0.1 "), u, F.lit(" 3E57 REST.GET.OBJECT key \"GET /key HTTP/1.1\" 200")),
+        F.concat(F.lit("May  1 10:00:00 dnsmasq[12]: query[AAAA] "), host, F.lit(" from 10.0.0.1")),
+    )
+    lines = _t(spark, d, "events").select("event_id", F.element_at(F.array(*forms), (F.col("event_id") % len(forms) + 1).cast("int")).alias("value"))
+    return L.by_line(lines).select("event_id", "kind", "source", "cmdline", "user", "dest_host", F.unix_seconds("time").alias("seconds"))
