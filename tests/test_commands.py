@@ -6,6 +6,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from vestige.functions import commands as C, text as T
+from vestige.sinks import lines as K
 from vestige.sources import lines as L, transcripts as S
 
 
@@ -83,3 +84,14 @@ def test_telemetry_lines(spark):
     got = L.by_line(spark.createDataFrame([(v, i) for i, v in enumerate(values)], "value string, n int"))
     assert sorted((r.n, r.source, r.dest_host, r.cmdline, r.user) for r in got.collect()) == [(5, "zeek-http", "a.org", "GET", None), (6, "unbound", "b.org", "A", None), (8, "gitlab", None, "key", "u")]
     assert L.by_line(spark.createDataFrame([], "value string")).count() == 0
+
+
+def test_documents_of_findings(spark):
+    rows = [("R", "HIGH", "t", "s", None), (None, None, None, None, None)]
+    df = spark.createDataFrame(rows, "rule_id string, severity string, title string, session_id string, ref string")
+    sarif, notes = [json.loads(r.value) for r in K.sarif_results(df).collect()], [json.loads(r.value) for r in K.stix_notes(df, "report--x").collect()]
+    assert sarif[0]["level"] == "error" and "locations" not in sarif[0] and sarif[1]["level"] == "none"
+    assert notes[0]["id"] == "note--" + str(uuid.uuid5(uuid.NAMESPACE_URL, "R|s||t")) and notes[0]["object_refs"] == ["report--x"]
+    edges = spark.createDataFrame([('a"b', None, "x|y")], "from string, to string, relation string")
+    line = K.mermaid(edges).first().value
+    assert '["a#quot;b"]' in line and '|"x#124;y"|' in line and line.endswith('[""]')

@@ -126,3 +126,12 @@ def test_metadata_hosts(spark):
     hosts = ["169.254.169.254", "METADATA", "[fd00:ec2::254]", "0xA9FEA9FE", "100.100.100.200", "169.254.169.25", "example.net", "", None]
     rows = spark.createDataFrame([(h,) for h in hosts], "h string").select(T.is_metadata(F.col("h")).alias("m")).collect()
     assert [r.m for r in rows] == [True] * 5 + [False] * 3 + [None]
+
+
+def test_refused_then_repeated(spark):
+    rows = [("s", 1, 1, "no", "a"), ("s", 2, 2, "do", "a"), ("s", 3, 3, "do", "b"), ("s", 4, 4, "new", None), ("s", 5, 5, "do", "a"), ("s", 6, 5, "no", "a"), ("s", 7, 5, "do", "a"), ("s", 8, None, "do", "a"), (None, 9, 1, "no", "a"), (None, 10, 2, "do", "a"), ("s", 11, 6, "no", None), ("s", 12, 7, "do", None)]
+    df = spark.createDataFrame(rows, "k string, e long, at long, what string, act string")
+    is_ = lambda x: F.col("what") == x
+    got = S.refused_then_repeated(df, "k", ["act"], is_("no"), is_("do"), is_("new"), "at", "e")
+    assert {tuple(r) for r in got.collect()} == {("s", 2, 1), ("s", 7, 6), (None, 10, 9)}
+    assert S.refused_then_repeated(df.limit(0), "k", ["act"], is_("no"), is_("do"), is_("new"), "at", "e").count() == 0

@@ -126,3 +126,16 @@ def fetched_then_run(fetched: DataFrame, ran: DataFrame, keys: list[str], at: st
     w = Window.partitionBy(*keys).orderBy("__at", F.col(tie).isNotNull()).rowsBetween(Window.unboundedPreceding, -1)
     rows = both.where("__at is not null").withColumn("fetched_us", F.last(F.when(F.col(tie).isNull(), F.col("__at")), ignorenulls=True).over(w))
     return rows.where(F.col(tie).isNotNull() & (F.col("__at") - F.col("fetched_us") <= within_us)).select(*keys, tie, "fetched_us")
+
+
+def refused_then_repeated(events: DataFrame, key: str, action: list[str], refused: Column, call: Column, instruction: Column, at: str, tie: str) -> DataFrame:
+    """Calls that repeat an action refused before, with no instruction between: key, tie, refused_event (the latest such refusal).
+
+    Of one time, rows go by their tie.  An action with a null part is no action.
+    """
+    timed = _ordered(events, at)
+    w = Window.partitionBy(key).orderBy(at, tie)
+    rows = timed.withColumn("__told", F.count_if(instruction).over(w.rowsBetween(Window.unboundedPreceding, 0))).dropna(subset=action)
+    same = Window.partitionBy(key, "__told", *action).orderBy(at, tie).rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.where(refused | call).withColumn("__refused", F.last(F.when(refused, F.col(tie)), ignorenulls=True).over(same))
+    return rows.where(call & F.col("__refused").isNotNull()).select(key, tie, F.col("__refused").alias("refused_event"))

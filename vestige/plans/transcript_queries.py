@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..operators import sessions as D
+from ..sinks import lines as K
 from ..sources import lines as L, transcripts as S
 from .queries import _t, query
 
@@ -123,3 +125,41 @@ def telemetry_lines(spark, d):
     )
     lines = _t(spark, d, "events").select("event_id", F.element_at(F.array(*forms), (F.col("event_id") % len(forms) + 1).cast("int")).alias("value"))
     return L.by_line(lines).select("event_id", "kind", "source", "cmdline", "user", "dest_host", F.unix_seconds("time").alias("seconds"))
+
+
+@query("""WITH x AS (SELECT *, epoch_us(ts) AS u, count(*) FILTER (WHERE event_type = 'signup') OVER (PARTITION BY user_id ORDER BY epoch_us(ts), event_id ROWS UNBOUNDED PRECEDING) AS told FROM events)
+SELECT c.user_id, c.event_id, arg_max(r.event_id, (r.u, r.event_id)) AS refused_event FROM x c JOIN x r ON c.user_id = r.user_id AND c.told = r.told AND c.props = r.props AND (r.u, r.event_id) < (c.u, c.event_id) AND r.event_type = 'error' AND c.event_type = 'click' GROUP BY 1, 2""")
+def autonomous_retry(spark, d):
+    k = F.col("event_type")
+    events = _t(spark, d, "events").withColumn("u", F.unix_micros(F.col("ts").cast("timestamp")))
+    return D.refused_then_repeated(events, "user_id", ["props"], k == "error", k == "click", k == "signup", "u", "event_id")
+
+
+_UUID = "concat(substr(h, 1, 8), '-', substr(h, 9, 4), '-5', substr(h, 14, 3), '-', substr('89ab89ab89ab89ab', strpos('0123456789abcdef', substr(h, 17, 1)), 1), substr(h, 18, 3), '-', substr(h, 21, 12))"
+_NAMED = "sha1(unhex('6ba7b8119dad11d180b400c04fd430c8') || encode(concat(event_type, '|', user_id, '|', event_id{more})))"
+
+
+def _found(spark, d) -> DataFrame:
+    severity = F.when(F.col("value") > 80, "CRITICAL").when(F.col("value") > 40, "MEDIUM").otherwise("odd")
+    return _t(spark, d, "events").select(F.col("event_type").alias("rule_id"), severity.alias("severity"), F.concat(F.lit('a "'), F.col("props"), F.lit('"')).alias("title"), F.col("user_id").alias("session_id"), F.col("event_id").cast("string").alias("ref"))
+
+
+def _fields(lines: DataFrame, **paths: str) -> DataFrame:
+    return lines.select(*(F.get_json_object("value", p).alias(n) for n, p in paths.items()))
+
+
+@query(f"""SELECT event_type AS rule, CASE WHEN value > 80 THEN 'error' WHEN value > 40 THEN 'warning' ELSE 'none' END AS level, concat('a "', props, '"') AS message, {_UUID} AS fingerprint, CAST(event_id AS VARCHAR) AS uri FROM (SELECT *, {_NAMED.format(more='')} AS h FROM events)""")
+def sarif_results(spark, d):
+    return _fields(K.sarif_results(_found(spark, d)), rule="$.ruleId", level="$.level", message="$.message.text", fingerprint="$.partialFingerprints['id/v1']", uri="$.locations[0].physicalLocation.artifactLocation.uri")
+
+
+@query(f"""SELECT concat('note--', {_UUID}) AS id, concat('a "', props, '" Severity: ', CASE WHEN value > 80 THEN 'CRITICAL' WHEN value > 40 THEN 'MEDIUM' ELSE 'odd' END, '. Evidence: ', event_id) AS content FROM (SELECT *, {_NAMED.format(more=", '|a " + chr(34) + "', props, '" + chr(34) + "'")} AS h FROM events)""")
+def stix_notes(spark, d):
+    return _fields(K.stix_notes(_found(spark, d), "report--1"), id="$.id", content="$.content")
+
+
+@query("""SELECT CAST(epoch_us(ts) * 1000 AS VARCHAR) AS nanos, CASE event_type WHEN 'view' THEN 'execute_tool' WHEN 'click' THEN 'chat' ELSE event_type END AS operation, CAST(user_id AS VARCHAR) AS session, CASE WHEN event_type = 'view' THEN 'gen_ai.tool.name' END AS third, props AS body FROM events""")
+def otlp_records(spark, d):
+    k = F.col("event_type")
+    events = _t(spark, d, "events").select("ts", F.when(k == "view", "tool_call").when(k == "click", "human_prompt").otherwise(k).alias("event_type"), F.col("props").alias("text"), F.col("user_id").alias("session"), F.lit(None).cast("string").alias("model"), F.when(k == "view", "Bash").alias("tool"))
+    return _fields(K.otlp_records(events), nanos="$.timeUnixNano", operation="$.attributes[0].value.stringValue", session="$.attributes[1].value.stringValue", third="$.attributes[2].key", body="$.body.stringValue")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.text import SEVERITIES, rank
+from ..functions.text import SEVERITIES, rank, uuid5
 
 
 def ocsf_findings(findings: DataFrame) -> DataFrame:
@@ -38,3 +38,54 @@ def digraph(edges: DataFrame, name: str = "events") -> DataFrame:
     """A whole Graphviz file: its head, dot()'s lines and its end, in the order of the partitions."""
     head, end = (edges.sparkSession.range(1).select(F.lit(x).alias("value")) for x in (f"digraph {name} {{", "}"))
     return head.unionByName(dot(edges)).unionByName(end)
+
+
+#: Namespace of the identifiers that are made from what they name, and the SARIF levels of severities.
+NAMESPACE = "6ba7b811-9dad-11d1-80b4-00c04fd430c8"
+LEVELS = {"CRITICAL": "error", "HIGH": "error", "MEDIUM": "warning", "LOW": "note", "INFO": "note"}
+
+
+def _identity(*parts: str) -> Column:
+    return uuid5(NAMESPACE, F.concat_ws("|", *(F.coalesce(F.col(p).cast("string"), F.lit("")) for p in parts)))
+
+
+def sarif_results(findings: DataFrame) -> DataFrame:
+    """Results of SARIF 2.1 from rule_id, severity, title, session_id, ref: equal findings have equal fingerprints; nulls are left out."""
+    level = F.coalesce(F.element_at(F.create_map(*(F.lit(x) for pair in LEVELS.items() for x in pair)), F.col("severity")), F.lit("none"))
+    place = F.array(F.struct(F.struct(F.struct(F.col("ref").alias("uri")).alias("artifactLocation")).alias("physicalLocation")))
+    doc = F.struct(F.col("rule_id").alias("ruleId"), level.alias("level"), F.struct(F.col("title").alias("text")).alias("message"), F.struct(_identity("rule_id", "session_id", "ref").alias("id/v1")).alias("partialFingerprints"), F.when(F.col("ref").isNotNull(), place).alias("locations"), F.struct(F.col("session_id").cast("string").alias("session_id")).alias("properties"))
+    return findings.select(F.to_json(doc).alias("value"))
+
+
+def otlp_records(events: DataFrame) -> DataFrame:
+    """Log records with generative-AI attributes from ts, event_type, text, session, model, tool; attributes without a value are left out."""
+    kind = F.col("event_type")
+    operation = F.when(kind == "tool_call", "execute_tool").when(kind == "agent_spawn", "create_agent").when(kind.isin("model_response", "human_prompt"), "chat").otherwise(kind)
+    values = {"gen_ai.operation.name": operation, "session.id": F.col("session"), "gen_ai.request.model": F.col("model"), "gen_ai.tool.name": F.col("tool")}
+    pairs = F.array(*(F.when(v.isNotNull(), F.struct(F.lit(k).alias("key"), F.struct(v.cast("string").alias("stringValue")).alias("value"))) for k, v in values.items()))
+    nanos = F.concat(F.unix_micros(F.col("ts").cast("timestamp")).cast("string"), F.lit("000"))
+    doc = F.struct(nanos.alias("timeUnixNano"), F.lit("INFO").alias("severityText"), F.struct(F.col("text").alias("stringValue")).alias("body"), F.filter(pairs, lambda p: p.isNotNull()).alias("attributes"))
+    return events.select(F.to_json(doc).alias("value"))
+
+
+def stix_notes(findings: DataFrame, report: str, created: str = "1970-01-01T00:00:00.000Z") -> DataFrame:
+    """Notes of STIX 2.1 on a report, from rule_id, severity, title, session_id, ref: equal findings have equal ids, whenever they are written."""
+    content = F.concat_ws(" ", F.col("title"), F.concat(F.lit("Severity: "), F.col("severity"), F.lit(".")), F.concat(F.lit("Evidence: "), F.col("ref")))
+    fixed = {"type": "note", "spec_version": "2.1", "created": created, "modified": created}
+    doc = F.struct(*(F.lit(v).alias(k) for k, v in fixed.items()), F.concat(F.lit("note--"), _identity("rule_id", "session_id", "ref", "title")).alias("id"), F.col("title").alias("abstract"), content.alias("content"), F.array(F.lit(report)).alias("object_refs"))
+    return findings.select(F.to_json(doc).alias("value"))
+
+
+def mermaid(edges: DataFrame) -> DataFrame:
+    """Edge lines of a Mermaid flowchart (from, to, relation): nodes are named by a digest, with what would end a label written as entities; nulls are empty."""
+
+    def label(c: str) -> Column:
+        text = F.coalesce(F.col(c).cast("string"), F.lit(""))
+        for bad, good in (("#", "#35;"), ('"', "#quot;"), ("|", "#124;"), ("\n", " ")):
+            text = F.replace(text, F.lit(bad), F.lit(good))
+        return text
+
+    def node(c: str) -> Column:
+        return F.concat(F.lit("n"), F.substring(F.sha2(F.coalesce(F.col(c).cast("string"), F.lit("")).cast("binary"), 256), 1, 12), F.lit('["'), label(c), F.lit('"]'))
+
+    return edges.select(F.concat(node("from"), F.lit(' -->|"'), label("relation"), F.lit('"| '), node("to")).alias("value"))
