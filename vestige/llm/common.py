@@ -42,23 +42,38 @@ def saved(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-#: Plans of these alone give each partition the same rows in the same order whenever they run.
-_STEADY = {"Project", "Filter", "SubqueryAlias", "LogicalRelation", "LocalRelation", "Union"}
+#: Most files whose paths are broadcast to number a scan's rows (about 2 MB of paths).
+MOST_FILES = 10_000
+#: Bits of a row's number that hold its place in its file.
+_PLACE_BITS = 38
 
 
-def _steady(plan) -> bool:
-    children = plan.children()
-    return plan.nodeName() in _STEADY and plan.deterministic() and all(_steady(children.apply(i)) for i in range(children.size()))
+def _one_parquet_scan(plan) -> bool:
+    """Whether the plan is one scan of Parquet files below projections and filters that give the same rows whenever they run."""
+    while plan.nodeName() in ("Project", "Filter", "SubqueryAlias") and plan.deterministic():
+        plan = plan.child()
+    if plan.nodeName() != "LogicalRelation":
+        return False
+    relation = plan.relation()
+    return relation.getClass().getSimpleName() == "HadoopFsRelation" and "Parquet" in relation.fileFormat().getClass().getSimpleName()
 
 
 def numbered(df: DataFrame, name: str = "row") -> DataFrame:
-    """df with a number for each row, the same in every branch of a plan and after a lost executor.
+    """df with a number for each row, the same in every branch and every job of a plan, whatever the cores, splits or lost executors.
 
-    Numbers follow partitions and places in them.  A scan of files has these for good; anything else (a shuffle whose partitions are joined
-    at run time, Python code, a sample) is written once into the shared folder and read from there.
+    A row of Parquet files has its file's rank among all paths and its place in that file, however the file is split.  Anything else (a
+    shuffle, Python code, a sample, a table in memory, another format, more files than MOST_FILES) is written once into the shared folder,
+    and its numbers with it.
     """
-    fixed = df if _steady(df._jdf.queryExecution().optimizedPlan()) else saved(df)
-    return fixed.withColumn(name, F.monotonically_increasing_id())
+    if _one_parquet_scan(df._jdf.queryExecution().analyzed()):
+        path, place, rank = fresh(df, "scan_file", "scan_place", "scan_rank")
+        keyed = df.select("*", F.col("_metadata.file_path").alias(path), F.col("_metadata.row_index").alias(place))
+        paths = sorted(r[0] for r in keyed.select(path).distinct().limit(MOST_FILES + 1).collect())
+        if 0 < len(paths) <= MOST_FILES:
+            ranks = df.sparkSession.createDataFrame(list(zip(paths, range(len(paths)))), f"`{path}` string, `{rank}` long")
+            number = F.shiftleft(F.col(rank), _PLACE_BITS).bitwiseOR(F.col(place))
+            return keyed.join(F.broadcast(ranks), path).select(*(F.col(f"`{c}`") for c in df.columns), number.alias(name))
+    return saved(df.withColumn(name, F.monotonically_increasing_id()))
 
 
 def fresh(df: DataFrame, *wanted: str) -> list[str]:

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Name of the vocabulary file in the public tokenizers folder.
 VOCABULARY = "word_bpe_49k.json"
+#: Names of the files of the two tokenizers that are aligned.
+BYTE_LEVEL, PIECES = "byte_bpe_50k.json", "piece_bpe_32k.model"
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -102,9 +104,63 @@ def op4_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest(_table(spark, sf_dir, "documents"))
 
 
+def op11_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .personal import digest
+
+    return digest(_table(spark, sf_dir, "documents"))
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .whitening import whitened
+
+    return whitened(_table(spark, sf_dir, "embeddings"))
+
+
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from .alignment import alignment
+
+    return alignment(_table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_LEVEL), public_tokenizers.path(PIECES))
+
+
+def _op11_sql() -> str:
+    """The same spans by extracting and splitting with each pattern, with places as sums of the lengths before; SQL's expressions have no possessive repeats and need none."""
+    luhn = "list_sum(list_transform(range(1, length({0}) + 1), lambda j: CASE WHEN (length({0}) - j) % 2 = 1 THEN (2 * CAST({0}[j] AS INT)) // 10 + (2 * CAST({0}[j] AS INT)) % 10 ELSE CAST({0}[j] AS INT) END)) % 10 = 0"
+    moved = "substr(replace(hit, ' ', ''), 5) || left(replace(hit, ' ', ''), 4)"
+    mod97 = f"list_reduce(list_prepend(0, list_transform(string_split(list_aggregate(list_transform(string_split({moved}, ''), lambda c: CASE WHEN c >= 'A' THEN CAST(ascii(c) - 55 AS VARCHAR) ELSE c END), 'string_agg', ''), ''), lambda c: CAST(c AS INT))), lambda a, b: (a * 10 + b) % 97) = 1"
+    card, words = r"[0-9]([\x20-]?[0-9])+", "card|visa|credit|debit|karte|carte|tarjeta"
+    free = r"NOT regexp_matches(before, '[A-Za-z0-9]\z') AND NOT regexp_matches(after, '^[A-Za-z0-9]')"
+    kinds = (
+        ("email", 0, True, 75, r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "mail|contact|write|escrib|schreib|courriel|correo", "true"),
+        ("ip", 1, True, 60, r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "ip|addr|host|server|login|adresse", "list_max(list_transform(string_split(hit, '.'), lambda v: CAST(v AS DOUBLE))) <= 255"),
+        ("card", 2, True, 70, card, words, f"length(digits) BETWEEN 12 AND 19 AND {luhn.format('digits')}"),
+        ("phone", 3, True, 60, r"\+[0-9][\x20().0-9-]+[0-9]", "phone|call|tel|mobil|fax|anruf|llam", "length(digits) BETWEEN 9 AND 15"),
+        ("card", 2, False, 50, "[0-9]{12,}", words, f"length(hit) <= 19 AND {luhn.format('digits')} AND {free}"),
+        ("iban", 4, False, 80, "[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?", "iban|account|bank|konto|compte|cuenta", f"{mod97} AND {free}"),
+        ("social", 5, False, 35, "[0-9]{3}-[0-9]{2}-[0-9]{4}", "ssn|social|tax|security|insurance|versicherung", f"NOT regexp_matches(hit, '^(000|666|9)|-00-|-0000') AND {free}"),
+    )
+    parts = " UNION ALL ".join(f"SELECT r, {n} AS k, '{kind}' AS kind, {listed} AS listed, {base} AS base, {score} AS score, '{w}' AS words, regexp_extract_all(t, '{p}') AS h, string_split_regex(t, '{p}') AS g FROM d" for n, (kind, listed, base, score, p, w, _) in enumerate(kinds))
+    valid = " ".join(f"WHEN {n} THEN {v}" for n, (*_, v) in enumerate(kinds))
+    count = ", ".join(f"CAST(count(*) FILTER (WHERE s.base AND s.kind = '{n}') AS BIGINT) AS n_{n}" for n in ("email", "ip", "card", "phone"))
+    listing = "coalesce(string_agg(s.kind || ':' || s.start || ':' || s.stop, ',' ORDER BY s.start, s.listed, s.stop){0}, '')"
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents), p AS ({parts}),
+x AS (SELECT *, unnest(range(1, len(h) + 1)) AS i FROM p WHERE len(h) > 0),
+y AS (SELECT r, k, kind, listed, base, score, words, h[i] AS hit, regexp_replace(h[i], '[^0-9]', '', 'g') AS digits, CAST(list_sum(list_transform(g[1:i], lambda v: length(v))) + coalesce(list_sum(list_transform(h[1:i - 1], lambda v: length(v))), 0) AS BIGINT) AS start, right(g[i], 40) AS before, left(g[i + 1], 40) AS after FROM x),
+z AS (SELECT *, start + length(hit) AS stop, score + CASE WHEN regexp_matches(translate(before || ' ' || after, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), words) THEN 20 ELSE 0 END AS points FROM y WHERE CASE k {valid} END),
+s AS (SELECT * FROM z WHERE base OR points >= 50 AND NOT (kind = 'card' AND EXISTS (SELECT 1 FROM z AS c WHERE c.r = z.r AND c.base AND c.kind = 'card' AND c.start <= z.start AND z.stop <= c.stop)))
+SELECT d.doc_id, {count}, sha256({listing.format(" FILTER (WHERE s.base)")}) AS base_sha256, {listing.format(" FILTER (WHERE s.r IS NOT NULL)")} AS spans, CAST(count(*) FILTER (WHERE NOT s.base) AS BIGINT) AS n_added, coalesce(string_agg(CAST(s.points AS VARCHAR), ',' ORDER BY s.start, s.listed, s.stop), '') AS scores
+FROM d LEFT JOIN s USING (r) GROUP BY d.r, d.doc_id
+"""
+
+
+OP11_SQL = _op11_sql()
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_decontamination, op2_lm_scores, op3_line_dedup, op4_substrings, op5_toxicity, op6_simhash, op7_embeddings, op8_language, op9_token_counts, op10_packing)}
+    return {f.__name__: f for f in (op11_personal_data, op12_whitening, op13_alignment, op1_decontamination, op2_lm_scores, op3_line_dedup, op4_substrings, op5_toxicity, op6_simhash, op7_embeddings, op8_language, op9_token_counts, op10_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_decontamination": OP1_SQL, "op7_embeddings": OP7_SQL}
+    return {"op1_decontamination": OP1_SQL, "op7_embeddings": OP7_SQL, "op11_personal_data": OP11_SQL}
