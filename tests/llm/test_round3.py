@@ -172,10 +172,12 @@ def whole(text, a, b):
         return None
     ends_a, ends_b = np.cumsum([*map(len, of_a)]).tolist(), np.cumsum([*map(len, of_b)]).tolist()
     both = sorted(set(ends_a) & set(ends_b))
-    groups = []
-    for lo, hi in zip([0, *both], both):
-        groups.append(",".join(str(i) for i, e in zip(ea.ids, ends_a) if lo < e <= hi) + "|" + ",".join(str(i) for i, e in zip(eb, ends_b) if lo < e <= hi))
-    links = [(x, y) for e in both for x, z in zip(ea.ids, ends_a) if z == e for y, w in zip(eb, ends_b) if w == e] if len(both) < 300 else [(ea.ids[ends_a.index(e)], eb[ends_b.index(e)]) for e in both]
+    # No token of these texts is without bytes, so an end is one token's.
+    at_a, at_b = ({e: k + 1 for k, e in enumerate(ends)} for ends in (ends_a, ends_b))
+    cuts = [(0, 0), *((at_a[e], at_b[e]) for e in both)]
+    assert len(at_a) == len(ends_a) and len(at_b) == len(ends_b)
+    groups = [",".join(map(str, ea.ids[i:k])) + "|" + ",".join(map(str, eb[j:m])) for (i, j), (k, m) in zip(cuts, cuts[1:])]
+    links = [(ea.ids[k - 1], eb[m - 1]) for k, m in cuts[1:]]
     return len(ea.ids), len(eb), groups, links
 
 

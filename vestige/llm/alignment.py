@@ -12,15 +12,20 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import sentencepiece
+import tiktoken
 from pyspark.sql import DataFrame, functions as F
 from tokenizers import Tokenizer
 
 from .common import columns, gathered, joined, prepare, saved
 
-#: Units whose alignment a worker remembers before it starts anew (about 60 MB), and the longest one that is remembered.
-MEMORY, LONGEST = 150_000, 64
+#: Units whose alignment a worker remembers before it starts anew (about 100 MB), and the longest one that is remembered.
+MEMORY, LONGEST = 300_000, 64
+#: Units that are tokenized and merged end to end.
+RUN = 5000
 #: Pairs up to which their counts are broadcast (about 50 MB); more are joined by a shuffle, with the same result.
 MOST_PAIRS = 1_000_000
+#: Fixed value: the split of byte-level tokenizers.
+SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 _HEX = re.compile(r"<0x([0-9A-F]{2})>")
 
 
@@ -47,57 +52,112 @@ def merged_ends(a: list[int], b: list[int], ends_a: list[int], ends_b: list[int]
     return groups, links, i == len(a) and j == len(b)
 
 
+def _ranked(spec: dict, names: dict[int, bytes]):
+    """The faster library's encoder of a byte-level vocabulary whose ids follow its merges; None for any other."""
+    merges = [m.split(" ") if isinstance(m, str) else m for m in spec["model"]["merges"]]
+    vocab = spec["model"]["vocab"]
+    ordered = len({len(names[i]) for i in range(256)} | {1}) == 1 and all(vocab[x + y] == 256 + k for k, (x, y) in enumerate(merges)) and len(names) == 256 + len(merges)
+    plain = spec.get("normalizer") is None and spec["pre_tokenizer"].get("use_regex", True) and spec["pre_tokenizer"]["type"] == "ByteLevel"
+    if not ordered or not plain:
+        return None
+    return tiktoken.Encoding("bytes", pat_str=SPLIT, mergeable_ranks={t: i for i, t in names.items()}, special_tokens={}).encode_ordinary
+
+
+def _library(path: str):
+    tokenizer = Tokenizer.from_file(path)
+    tokenizer.encode_special_tokens = True
+    return lambda text: tokenizer.encode(text, add_special_tokens=False).ids
+
+
 class Aligner:
     """Alignments of whole texts, unit by unit.
 
     A unit is a stretch of space+text that begins with a space behind a character that is no white space, or at the text's start.  Both
     tokenizers cut there: the first one's split never joins such a space to what stands before it, and the second one has no piece with a
-    space behind another character (looked up when loaded; else texts are one unit).  So each different unit is tokenized and merged once.
+    space behind another character (looked up when loaded; else texts are one unit).  So each different unit is tokenized and merged once,
+    many of them end to end as one text.
     """
 
     def __init__(self, path_a: str, path_b: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
-        self.a, self.b = Tokenizer.from_file(path_a), sentencepiece.SentencePieceProcessor(model_file=path_b)
-        self.a.encode_special_tokens = True
+        self.b = sentencepiece.SentencePieceProcessor(model_file=path_b)
         plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
         back = {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in plain)}
-        self.bytes_a = {i: bytes(back[c] for c in t) if all(c in back for c in t) else t.encode() for t, i in self.a.get_vocab().items()}
+        with open(path_a, encoding="utf-8") as f:
+            spec = json.load(f)
+        added = {t["id"] for t in spec["added_tokens"]}
+        names = {i: bytes(back[c] for c in t) for t, i in spec["model"]["vocab"].items() if i not in added}
+        self.bytes_a = [names.get(i, b"\xff\xff") for i in range(max(names) + 1)]
+        self.encode_a = _ranked(spec, names) or _library(path_a)
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         self.bytes_b = [bytes([int(m[1], 16)]) if (m := _HEX.fullmatch(p)) and self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
-        with open(path_a, encoding="utf-8") as f:
-            split = (json.load(f).get("pre_tokenizer") or {}).get("type") == "ByteLevel"
-        self.cut = split and not any(re.search("[^▁]▁", p) for p in pieces)
+        self.size_a, self.size_b = (np.array([*map(len, x)], np.int64) for x in (self.bytes_a, self.bytes_b))
+        self.cut = spec["pre_tokenizer"]["type"] == "ByteLevel" and not any(re.search("[^▁]▁", p) for p in pieces)
         self.space = self.b.piece_to_id("▁")
+        #: What an id gives to a group's text: an A id and "," or, at the group's end, "|"; a B id and "," or ";".
+        self.said = [f"{i}{c}" for n, c in ((len(names), ","), (len(names), "|"), (len(pieces), ","), (len(pieces), ";")) for i in range(n)] if len(names) == len(self.bytes_a) else []
         self.clear()
 
     def clear(self) -> None:
         self.known: dict[str, int] = {}
-        self.groups: list[str] = []
+        self.groups: list[str] = []  # a unit's groups, each with a ";" behind it
         self.figures = np.zeros((0, 4), np.int64)  # tokens of A and B, groups, links; A's are -1 where the bytes differ
         self.links, self.start = np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     def learn(self, units: list[str]) -> None:
         """Tokenizes and merges units, each of which begins with a space."""
-        ids_a = [e.ids for e in self.a.encode_batch_fast(units, add_special_tokens=False)]
-        ids_b = [b if u != " " else [self.space] for u, b in zip(units, self.b.encode([u[1:] for u in units], num_threads=1))]  # nothing has no prefix
-        figures, links = [], []
-        for unit, a, b in zip(units, ids_a, ids_b):
-            raw = unit.encode("utf-8", "surrogatepass")
-            of_a, of_b = [self.bytes_a[i] for i in a], [self.bytes_b[i] for i in b]
-            if b"".join(of_a) != raw or b"".join(of_b) != raw:
-                self.groups.append("")
-                figures.append((-1, 0, 0, 0))
-                continue
-            ends_a, ends_b = np.cumsum([*map(len, of_a)]).tolist(), np.cumsum([*map(len, of_b)]).tolist()
-            groups, own, _ = merged_ends(a, b, ends_a, ends_b)
-            self.groups.append(";".join(groups))
-            figures.append((len(a), len(b), len(groups), len(own)))
-            links += [x << 32 | y for x, y in own]
-        before = len(self.links)
-        figures = np.array(figures, np.int64).reshape(-1, 4)
-        self.start = np.concatenate([self.start, before + np.cumsum(figures[:, 3]) - figures[:, 3]])
-        self.figures, self.links = np.concatenate([self.figures, figures]), np.concatenate([self.links, np.array(links, np.int64)])
-        self.known.update(zip(units, range(len(self.groups) - len(units), len(self.groups))))
+        closed = [u for u in units if not u[-1].isspace()]
+        open_ends = [u for u in units if u[-1].isspace()]  # these can't stand before another unit
+        found = [x for run in [*(closed[i : i + RUN] for i in range(0, len(closed), RUN)), *([u] for u in open_ends)] for x in self.merge(run)]
+        figures = np.concatenate([f for f, _, _ in found])
+        self.start = np.concatenate([self.start, len(self.links) + np.cumsum(figures[:, 3]) - figures[:, 3]])
+        self.figures, self.links = np.concatenate([self.figures, figures]), np.concatenate([self.links, *(x for _, _, x in found)])
+        self.known.update(zip([*closed, *open_ends], range(len(self.groups), len(self.groups) + len(units))))
+        for _, groups, _ in found:
+            self.groups += groups
+
+    def merge(self, units: list[str]) -> list[tuple[np.ndarray, list[str], np.ndarray]]:
+        """(figures, groups, links) of runs of the units.
+
+        Tokens of all units are merged by their ends at once: a stable sort of two sorted runs moves two pointers over them.
+        """
+        text = "".join(units)
+        raw = text.encode("utf-8", "surrogatepass")
+        a = np.array(self.encode_a(text), np.int64)
+        b = np.array(self.b.encode(text[1:], num_threads=1) if len(text) > 1 else [self.space], np.int64)  # an empty text would get no prefix
+        if b"".join(map(self.bytes_a.__getitem__, a.tolist())) != raw or b"".join(map(self.bytes_b.__getitem__, b.tolist())) != raw:
+            if len(units) == 1:
+                return [(np.array([[-1, 0, 0, 0]]), [""], np.zeros(0, np.int64))]
+            half = len(units) // 2
+            return self.merge(units[:half]) + self.merge(units[half:])
+        ends_a, ends_b = np.cumsum(self.size_a[a]), np.cumsum(self.size_b[b])
+        cuts = np.cumsum([len(u.encode("utf-8", "surrogatepass")) for u in units])
+        cut_a, cut_b = (np.searchsorted(ends, cuts, side="right") for ends in (ends_a, ends_b))
+        if not self.said or not self.size_a[a].all() or not self.size_b[b].all():  # tokens without bytes, or ids with holes
+            return self._merge_each(a, b, ends_a, ends_b, cut_a, cut_b)
+        both = np.concatenate([ends_a, ends_b])
+        order = np.argsort(both, kind="stable")
+        same = np.flatnonzero(both[order[1:]] == both[order[:-1]])
+        last_a, last_b = order[same], order[same + 1] - len(a)
+        shared = ends_a[last_a]
+        links = a[last_a] << 32 | b[last_b]
+        n_groups = np.diff(np.searchsorted(shared, cuts, side="right"), prepend=0)
+        figures = np.stack([np.diff(cut_a, prepend=0), np.diff(cut_b, prepend=0), n_groups, n_groups], axis=1)
+        code_a, code_b = a.copy(), b + 2 * len(self.bytes_a)
+        code_a[last_a] += len(self.bytes_a)
+        code_b[last_b] += len(self.bytes_b)
+        rank = np.concatenate([2 * np.searchsorted(shared, ends_a), 2 * np.searchsorted(shared, ends_b) + 1])
+        said = list(map(self.said.__getitem__, np.concatenate([code_a, code_b])[np.argsort(rank, kind="stable")].tolist()))
+        at = [0, *(cut_a + cut_b).tolist()]
+        return [(figures, ["".join(said[i:j]) for i, j in zip(at, at[1:])], links)]
+
+    def _merge_each(self, a, b, ends_a, ends_b, cut_a, cut_b) -> list[tuple[np.ndarray, list[str], np.ndarray]]:
+        out, i, j = [], 0, 0
+        for k, m in zip(cut_a.tolist(), cut_b.tolist()):
+            groups, links, _ = merged_ends(a[i:k].tolist(), b[j:m].tolist(), ends_a[i:k].tolist(), ends_b[j:m].tolist())
+            out.append((np.array([[k - i, m - j, len(groups), len(links)]]), ["".join(f"{g};" for g in groups)], np.array([x << 32 | y for x, y in links], np.int64)))
+            i, j = k, m
+        return out
 
     def units(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str]]:
         """(codes, ends, units): the units of all texts as places in the list of different ones; ends[i] is behind text i's last."""
@@ -128,8 +188,8 @@ class Aligner:
             self.clear()
         codes, ends, different = self.units(texts)
         new = [u for u in different if u not in self.known]
-        for i in range(0, len(new), 2000):
-            self.learn(new[i : i + 2000])
+        if new:
+            self.learn(new)
         place = np.array([self.known[u] for u in different], np.int64)[codes]
         bounds = np.concatenate([[0], ends])
         figures = self.figures[place]
@@ -145,7 +205,7 @@ class Aligner:
                 digests.append("")
                 own.append(links[:0])
                 continue
-            groups = ";".join(map(self.groups.__getitem__, place[bounds[i] : bounds[i + 1]].tolist()))
+            groups = "".join(map(self.groups.__getitem__, place[bounds[i] : bounds[i + 1]].tolist()))[:-1]
             digests.append(hashlib.sha256(groups.encode()).hexdigest())
             own.append(links[cuts[i] : cuts[i + 1]])
         total[none] = 0
