@@ -148,6 +148,23 @@ def within_one_edit(a: Column, b: Column) -> Column:
     return (F.levenshtein(a, b) <= 1) | ((F.length(a) == F.length(b)) & swapped)
 
 
+def osa(a: Column, b: Column) -> Column:
+    """Optimal string alignment distance: the least number of characters put in, left out or changed and neighbours swapped, none edited twice."""
+
+    def cell(i: Column, j: Column, row: Column, last: Column, before: Column) -> Column:
+        x, y = F.substr(a, i, F.lit(1)), F.substr(b, j, F.lit(1))
+        swapped = F.when((i > 1) & (j > 1) & (x == F.substr(b, j - 1, F.lit(1))) & (F.substr(a, i - 1, F.lit(1)) == y), F.get(before, j - 2) + 1)
+        return F.least(F.element_at(row, -1) + 1, F.get(last, j) + 1, F.get(last, j - 1) + (x != y).cast("int"), swapped)
+
+    def line(s: Column, i: Column) -> Column:
+        row = F.aggregate(F.sequence(F.lit(1), F.length(b)), F.array(i), lambda r, j: F.concat(r, F.array(cell(i, j, r, s["last"], s["before"]))))
+        return F.struct(s["last"].alias("before"), row.alias("last"))
+
+    start = F.struct(F.array().cast("array<int>").alias("before"), F.sequence(F.lit(0), F.length(b)).alias("last"))
+    whole = F.aggregate(F.sequence(F.lit(1), F.length(a)), start, line, lambda s: F.element_at(s["last"], -1))
+    return F.when(F.length(a) == 0, F.length(b)).when(F.length(b) == 0, F.length(a)).otherwise(whole)
+
+
 def host_of(destination: Column) -> Column:
     """Lower-cased host of host:port, without a dot at its end."""
     return F.regexp_replace(F.regexp_replace(F.lower(destination), r"(?<=.):[^:\]]*\z", ""), r"\.\z", "")

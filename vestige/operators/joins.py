@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.text import jaccard
+from .graphs import cut
 
 
 def first_of(rows: DataFrame, keys: list[str], order: list) -> DataFrame:
@@ -37,29 +39,54 @@ def coverage(points: DataFrame, windows: DataFrame, key: str, at: str, reach: in
     return spans.join(state, "__id", "left").withColumn("covered", F.when(F.col("whole"), "healthy").when(F.col("whole").isNotNull(), "partial").otherwise("none")).drop("__id", "whole")
 
 
+#: Rounds of mutual best pairs before what is left, long alternating runs, is matched run by run.
+ROUNDS = 12
+
+
 def best_matches(calls: DataFrame, records: DataFrame, key: str, score: Column, window: int) -> DataFrame:
     """One-to-one greedy pairs of calls (call_id, at) and records (record_id, seen) at most window apart: key, call_id, record_id, score.
 
-    Higher scores first, then the smaller distance, then ids.  Candidates come from an equality join on time cells; candidates that share no
-    call and no record, even through others, can't compete, so runs of calls more than twice the window apart are matched in parallel.
+    Higher scores first, then the smaller distance, then ids: a total order of the pairs.  Candidates come from an equality join on time
+    cells.  A pair that is the best of its call and the best of its record is what greedy choice takes, whatever it took before; so each
+    round takes all such pairs by grouped maxima and drops what shares a call or record with them.  Pairs left after ROUNDS rounds compete
+    in long alternating runs; those are matched a run at a time.  Rows with a null key, id or time match nothing; ids tell rows apart.
     """
-    cells = records.withColumn("__cell", F.explode(F.array(*(F.floor(F.col("seen") / window).cast("long") + d for d in (-1, 0, 1)))))
-    pairs = calls.withColumn("__cell", F.floor(F.col("at") / window).cast("long")).join(cells, [key, "__cell"]).withColumn("apart", F.abs(F.col("seen") - F.col("at"))).where(F.col("apart") <= window).withColumn("score", score).where("score > 0")
-    w = Window.partitionBy(key).orderBy("at", "call_id")
+    c = calls.where(F.col(key).isNotNull() & F.col("call_id").isNotNull() & F.col("at").isNotNull())
+    cells = records.where(F.col("record_id").isNotNull()).withColumn("__cell", F.explode(F.array(*(F.floor(F.col("seen") / window).cast("long") + d for d in (-1, 0, 1)))))
+    pairs = c.withColumn("__cell", F.floor(F.col("at") / window).cast("long")).join(cells, [key, "__cell"]).withColumn("__apart", F.abs(F.col("seen") - F.col("at"))).where(F.col("__apart") <= window).withColumn("__score", score.cast("long")).where("__score > 0")
+    live = pairs.select(F.col(key).alias("k"), "call_id", "record_id", F.col("at").cast("long").alias("at"), F.struct(F.col("__score").alias("score"), (-F.col("__apart")).alias("near"), (-F.col("call_id")).alias("c"), (-F.col("record_id")).alias("r")).alias("rank"))
+    live, chosen = cut(live), []
+    for _ in range(ROUNDS):
+        if live.isEmpty():
+            break
+        of_call, of_record = (live.groupBy("k", side).agg(F.max("rank").alias("rank")) for side in ("call_id", "record_id"))
+        taken = cut(of_call.join(of_record, ["k", "rank"]).select("k", "call_id", "record_id", F.col("rank.score").alias("score")))
+        chosen.append(taken)
+        live = cut(live.join(taken.select("k", "call_id"), ["k", "call_id"], "left_anti").join(taken.select("k", "record_id"), ["k", "record_id"], "left_anti"))
+    else:
+        chosen.append(_run_by_run(live, window))
+    if not chosen:
+        chosen = [live.select("k", "call_id", "record_id", F.col("rank.score").alias("score"))]
+    return reduce(DataFrame.unionByName, chosen).withColumnRenamed("k", key)
+
+
+def _run_by_run(live: DataFrame, window: int) -> DataFrame:
+    """The greedy choice among pairs by plain loops, in runs of calls none of which is more than twice the window from the next."""
+    w = Window.partitionBy("k").orderBy("at", "call_id")
     gap = F.coalesce((F.col("at") - F.lag("at").over(w) > 2 * window).cast("long"), F.lit(0))
-    group = pairs.withColumn("__gap", gap).withColumn("__group", F.sum("__gap").over(w))
+    group = live.withColumn("__gap", gap).withColumn("run", F.sum("__gap").over(w)).select("k", "run", "call_id", "record_id", "rank.score", "rank.near")
 
     def choose(rows: pd.DataFrame) -> pd.DataFrame:
         taken, held, out = set(), set(), []
-        for r in rows.sort_values(["score", "apart", "call_id", "record_id"], ascending=[False, True, True, True]).itertuples(index=False):
+        for r in rows.sort_values(["score", "near", "call_id", "record_id"], ascending=[False, False, True, True]).itertuples(index=False):
             if r.call_id not in taken and r.record_id not in held:
                 taken.add(r.call_id)
                 held.add(r.record_id)
                 out.append((r.k, r.call_id, r.record_id, r.score))
         return pd.DataFrame(out, columns=["k", "call_id", "record_id", "score"])
 
-    rows = group.select(F.col(key).cast("long").alias("k"), "__group", "call_id", "record_id", F.col("score").cast("long"), F.col("apart").cast("long"))
-    return rows.groupBy("k", "__group").applyInPandas(choose, "k long, call_id long, record_id long, score long").withColumnRenamed("k", key)
+    schema = ", ".join(f"{c} {t}" for c, t in group.select("k", "call_id", "record_id", "score").dtypes)
+    return group.groupBy("k", "run").applyInPandas(choose, schema)
 
 
 def shared_keys(rows: DataFrame, key: str, case: str) -> DataFrame:

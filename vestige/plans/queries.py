@@ -140,7 +140,11 @@ def coverage_assess(spark, d):
     return J.coverage(points, _spans(e).withColumn("healthy", F.col("span_id") % 2 == 0), "user_id", "u", 600_000_000, 4_800_000_000).select("event_id", "covered")
 
 
-@query()
+@query("""WITH RECURSIVE c AS (SELECT user_id AS u, event_id AS call, epoch_us(ts) AS called, value AS v FROM events WHERE event_type = 'click'), s AS (SELECT user_id AS u, event_id AS rec, epoch_us(ts) AS seen, value AS w FROM events WHERE event_type = 'view'),
+p AS (SELECT u, call, rec, CASE WHEN abs(v - w) < 10 THEN 100 ELSE 60 END AS score, abs(seen - called) AS apart FROM c JOIN s USING (u) WHERE abs(seen - called) <= 7200000000),
+r(u, call, rec, score, apart, taken) AS (SELECT *, false FROM p UNION ALL SELECT u, call, rec, score, apart, row_number() OVER (PARTITION BY u, call ORDER BY score DESC, apart, rec) = 1 AND row_number() OVER (PARTITION BY u, rec ORDER BY score DESC, apart, call) = 1
+FROM r AS x WHERE NOT taken AND NOT EXISTS (SELECT 1 FROM r AS y WHERE y.taken AND y.u = x.u AND (y.call = x.call OR y.rec = x.rec)))
+SELECT u AS user_id, call AS call_id, rec AS record_id, CAST(score AS BIGINT) AS score FROM r WHERE taken""")
 def interval_best_match(spark, d):
     e = _t(spark, d, "events")
     calls = e.where("event_type = 'click'").select("user_id", F.col("event_id").alias("call_id"), W.micros().alias("at"), F.col("value").alias("v"))
