@@ -170,15 +170,15 @@ def whole(text, a, b):
     of_b = [bytes([int(p[3:5], 16)]) if b.is_byte(i) else p.replace("▁", " ").encode() for i, p in ((i, b.id_to_piece(i)) for i in eb)]
     if not b"".join(of_a) == b"".join(of_b) == (" " + text).encode():
         return None
-    ends_a, ends_b = np.cumsum([*map(len, of_a)]).tolist(), np.cumsum([*map(len, of_b)]).tolist()
+    ends_a, ends_b, ids = np.cumsum([*map(len, of_a)]).tolist(), np.cumsum([*map(len, of_b)]).tolist(), ea.ids
     both = sorted(set(ends_a) & set(ends_b))
     # No token of these texts is without bytes, so an end is one token's.
     at_a, at_b = ({e: k + 1 for k, e in enumerate(ends)} for ends in (ends_a, ends_b))
     cuts = [(0, 0), *((at_a[e], at_b[e]) for e in both)]
     assert len(at_a) == len(ends_a) and len(at_b) == len(ends_b)
-    groups = [",".join(map(str, ea.ids[i:k])) + "|" + ",".join(map(str, eb[j:m])) for (i, j), (k, m) in zip(cuts, cuts[1:])]
-    links = [(ea.ids[k - 1], eb[m - 1]) for k, m in cuts[1:]]
-    return len(ea.ids), len(eb), groups, links
+    groups = [",".join(map(str, ids[i:k])) + "|" + ",".join(map(str, eb[j:m])) for (i, j), (k, m) in zip(cuts, cuts[1:])]
+    links = [(ids[k - 1], eb[m - 1]) for k, m in cuts[1:]]
+    return len(ids), len(eb), groups, links
 
 
 def test_alignment(spark, texts, monkeypatch):
