@@ -89,6 +89,21 @@ def _segments(rows: DataFrame, window_us: int) -> DataFrame:
     return rows.join(spans, F.col("k").eqNullSafe(F.col("sk")) & (F.col("b") == F.col("sb"))).drop("sk", "sb", "b")
 
 
+def follow(events: list, start: int, names: list, linked: bool, window: int | None) -> tuple[int, int] | None:
+    """Places of the last row and of what comes behind it, of the match that starts here.  names: for each step the column that must differ, or None."""
+    before, shared, place = events[start], set(events[start].link if linked and events[start].link is not None else ()), start + 1
+    for step in range(1, len(names)):
+        while True:
+            if place == len(events) or (window and events[place].at - events[start].at > window):
+                return None
+            r, place = events[place], place + 1
+            common = shared.intersection(r.link) if linked and r.link is not None else ()
+            if r.bits >> step & 1 and (not linked or common) and (names[step] is None or r.d[step] != before.d[step]):
+                break
+        before, shared = r, set(common)
+    return place - 1, place
+
+
 def chain_matches(events: DataFrame, chain: Chain, key: str, at: str, tie: str, most: int | None = MOST_MATCHES) -> DataFrame:
     """Greedy matches that don't overlap: key, chain_id, first_event, last_event; of a key the first so many, or all of them (None).
 
@@ -106,25 +121,11 @@ def chain_matches(events: DataFrame, chain: Chain, key: str, at: str, tie: str,
     rows = events.select(F.col(key).cast("string").alias("k"), F.col(at).cast("long").alias("at"), F.col(tie).cast("long").alias("e"), bits.alias("bits"), link.alias("link"), differs.alias("d")).where("bits <> 0 and at is not null")
     name, window, linked = chain.chain_id, chain.window_us, bool(chain.link)
 
-    def follow(events: list, start: int) -> tuple[int, int] | None:
-        """Places of the last row and of what comes behind it, of the match that starts here."""
-        before, shared, place = events[start], set(events[start].link if linked and events[start].link is not None else ()), start + 1
-        for step in range(1, len(names)):
-            while True:
-                if place == len(events) or (window and events[place].at - events[start].at > window):
-                    return None
-                r, place = events[place], place + 1
-                common = shared.intersection(r.link) if linked and r.link is not None else ()
-                if r.bits >> step & 1 and (not linked or common) and (names[step] is None or r.d[step] != before.d[step]):
-                    break
-            before, shared = r, set(common)
-        return place - 1, place
-
     def match(group: pd.DataFrame) -> pd.DataFrame:
         out, i = [], 0
         ordered = list(group.sort_values(["at", "e"]).itertuples(index=False))
         while i < len(ordered) and (most is None or len(out) < most):
-            found = follow(ordered, i) if ordered[i].bits & 1 else None
+            found = follow(ordered, i, names, linked, window) if ordered[i].bits & 1 else None
             if found:
                 out.append((ordered[i].k, name, ordered[i].e, ordered[found[0]].e, ordered[i].at))
             i = found[1] if found else i + 1
