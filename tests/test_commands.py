@@ -95,3 +95,32 @@ def test_documents_of_findings(spark):
     edges = spark.createDataFrame([('a"b', None, "x|y")], "from string, to string, relation string")
     line = K.mermaid(edges).first().value
     assert '["a#quot;b"]' in line and '|"x#124;y"|' in line and line.endswith('[""]')
+
+
+def test_what_opens_a_here_document(spark):
+    """Bodies go where a program only reads them, and stay where one runs them; a << in quotes, arithmetic or behind a figure opens nothing."""
+    same = [
+        "python -c \"exec(b64decode('eA=='))\"", 'grep x <<< "$v"\nnext', "bash <<'EOF'\necho H4sI | base64 -d | sh\nEOF", "python3 - <<EOF\nimport os\nEOF", 'python3 -c "print(1<<X)"\nrm -rf ./x\nnext', "echo $((1<<N))\nrm ./a\nN", "echo 1<<X\nls", "echo 'a <<EOF'\nrm b\nEOF",
+        "sudo bash -s <<EOF\nrm -rf /x\nEOF", "A=1 /usr/bin/python3.11 - \"x y\" <<-'PY'\n\tprint(1)\n\tPY\nls", "echo don't <<EOF\nrm c", "", None,
+    ]
+    cut = [
+        ("cd x && cat > f.md <<'EOF'\nclaude -p x\nDROP DATABASE prod;\nEOF\necho done", "cd x && cat > f.md <<EOF\necho done"),
+        ("cat <<A > f\nrm -rf /\nA\nls", "cat <<A > f\nls"), ("cat <<-X\n\tid_rsa\n\tX\nls", "cat <<X\nls"), ("cat <<E\nnever closed\nrm x", "cat <<E"), ("echo 'it is' && tee a <<Q\n\"\nQ\nrm y", "echo 'it is' && tee a <<Q\nrm y"), ("mybash <<EOF\nrm x\nEOF", "mybash <<EOF"),
+    ]
+    df = spark.createDataFrame([(c, c) for c in same] + cut, "c string, w string")
+    got = df.select("c", "w", C.without_heredocs(F.col("c")).alias("g")).collect()
+    assert [(r.c, r.g) for r in got] == [(r.c, r.w) for r in got]
+
+
+def test_nothing_hides_a_delete(spark):
+    rows = [
+        ('python3 -c "print(1<<X)"\nrm -rf ./x\nnext', ["./x"]), ("bash <<'EOF'\nrm -rf /srv/x\nEOF", ["/srv/x"]), ("python3 - <<'EOF'\nrm -rf /srv/x\nEOF", []), ("sudo rm /x", ["/x"]), ("env A=1 rm /y", ["/y"]), ("sudo -n env B=2 nohup rm -f /z", ["/z"]),
+        ("cat <<EOF\nrm /no\nEOF\nrm /yes", ["/yes"]), ("echo 'rm /no'; sudo ls /no", []), (None, None),
+    ]
+    got = spark.createDataFrame([(c,) for c, _ in rows], "c string").select("c", C.delete_targets(C.shell_text(C.expanded(F.col("c")))).alias("d")).collect()
+    assert [(r.c, r.d or []) for r in got] == [(c, d or []) for c, d in rows]
+
+
+def test_a_very_long_command_is_read(spark):
+    long = "echo " + "x<<y 'q' " * 20_000 + "\nrm /end"
+    assert spark.createDataFrame([(long,)], "c string").select(C.delete_targets(C.shell_text(F.col("c"))).alias("d")).first().d in ([], ["/end"])
