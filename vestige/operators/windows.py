@@ -92,3 +92,32 @@ def last_before(events: DataFrame, key: str, wanted: Column, value: str, back: i
     last = F.last(F.when(wanted, F.struct(F.col(value).alias("v"), F.col("__n").alias("n"))), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
     found = rows.withColumn("__last", last)
     return found.withColumn("trigger", F.when(F.col("__n") - F.col("__last.n") <= back, F.col("__last.v"))).drop("__n", "__last")
+
+
+def distinct_ahead(rows: DataFrame, keys: list[str], at: str, value: str, window: int) -> DataFrame:
+    """rows with n_distinct: how many different values of value the keys have from the row's time to window after it, both included.
+
+    A row counts in the windows that begin behind the last row of its value and no more than window before it: one more at the first such
+    time, one less behind its own.  So one running sum over times gives all counts, however many rows a window holds.  Null values count as
+    none; rows without a time have no count; null keys are a key.
+    """
+    timed = rows.where(F.col(at).isNotNull())
+    own = timed.where(F.col(value).isNotNull()).select(*keys, value, F.col(at).cast("long").alias("__at")).distinct().withColumn("__was", F.lag("__at").over(Window.partitionBy(*keys, value).orderBy("__at")))
+    steps = own.select(*keys, F.explode(F.array(F.struct(F.greatest(F.col("__was") + 1, F.col("__at") - window).alias("t"), F.lit(1).alias("d")), F.struct((F.col("__at") + 1).alias("t"), F.lit(-1).alias("d")))).alias("s")).select(*keys, F.col("s.t").alias("__t"), F.col("s.d").alias("__d"))
+    marked = timed.withColumn("__t", F.col(at).cast("long")).withColumn("__d", F.lit(0)).withColumn("__row", F.lit(True))
+    w = Window.partitionBy(*keys).orderBy("__t").rangeBetween(Window.unboundedPreceding, 0)
+    counted = marked.unionByName(steps.withColumn("__row", F.lit(False)), allowMissingColumns=True).withColumn("n_distinct", F.sum("__d").over(w))
+    return counted.where("__row").drop("__t", "__d", "__row").unionByName(rows.where(F.col(at).isNull()).withColumn("n_distinct", F.lit(None).cast("long")))
+
+
+def bursts(rows: DataFrame, keys: list[str], at: str, value: str, window: int, least: int) -> DataFrame:
+    """Bursts of a key: keys, first_at, last_at, n_rows, n_distinct.  A burst begins where at least so many different values come within window,
+    and goes on while rows are no more than window apart.
+
+    So within a run of rows no more than window apart, the burst is from the first row whose window has enough to the run's end.
+    """
+    order = Window.partitionBy(*keys).orderBy(at)
+    counted = distinct_ahead(rows.where(F.col(at).isNotNull()), keys, at, value, window)
+    runs = counted.withColumn("__new", (F.col(at) - F.lag(at).over(order) > window).cast("int")).withColumn("__run", F.sum(F.coalesce("__new", F.lit(0))).over(order.rangeBetween(Window.unboundedPreceding, 0)))
+    start = runs.withColumn("__from", F.min(F.when(F.col("n_distinct") >= least, F.col(at))).over(Window.partitionBy(*keys, "__run")))
+    return start.where(F.col(at) >= F.col("__from")).groupBy(*keys, "__run").agg(F.min(at).alias("first_at"), F.max(at).alias("last_at"), F.count("*").alias("n_rows"), F.count_distinct(value).alias("n_distinct")).drop("__run")

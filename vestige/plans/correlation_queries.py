@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions import ladder as L
-from ..operators import graphs as G, names as N, windows as W
+from ..operators import graphs as G, indicators as I, names as N, payloads as Y, processes as P, windows as W
 from .queries import _t, query
 
 
@@ -97,3 +97,75 @@ def match_points(spark, d):
     e = _t(spark, d, "events").select("event_id", *(F.expr(v).alias(k) for k, v in forms.items()))
     points = e.select("event_id", L.process_points(F.col("command"), F.col("cmdline")).alias("process"), L.file_points(F.col("named"), F.col("path")).alias("file"), L.network_points(F.col("host"), F.col("address"), F.col("name")).alias("network"))
     return points.select("*", L.basis(F.lit("process"), F.col("process")).alias("b")).select("event_id", "process", "file", "network", "b.basis", "b.confidence")
+
+
+def _process_records(spark, d) -> DataFrame:
+    e = _t(spark, d, "events").select("event_id", "event_type", W.micros().alias("at"), (F.col("user_id") % 5).alias("host"), (F.col("event_id") % 37).alias("pid"))
+    return e.withColumn("what", F.when(F.col("event_type").isin("click", "view"), "exec").when(F.col("event_type") == "error", "exit"))
+
+
+@query("""WITH e AS (SELECT event_id, event_type, epoch_us(ts) AS t, user_id % 5 AS host, event_id % 37 AS pid FROM events),
+s AS (SELECT host, pid, t, max(event_id) AS process_id FROM e WHERE event_type IN ('click', 'view') GROUP BY ALL),
+l AS (SELECT s.host, s.pid, s.t, s.process_id, least(min(n.t) FILTER (WHERE n.event_type = 'error' OR n.t > s.t)) AS stop FROM s LEFT JOIN e n ON n.host = s.host AND n.pid = s.pid AND n.t >= s.t AND n.event_type IN ('click', 'view', 'error') GROUP BY ALL)
+SELECT e.event_id, l.process_id, l.t AS start, l.stop + 2000000 < e.t AS ended FROM e ASOF LEFT JOIN l ON e.host = l.host AND e.pid = l.pid AND e.t + 2000000 >= l.t WHERE e.event_type = 'purchase'""")
+def process_alive(spark, d):
+    r = _process_records(spark, d)
+    points = r.where("event_type = 'purchase'").select("event_id", "host", "pid", "at")
+    return P.alive_at(points, r.select("host", "pid", "at", "what", F.col("event_id").alias("record_id")), 2_000_000).select("event_id", "process_id", "start", "ended")
+
+
+_AHEAD = "e AS (SELECT user_id, event_id, epoch_us(ts) AS t, props->>'$.k' AS k FROM events), n AS (SELECT a.user_id, a.event_id, a.t, count(DISTINCT b.k) AS n FROM e a JOIN e b ON a.user_id = b.user_id AND b.t BETWEEN a.t AND a.t + 43200000000 GROUP BY ALL)"
+
+
+@query(f"""WITH {_AHEAD}, g AS (SELECT e.*, n.n, sum(coalesce(CAST(e.t - p.t > 43200000000 AS INT), 0)) OVER (PARTITION BY e.user_id ORDER BY e.t RANGE UNBOUNDED PRECEDING) AS run FROM e JOIN n USING (user_id, event_id) LEFT JOIN (SELECT event_id, lag(t) OVER (PARTITION BY user_id ORDER BY t, event_id) AS t FROM e) p USING (event_id)),
+f AS (SELECT user_id, run, min(t) AS f FROM g WHERE n >= 4 GROUP BY ALL)
+SELECT user_id, min(t) AS first_at, max(t) AS last_at, count(*) AS n_rows, count(DISTINCT k) AS n_distinct FROM g JOIN f USING (user_id, run) WHERE t >= f GROUP BY user_id, run""")
+def distinct_bursts(spark, d):
+    e = _t(spark, d, "events").select("user_id", W.micros().alias("at"), F.get_json_object("props", "$.k").alias("k"))
+    return W.bursts(e, ["user_id"], "at", "k", 43_200_000_000, 4)
+
+
+def _indicators(spark, d) -> DataFrame:
+    """Domains of the mail servers that part keys name, and the first 24 characters of every benchmark item."""
+    domains = _t(spark, d, "part").select(F.lit("domain").alias("kind"), F.concat(F.lit("MAIL"), F.col("p_partkey").cast("string"), F.lit("[.]Example.com.")).alias("value"))
+    starts = _t(spark, d, "benchmark").select(F.lit("string").alias("kind"), F.substring("text", 1, 24).alias("value"))
+    none = [F.lit(None).cast(t).alias(c) for c, t in (("low", "string"), ("below", "string"), ("exact", "array<string>"))]
+    return I.usable(domains.unionByName(starts).select(F.lit("tables").alias("incident"), "kind", "value", *none))
+
+
+@query("""WITH i AS (SELECT DISTINCT 'domain' AS kind, 'mail' || p_partkey || '.example.com' AS value FROM part UNION SELECT DISTINCT 'string', trim(left(text, 24)) FROM benchmark WHERE length(trim(left(text, 24))) >= 8),
+t AS (SELECT 'document' AS source, doc_id AS id, text FROM documents UNION ALL SELECT 'page', page_id, html FROM pages),
+m AS (SELECT source, id, lower(text) AS low, text FROM t),
+d AS (SELECT DISTINCT source, id, unnest(regexp_extract_all(low, '[a-z0-9_-]+(?:\\.[a-z0-9_-]+)+')) AS host FROM m)
+SELECT DISTINCT source, id, 'domain' AS kind, value FROM d JOIN i ON kind = 'domain' AND (host = value OR ends_with(host, '.' || value))
+UNION ALL SELECT source, id, kind, min(value) FROM m JOIN i ON kind = 'string' AND contains(low, lower(value)) GROUP BY source, id, kind, lower(value)""")
+def indicator_texts(spark, d):
+    texts = _t(spark, d, "documents").select(F.lit("document").alias("source"), F.col("doc_id").alias("id"), "text").unionByName(_t(spark, d, "pages").select(F.lit("page").alias("source"), F.col("page_id").alias("id"), F.col("html").alias("text")))
+    return I.in_texts(texts, ["source", "id"], "text", _indicators(spark, d)).select("source", "id", "kind", "value")
+
+
+@query("""WITH p AS (SELECT page_id, lower(regexp_extract(url, '://([^/:?#]+)', 1)) AS host FROM pages), i AS (SELECT DISTINCT regexp_extract(host, '([^.]+\\.[^.]+)$', 1) AS value FROM p WHERE host LIKE '%.%' AND length(host) % 2 = 0 UNION SELECT DISTINCT host FROM p WHERE host LIKE '%.%' AND length(host) % 3 = 0)
+SELECT DISTINCT page_id, host, value FROM p JOIN i ON host = value OR ends_with(host, '.' || value)""")
+def indicator_hosts(spark, d):
+    p = _t(spark, d, "pages").select("page_id", F.lower(F.regexp_extract("url", "://([^/:?#]+)", 1)).alias("host"))
+    dotted = p.where(F.contains("host", F.lit(".")))
+    values = dotted.where("length(host) % 2 = 0").select(F.regexp_extract("host", r"([^.]+\.[^.]+)\z", 1).alias("value")).unionByName(dotted.where("length(host) % 3 = 0").select(F.col("host").alias("value")))
+    none = [F.lit(None).cast(t).alias(c) for c, t in (("low", "string"), ("below", "string"), ("exact", "array<string>"))]
+    return I.of_hosts(p, "host", I.usable(values.select(F.lit("pages").alias("incident"), F.lit("domain").alias("kind"), "value", *none))).select("page_id", "host", "value")
+
+
+@query("""WITH t AS (SELECT doc_id, doc_id % 4 AS form, text, octet_length(encode(text)) AS n FROM documents WHERE text IS NOT NULL AND octet_length(encode(text)) >= 24)
+SELECT doc_id, 1 AS depth, CASE form WHEN 0 THEN 'base64' WHEN 1 THEN 'hex' WHEN 2 THEN 'base64' ELSE 'base64>utf16le' END AS chain, sha256(CASE form WHEN 2 THEN hex(encode(text)) ELSE text END) AS payload_sha256 FROM t
+UNION ALL SELECT doc_id, 2, 'hex', sha256(text) FROM t WHERE form = 2""")
+def payload_layers(spark, d):
+    raw = F.col("text").cast("binary")
+    form = F.when(F.col("doc_id") % 4 == 0, F.base64(raw)).when(F.col("doc_id") % 4 == 1, F.hex(raw)).when(F.col("doc_id") % 4 == 2, F.base64(F.hex(raw).cast("binary"))).otherwise(F.base64(F.encode("text", "UTF-16LE")))
+    docs = _t(spark, d, "documents").where(F.octet_length("text") >= 24).select("doc_id", F.concat(F.lit("run '"), form, F.lit("' | sh")).alias("hidden"))
+    return Y.payloads(docs, "doc_id", "hidden").where("outcome = 'text'").select("doc_id", "depth", "chain", F.sha2(F.col("payload").cast("binary"), 256).alias("payload_sha256"))
+
+
+@query("""SELECT doc_id, sha256(text) AS command_sha256 FROM documents WHERE length(text) >= 2""")
+def encoded_powershell(spark, d):
+    line = F.concat(F.lit("PowerShell.exe -NoProfile -enc "), F.regexp_replace(F.base64(F.encode("text", "UTF-16LE")), r"\s", ""))
+    docs = _t(spark, d, "documents").where(F.length("text") >= 2).select("doc_id", line.alias("line"))
+    return docs.select("doc_id", F.sha2(Y.powershell(F.col("line")).cast("binary"), 256).alias("command_sha256"))
