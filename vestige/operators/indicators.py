@@ -13,7 +13,7 @@ from ..functions.text import host_of, refang, version
 #: Bytes of values that one automaton holds; more values are more passes over the texts, which send hits alone.
 BLOCK_BYTES = 8 << 20
 #: Kinds, and the least length of a value that is searched for in texts.
-LEAST = {"domain": 4, "url": 8, "path": 6, "repo": 6, "string": 8, "package": 1, "sha256": 64}
+LEAST = {"domain": 1, "url": 8, "path": 6, "repo": 6, "string": 8, "package": 1, "sha256": 64}
 #: The object paths of STIX patterns and the attribute types of MISP events that give a kind.
 STIX = {"domain-name:value": "domain", "url:value": "url", "ipv4-addr:value": "domain", "ipv6-addr:value": "domain", "file:hashes.'SHA-256'": "sha256", "file:name": "path"}
 MISP = {"domain": "domain", "hostname": "domain", "ip-dst": "domain", "ip-src": "domain", "url": "url", "sha256": "sha256", "filename": "path"}

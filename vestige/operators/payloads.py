@@ -107,7 +107,7 @@ def payloads(rows: DataFrame, key: str, text: str, layers: int = LAYERS) -> Data
     text that held it; null at depth 1).
 
     Each round takes the candidates of all texts that the last one found, decodes them in Arrow batches and is written, so a chain of layers costs as
-    many short passes.  outcome: text, binary, broken (a stream that ends or fails without output), bomb, or long (beyond the bounds above).  A payload
+    many short passes.  outcome: text, binary, broken (a stream that fails, or ends without output; what a cut one gives is read), bomb, or long (beyond the bounds above).  A payload
     that one text holds twice is given once.  Null and empty texts hold nothing; an empty table has no rows; rows with one key share it.
     """
 

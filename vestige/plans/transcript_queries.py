@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..operators import sessions as D
 from ..sinks import lines as K
-from ..sources import lines as L, transcripts as S
+from ..sources import exports as X, lines as L, transcripts as S
 from .queries import _t, query
 
 _COLUMNS = ("session", "event_type", "text", "tool", "call_id", "command")
@@ -163,3 +163,23 @@ def otlp_records(spark, d):
     k = F.col("event_type")
     events = _t(spark, d, "events").select("ts", F.when(k == "view", "tool_call").when(k == "click", "human_prompt").otherwise(k).alias("event_type"), F.col("props").alias("text"), F.col("user_id").alias("session"), F.lit(None).cast("string").alias("model"), F.when(k == "view", "Bash").alias("tool"))
     return _fields(K.otlp_records(events), nanos="$.timeUnixNano", operation="$.attributes[0].value.stringValue", session="$.attributes[1].value.stringValue", third="$.attributes[2].key", body="$.body.stringValue")
+
+
+def _exported(spark, d):
+    """Conversations as exports: of three, a tree with the node on screen, a tree without one, and a list; every third turn has a sibling that was left behind."""
+    c = _t(spark, d, "conversations").where("text is not null")
+    node = lambda prefix, text: F.struct(F.concat(F.lit(prefix), F.col("turn").cast("string")).alias("id"), F.when(F.col("turn") > 0, F.concat(F.lit("n"), (F.col("turn") - 1).cast("string"))).alias("parent"), F.struct(F.struct(F.col("role").alias("role")).alias("author"), F.struct(F.array(text).alias("parts")).alias("content"), F.col("turn").cast("double").alias("create_time")).alias("message"))
+    nodes = F.when((F.col("turn") % 3 == 1) & (F.col("conv_id") % 3 < 2), F.array(node("n", F.col("text")), node("a", F.concat(F.lit("draft "), F.col("text"))))).otherwise(F.array(node("n", F.col("text"))))
+    flat = F.struct(F.concat(F.lit("n"), F.col("turn").cast("string")).alias("uuid"), F.when(F.col("role") == "user", "human").otherwise(F.col("role")).alias("sender"), F.col("text"))
+    g = c.select("conv_id", "turn", nodes.alias("nodes"), flat.alias("flat")).groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "nodes", "flat"))).alias("all"), F.max("turn").alias("top"))
+    tree = F.map_from_entries(F.transform(F.flatten(F.transform("all", lambda x: x["nodes"])), lambda n: F.struct(n["id"], n)))
+    current = F.when(F.col("conv_id") % 3 == 0, F.concat(F.lit("n"), F.col("top").cast("string")))
+    as_tree = F.to_json(F.struct(F.col("conv_id").cast("string").alias("id"), current.alias("current_node"), tree.alias("mapping")))
+    return g.select(F.when(F.col("conv_id") % 3 < 2, as_tree).otherwise(F.to_json(F.struct(F.col("conv_id").cast("string").alias("uuid"), F.transform("all", lambda x: x["flat"]).alias("chat_messages")))).alias("raw"))
+
+
+@query("""WITH c AS (SELECT conv_id, turn, role, text FROM conversations WHERE text IS NOT NULL), n AS (SELECT conv_id, 'n' || turn AS node_id, turn, role, text FROM c UNION ALL SELECT conv_id, 'a' || turn, turn, role, 'draft ' || text FROM c WHERE turn % 3 = 1 AND conv_id % 3 < 2)
+SELECT CAST(conv_id AS VARCHAR) AS conv_id, node_id, CASE WHEN conv_id % 3 < 2 THEN 'tree' ELSE 'list' END AS product, role, sha256(text) AS text_sha256, CASE WHEN conv_id % 3 = 1 AND turn >= 1 AND (SELECT count(*) FROM c WHERE c.conv_id = n.conv_id) > 1 THEN 'unresolved' WHEN node_id LIKE 'a%' THEN 'alternate' ELSE 'active' END AS branch FROM n""")
+def export_branches(spark, d):
+    m = X.messages(_exported(spark, d), "raw")
+    return m.select("conv_id", "node_id", "product", "role", F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"), "branch")
