@@ -154,3 +154,32 @@ def orphans(rows: DataFrame, known: DataFrame, keys: list[str]) -> DataFrame:
 def reused(found: DataFrame, value: str, source: str, least: int = 2) -> DataFrame:
     """Values found in at least so many sources: value, n_sources.  Null values and sources don't count."""
     return found.where(F.col(value).isNotNull()).groupBy(value).agg(F.count_distinct(source).alias("n_sources")).where(F.col("n_sources") >= least)
+
+
+def contained(a: DataFrame, b: DataFrame, id_a: str, id_b: str, items: str) -> DataFrame:
+    """Pairs (id_a, id_b) of which b's array holds every item of a's, repeats and nulls aside; an empty or null array is in no pair.
+
+    A set can only be in those that have its rarest item, so it stands under that one alone; items that no set of b has end it at once.  Pairs
+    carry ids until they are verified, by counting the items of a that b has too.
+    """
+    own = a.select(F.col(id_a).alias("__a"), F.array_distinct(F.array_compact(items)).alias("__x")).where(F.size("__x") > 0)
+    held = b.select(F.col(id_b).alias("__b"), F.explode(F.array_distinct(F.array_compact(items))).alias("__t")).distinct()
+    often = held.groupBy("__t").agg(F.count("*").alias("__n"))
+    each = own.select("__a", F.size("__x").alias("__size"), F.explode("__x").alias("__t")).join(often, "__t", "left")
+    rare = each.groupBy("__a", "__size").agg(F.min(F.struct(F.coalesce("__n", F.lit(0)).alias("n"), "__t")).alias("r")).where("r.n > 0")
+    near = rare.select("__a", "__size", F.col("r.__t").alias("__t")).join(held, "__t").select("__a", "__size", "__b").distinct()
+    shared = near.join(each.select("__a", "__t"), "__a").join(held, ["__b", "__t"]).groupBy("__a", "__b", "__size").agg(F.count_distinct("__t").alias("__n"))
+    return shared.where("__n = __size").select(F.col("__a").alias(id_a), F.col("__b").alias(id_b))
+
+
+def attributed_lines(files: DataFrame, writes: DataFrame, key: str, least: int = 3) -> DataFrame:
+    """Lines of collected files with the last write to the same place that holds them: key, file_id, line_no (from 1), write_id (null for none).
+
+    files: key, file_id, text; writes: key, write_id, at, text.  Lines are compared without white space at their ends; those that are shorter than least
+    have no write.  The latest write counts, then the greatest id.  A line that many writes hold is reduced to its last one before lines meet
+    it, so nothing grows with the number of writes of a line.  Null texts and keys: no line, no write.
+    """
+    lines = files.where(F.col(key).isNotNull()).select(F.col(key), "file_id", F.posexplode(F.split("text", "\n")).alias("__i", "__line")).select(key, "file_id", (F.col("__i") + 1).alias("line_no"), F.regexp_replace("__line", r"^\s+|\s+\z", "").alias("__line"))
+    wrote = writes.where(F.col(key).isNotNull()).select(F.col(key), "write_id", "at", F.explode(F.array_distinct(F.transform(F.split("text", "\n"), lambda x: F.regexp_replace(x, r"^\s+|\s+\z", "")))).alias("__line")).where(F.length("__line") >= least)
+    last = wrote.groupBy(key, "__line").agg(F.max(F.struct("at", "write_id")).alias("__last"))
+    return lines.join(last, [key, "__line"], "left").select(key, "file_id", "line_no", F.col("__last.write_id").alias("write_id"))

@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..functions import ladder as L
-from ..operators import graphs as G, indicators as I, names as N, payloads as Y, processes as P, windows as W
+from ..functions import ladder as L, text as T
+from ..operators import graphs as G, indicators as I, joins as J, names as N, payloads as Y, processes as P, windows as W
 from .queries import _t, query
 
 
@@ -169,3 +169,18 @@ def encoded_powershell(spark, d):
     line = F.concat(F.lit("PowerShell.exe -NoProfile -enc "), F.regexp_replace(F.base64(F.encode("text", "UTF-16LE")), r"\s", ""))
     docs = _t(spark, d, "documents").where(F.length("text") >= 2).select("doc_id", line.alias("line"))
     return docs.select("doc_id", F.sha2(Y.powershell(F.col("line")).cast("binary"), 256).alias("command_sha256"))
+
+
+@query("""WITH w AS (SELECT source, doc_id, lang, unnest(list_transform(string_split(text, chr(10)), lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g'))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS line_no FROM documents WHERE text IS NOT NULL),
+l AS (SELECT source, line, max(doc_id) AS write_id FROM w WHERE length(line) >= 3 AND lang = 'en' GROUP BY ALL)
+SELECT w.source, w.doc_id AS file_id, w.line_no, l.write_id FROM w LEFT JOIN l USING (source, line)""")
+def line_sources(spark, d):
+    docs = _t(spark, d, "documents")
+    return J.attributed_lines(docs.select("source", F.col("doc_id").alias("file_id"), "text"), docs.where("lang = 'en'").select("source", F.col("doc_id").alias("write_id"), F.col("doc_id").alias("at"), "text"), "source")
+
+
+@query("""WITH b AS (SELECT item_id, list_distinct(list_filter(string_split_regex(lower(text), '[^a-z0-9]+'), lambda w: w <> '')) AS w FROM benchmark), d AS (SELECT doc_id, list_distinct(list_filter(string_split_regex(lower(text), '[^a-z0-9]+'), lambda w: w <> '')) AS w FROM documents)
+SELECT item_id, doc_id FROM b JOIN d ON len(b.w) > 0 AND list_has_all(d.w, b.w)""")
+def items_within_documents(spark, d):
+    b, docs = _t(spark, d, "benchmark"), _t(spark, d, "documents")
+    return J.contained(b.select("item_id", T.words(F.col("text")).alias("w")), docs.select("doc_id", T.words(F.col("text")).alias("w")), "item_id", "doc_id", "w")
