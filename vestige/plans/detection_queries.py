@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..sources import transcripts as S
-from . import detections as D
+from . import detections as D, packs as K
 from .queries import _t, query
 
 #: A call's command as SQL over CONV and TURN, and what one event of it alone fires.
@@ -66,3 +66,25 @@ def transcript_detections(spark, d):
     found = D.detections(_events(spark, d))
     turn = ((F.unix_micros("time") / 1_000_000).cast("long") - 1_714_557_600 - F.col("session").cast("long")) / 60
     return found.where("rule_id <> 'POTENTIAL_SECRET_EXPOSURE' and rule_id <> 'INVISIBLE_UNICODE_INSTRUCTION'").select("session", turn.cast("long").alias("turn"), "rule_id")
+
+
+@query(f"""WITH RECURSIVE c AS (SELECT conv_id, turn, {_SHAPE} AS shape, {_COMMAND} AS command, (conv_id + turn) % 9 = 0 AS injected, CAST(conv_id AS VARCHAR) AS session FROM conversations WHERE text IS NOT NULL AND role <> 'user'),
+h AS (SELECT *, unnest(regexp_extract_all(command, 'https?://([^/ ]+)', 1)) AS host FROM c), u AS (SELECT arg_min(conv_id, (turn * 60 + conv_id, session)) AS conv_id, arg_min(turn, (turn * 60 + conv_id, session)) AS turn FROM h WHERE host NOT IN ('169.254.169.254', 'pypi.org') GROUP BY host UNION SELECT conv_id, turn FROM h WHERE host = '169.254.169.254'),
+x AS (SELECT session, turn FROM (SELECT *, lag(shape) OVER (PARTITION BY session ORDER BY turn) AS was FROM c WHERE shape IN (0, 1, 2)) WHERE shape = 2 AND was IN (0, 1)),
+s(rule_id, step, session, e) AS (
+SELECT 'CHAIN_CONTEXT_POISON_TO_EXEC', 1, session, turn * 2 + 1 FROM c WHERE injected UNION SELECT 'CHAIN_CONTEXT_POISON_TO_EXEC', 2, session, turn * 2 FROM c WHERE shape = 8 UNION SELECT 'CHAIN_CONTEXT_POISON_TO_EXEC', 3, session, turn * 2 FROM c
+UNION SELECT 'CHAIN_SECRET_TO_EXFIL', 1, session, turn * 2 FROM c WHERE shape = 0 UNION SELECT 'CHAIN_SECRET_TO_EXFIL', 2, session, turn * 2 FROM c WHERE shape = 2
+UNION SELECT 'CHAIN_MCP_RESULT_TO_DESTRUCTIVE', 1, session, turn * 2 + 1 FROM c WHERE injected UNION SELECT 'CHAIN_MCP_RESULT_TO_DESTRUCTIVE', 2, session, turn * 2 FROM c WHERE shape IN (6, 7, 14)
+UNION SELECT 'CHAIN_INJECTION_TO_PUSH', 1, session, turn * 2 + 1 FROM c WHERE injected UNION SELECT 'CHAIN_INJECTION_TO_PUSH', 2, session, turn * 2 FROM c WHERE shape = 3 UNION SELECT 'CHAIN_INJECTION_TO_PUSH', 3, session, turn * 2 FROM c WHERE shape = 4
+UNION SELECT 'CHAIN_ACTION_THEN_LOG_TAMPER', 1, session, turn * 2 FROM c WHERE shape IN (6, 7) OR (conv_id, turn) IN (SELECT (conv_id, turn) FROM u) OR (session, turn) IN (SELECT (session, turn) FROM x) UNION SELECT 'CHAIN_ACTION_THEN_LOG_TAMPER', 2, session, turn * 2 FROM c WHERE shape IN (6, 14)),
+n AS (SELECT rule_id, max(step) AS steps FROM s GROUP BY rule_id),
+m(rule_id, session, step, a, e) AS (SELECT rule_id, session, 0, CAST(NULL AS BIGINT), CAST(-1 AS BIGINT) FROM s GROUP BY ALL
+UNION ALL SELECT m.rule_id, m.session, CASE WHEN m.step = n.steps THEN 1 ELSE m.step + 1 END, CASE WHEN m.step IN (0, n.steps) THEN min(s.e) ELSE m.a END, min(s.e) FROM m JOIN n USING (rule_id) JOIN s ON s.rule_id = m.rule_id AND s.session = m.session AND s.e > m.e AND s.step = CASE WHEN m.step = n.steps THEN 1 ELSE m.step + 1 END GROUP BY m.rule_id, m.session, m.step, m.a, m.e, n.steps)
+SELECT rule_id, session AS scope_key, a AS first_event, e AS last_event FROM m JOIN n USING (rule_id) WHERE m.step = n.steps""")
+def transcript_sequences(spark, d):
+    turn = (((F.unix_micros("time") / 1_000_000).cast("long") - 1_714_557_600 - F.col("session").cast("long")) / 60).cast("long")
+    side = F.when(F.col("event_type") == "tool_result", 1).otherwise(0)
+    # An id for each event, whose last five digits are its place in its session.
+    events = _events(spark, d).withColumn("event_id", F.col("session").cast("long") * 100_000 + turn * 2 + side)
+    found = K.sequence_findings(events, K.chains(K.SEQUENCES))
+    return found.select("rule_id", "scope_key", (F.col("first_event") % 100_000).alias("first_event"), (F.col("last_event") % 100_000).alias("last_event"))

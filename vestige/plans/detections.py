@@ -68,8 +68,8 @@ def _rules(honeytokens: tuple[str, ...]) -> list[tuple[str, Column | str, Column
     ]
 
 
-def detections(events: DataFrame, known: tuple[str, ...] = KNOWN, honeytokens: tuple[str, ...] = ()) -> DataFrame:
-    """Findings of transcript events (artifact, session, time, item, event_type, text, tool, call_id, command, file_path): FINDING.
+def detections(events: DataFrame, known: tuple[str, ...] = KNOWN, honeytokens: tuple[str, ...] = (), keep: tuple[str, ...] = ()) -> DataFrame:
+    """Findings of transcript events (artifact, session, time, item, event_type, text, tool, call_id, command, file_path): FINDING, and the events' columns in keep.
 
     One rule fires once for an event.  Beside the rules that need one event: UNEXPECTED_NETWORK_DESTINATION for a machine's own
     metadata service (HIGH, each call), and for the first call to a host that is not known (LOW, by time, artifact and item);
@@ -79,16 +79,16 @@ def detections(events: DataFrame, known: tuple[str, ...] = KNOWN, honeytokens: t
     events without a time come after timed ones; repeated events fire again, but a host is first seen once; no events give no findings.
     """
     read = cut(readings(events))  # five branches read it
-    marked = events.select("artifact", "session", "time", "item", "event_type", "text", "tool", "call_id", "command", "file_path").join(read.withColumnRenamed("command", "__c"), F.col("command") == F.col("__c"), "left").drop("__c")
+    marked = events.select("artifact", "session", "time", "item", "event_type", "text", "tool", "call_id", "command", "file_path", *keep).join(read.withColumnRenamed("command", "__c"), F.col("command") == F.col("__c"), "left").drop("__c")
     fired = [F.when(F.coalesce(when, F.lit(False)), F.struct(F.lit(rule).alias("rule_id"), (F.lit(severity) if isinstance(severity, str) else severity).alias("severity"), detail.cast("string").alias("detail"))) for rule, severity, when, detail in _rules(honeytokens)]
-    where = ["session", "artifact", "time", "item"]
+    where = ["session", "artifact", "time", "item", *keep]
     alone = marked.select(*where, F.explode(F.array_compact(F.array(*fired))).alias("f")).select("f.rule_id", "f.severity", *where, "f.detail")
 
     calls = marked.where("event_type = 'tool_call' and command <> ''")
     order = [F.col("time").isNull(), "time", "artifact", "item"]
     to = calls.select(*where, F.explode("hosts").alias("detail"))
     own = to.where(T.is_metadata(F.col("detail"))).select(F.lit("UNEXPECTED_NETWORK_DESTINATION").alias("rule_id"), F.lit("HIGH").alias("severity"), *where, "detail")
-    first = to.where(~T.is_metadata(F.col("detail")) & ~T.is_allowed(F.col("detail"), known)).groupBy("detail").agg(F.min(F.struct(F.col("time").isNull().alias("late"), *(F.col(c) for c in ("time", "artifact", "item", "session")))).alias("f"))
+    first = to.where(~T.is_metadata(F.col("detail")) & ~T.is_allowed(F.col("detail"), known)).groupBy("detail").agg(F.min(F.struct(F.col("time").isNull().alias("late"), *(F.col(c) for c in ("time", "artifact", "item", "session", *keep)))).alias("f"))
     new = first.select(F.lit("UNEXPECTED_NETWORK_DESTINATION").alias("rule_id"), F.lit("LOW").alias("severity"), *(F.col(f"f.{c}").alias(c) for c in where), "detail")
 
     sends, gathers = F.col("uploads"), F.col("place").isNotNull() | F.rlike("command", F.lit(STAGING))
@@ -109,4 +109,4 @@ def detections(events: DataFrame, known: tuple[str, ...] = KNOWN, honeytokens: t
     out = alone
     for more in (own, new, leaks, poisoned, runs):
         out = out.unionByName(more)
-    return out.select(*FINDING)
+    return out.select(*FINDING, *keep)
