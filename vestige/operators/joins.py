@@ -30,13 +30,15 @@ def within_interval(points: DataFrame, spans: DataFrame, key: str, at: str, star
 
 
 def coverage(points: DataFrame, windows: DataFrame, key: str, at: str, reach: int, width: int) -> DataFrame:
-    """points with covered: 'healthy' where a healthy window holds at +- reach, else 'partial' where some window touches it, else 'none'."""
+    """points with covered: 'healthy' where a healthy window holds at +- reach, else 'partial' where some window touches it, else 'none'.
+
+    The state is one of key and time, so each different pair is looked up once and points meet it by these; a null key or time is covered by none.
+    """
     w = windows.select(key, "start", "stop", "healthy").withColumn("__from", F.col("start") - reach).withColumn("__to", F.col("stop") + reach)
-    spans = points.withColumn("__id", F.monotonically_increasing_id())
-    touched = within_interval(spans.select("__id", key, at), w, key, at, "__from", "__to", width)
+    touched = within_interval(points.select(key, at).distinct(), w, key, at, "__from", "__to", width)
     whole = (F.col(at) - reach >= F.col("start")) & (F.col(at) + reach <= F.col("stop")) & F.col("healthy")
-    state = touched.groupBy("__id").agg(F.max(whole).alias("whole"))
-    return spans.join(state, "__id", "left").withColumn("covered", F.when(F.col("whole"), "healthy").when(F.col("whole").isNotNull(), "partial").otherwise("none")).drop("__id", "whole")
+    state = touched.groupBy(key, at).agg(F.max(whole).alias("__whole"))
+    return points.join(state, [key, at], "left").withColumn("covered", F.when(F.col("__whole"), "healthy").when(F.col("__whole").isNotNull(), "partial").otherwise("none")).drop("__whole")
 
 
 #: Rounds of mutual best pairs before what is left, long alternating runs, is matched run by run.

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions.text import epoch_time, url_host
@@ -69,11 +71,15 @@ def squid(spark: SparkSession, path: str) -> DataFrame:
     return record(spark.read.text(path), "squid", time=parse_time(F.get(f, F.lit(0))), kind=F.lit("network"), user=F.nullif(F.get(f, F.lit(7)), F.lit("-")), dest_host=F.coalesce(url_host(url), F.regexp_extract(url, r"^([^:/]+):\d+\z", 1)))
 
 
-def auth_log(spark: SparkSession, path: str, year: int) -> DataFrame:
+def auth_log(spark: SparkSession, path: str, year: int | None = None) -> DataFrame:
+    """Lines of an authentication log, whose times have no year: the given one, else the latest that is not behind the file's own time by more than a day."""
     line = r"^(\w{3}\s+\d+ [\d:]{8}) \S+ ([\w-]+)(?:\[(\d+)\])?: (.*)"
     g = lambda i: F.regexp_extract("value", line, i)
-    when = F.try_to_timestamp(F.concat(F.lit(f"{year} "), F.regexp_replace(g(1), r"\s+", " ")), F.lit("yyyy MMM d HH:mm:ss"))
-    return record(spark.read.text(path).where(F.col("value").rlike(line)), "auth", time=when, kind=F.lit("auth"), exe=g(2), pid=g(3).try_cast("long"), user=F.nullif(F.regexp_extract(g(4), r"(?:for (?:invalid user )?|user=)(\w+)", 1), F.lit("")), dest_ip=F.nullif(F.regexp_extract(g(4), r"from ([0-9a-fA-F.:]+)", 1), F.lit("")), cmdline=F.nullif(F.regexp_extract(g(4), r"COMMAND=(.*)", 1), F.lit("")))
+    at = lambda y: F.try_to_timestamp(F.concat(y.cast("string"), F.lit(" "), F.regexp_replace(g(1), r"\s+", " ")), F.lit("yyyy MMM d HH:mm:ss"))
+    rows = spark.read.text(path).select("value", F.col("_metadata.file_modification_time").alias("written")).where(F.col("value").rlike(line))
+    latest = at(F.year("written"))
+    when = at(F.lit(year)) if year else F.when(latest > F.col("written") + F.expr("interval 1 day"), at(F.year("written") - 1)).otherwise(latest)
+    return record(rows, "auth", time=when, kind=F.lit("auth"), exe=g(2), pid=g(3).try_cast("long"), user=F.nullif(F.regexp_extract(g(4), r"(?:for (?:invalid user )?|user=)(\w+)", 1), F.lit("")), dest_ip=F.nullif(F.regexp_extract(g(4), r"from ([0-9a-fA-F.:]+)", 1), F.lit("")), cmdline=F.nullif(F.regexp_extract(g(4), r"COMMAND=(.*)", 1), F.lit("")))
 
 
 def auditd(spark: SparkSession, path: str) -> DataFrame:
@@ -85,7 +91,7 @@ def auditd(spark: SparkSession, path: str) -> DataFrame:
     return record(rows, "auditd", time=parse_time(F.col("t")), kind=F.when(F.col("c").isNotNull(), "process").otherwise("file"), exe=F.col("x"), cmdline=F.col("c"), pid=F.col("p").cast("long"), user=F.col("u"), file_path=F.col("f"))
 
 
-READERS = {"jsonl": jsonl, "csv": csv, "falco": falco, "tetragon": tetragon, "docker": docker, "kubernetes": kubernetes, "squid": squid, "auditd": auditd}
+READERS = {"jsonl": jsonl, "csv": csv, "falco": falco, "tetragon": tetragon, "docker": docker, "kubernetes": kubernetes, "squid": squid, "auditd": auditd, "auth": auth_log}
 
 
 def sniff(sample: str) -> str:
@@ -97,6 +103,8 @@ def sniff(sample: str) -> str:
             if f'"{key}"' in sample:
                 return name
         return "jsonl"
+    if re.match(r"[A-Z][a-z]{2}\s+\d+ [\d:]{8} \S+ [\w-]+(?:\[\d+\])?: ", sample):
+        return "auth"
     return "squid" if sample[:10].isdigit() and "." in sample[:12] else "csv"
 
 
