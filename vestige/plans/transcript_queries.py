@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..operators import sessions as D
 from ..sinks import lines as K
-from ..sources import exports as X, lines as L, transcripts as S
+from ..sources import carving as V, exports as X, lines as L, transcripts as S
 from .queries import _t, query
 
 _COLUMNS = ("session", "event_type", "text", "tool", "call_id", "command")
@@ -183,3 +183,15 @@ SELECT CAST(conv_id AS VARCHAR) AS conv_id, node_id, CASE WHEN conv_id % 3 < 2 T
 def export_branches(spark, d):
     m = X.messages(_exported(spark, d), "raw")
     return m.select("conv_id", "node_id", "product", "role", F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"), "branch")
+
+
+@query("""SELECT CAST(conv_id AS VARCHAR) AS path, role, sha256(text) AS text_sha256 FROM conversations WHERE text IS NOT NULL AND turn % 5 <> 2""")
+def carved_messages(spark, d):
+    """Each conversation's messages in one damaged file: junk between them, every fifth cut short, every third inside another object."""
+    c = _t(spark, d, "conversations").where("text is not null")
+    whole = F.to_json(_named(role=F.col("role"), content=F.col("text")))
+    told = F.when(F.col("turn") % 5 == 2, F.substr(whole, F.lit(1), F.length(whole) - 2)).when(F.col("turn") % 3 == 0, F.concat(F.lit('{"outer": [1, '), whole, F.lit("], "))).otherwise(whole)
+    junk = F.concat(F.unhex(F.lit("fffe007b227d")), F.lit(' {"a": {"b": 1}} ]} ').cast("binary"))
+    turns = c.select("conv_id", "turn", F.concat(junk, told.cast("binary")).alias("bytes")).groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "bytes"))).alias("all"))
+    files = turns.select(F.col("conv_id").cast("string").alias("path"), F.aggregate("all", F.lit(b""), lambda out, x: F.concat(out, x["bytes"])).alias("content"))
+    return V.carve(files, piece=512, most=65536).select("path", "role", F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"))
