@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import explorer as E
 from ..sources import transcripts as S
 from . import detections as D, packs as K
 from .queries import _t, query
@@ -88,3 +89,15 @@ def transcript_sequences(spark, d):
     events = _events(spark, d).withColumn("event_id", F.col("session").cast("long") * 100_000 + turn * 2 + side)
     found = K.sequence_findings(events, K.chains(K.SEQUENCES))
     return found.select("rule_id", "scope_key", (F.col("first_event") % 100_000).alias("first_event"), (F.col("last_event") % 100_000).alias("last_event"))
+
+
+@query(r"""SELECT event_id, event_type || ' ' || props AS what FROM events WHERE event_type <> 'signup' AND ts >= TIMESTAMP '2024-01-02 00:00:00' AND ts <= TIMESTAMP '2024-01-20 00:00:00' AND contains(lower(event_type || chr(10) || props), 'k": 1') AND event_id IN (SELECT event_id FROM events WHERE value > 10)""")
+def explorer_events(spark, d):
+    e = _t(spark, d, "events").withColumn("shown", F.concat_ws(" ", "event_type", "props"))
+    found = E.select_events(e, without={"event_type": "signup"}, start="2024-01-02 00:00:00", stop="2024-01-20 00:00:00", text='K": 1', fields=("event_type", "props"), time="ts", flagged=e.where("value > 10"))
+    return E.timeline(found, ("shown",)).select("event_id", "what")
+
+
+@query(r"SELECT doc_id FROM documents WHERE regexp_matches(concat_ws(chr(10), lang, text), '[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.')")
+def explorer_search(spark, d):
+    return E.search(_t(spark, d, "documents"), r"[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.", ("lang", "text"), regex=True).select("doc_id")
