@@ -70,13 +70,14 @@ def reachable(edges: DataFrame, sources: DataFrame, depth: int) -> DataFrame:
     return found if found is not None else front.withColumn("hops", F.lit(0)).where("false")
 
 
-def held(entries: DataFrame) -> DataFrame:
+def held(entries: DataFrame, shortest: dict[str, int] | None = None) -> DataFrame:
     """One row for each case, kind and key that count: case, kind, key, node, first, last (of rows of case, kind, key, node, first, last).
 
     Kinds that are not in GRADES, keys that are null or too short and calls that are figures alone are left out.  A key's node in a case is
-    the least one; its span is that of all its rows, unknown if no row has a time.
+    the least one; its span is that of all its rows, unknown if no row has a time.  shortest: lengths that count of some kinds, where they
+    are not those of GRADES.
     """
-    known = F.create_map(*(x for kind, (_, n) in GRADES.items() for x in (F.lit(kind), F.lit(n))))
+    known = F.create_map(*(x for kind, (_, n) in GRADES.items() for x in (F.lit(kind), F.lit((shortest or {}).get(kind, n)))))
     counts = (F.length("key") >= known[F.col("kind")]) & ~((F.col("kind") == "call") & F.rlike("key", F.lit("^[0-9]*$"))) & F.col("case").isNotNull() & F.col("node").isNotNull()
     return entries.where(counts).groupBy("case", "kind", "key").agg(F.min("node").alias("node"), F.min("first").alias("first"), F.max("last").alias("last"))
 
@@ -85,13 +86,13 @@ def _copied() -> Column:
     return F.col("kind").isin(*COPIED_KINDS)
 
 
-def grades(entries: DataFrame) -> DataFrame:
+def grades(entries: DataFrame, shortest: dict[str, int] | None = None) -> DataFrame:
     """Keys of at least two cases: kind, key, n_cases and the pairs of cases by grade (strong, moderate, weak).
 
     A strong pair of sessions or agents whose spans overlap is moderate; an unknown time overlaps nothing.  Pairs are counted, not made: those
     that don't overlap are, over all starts, the ends before them.
     """
-    h = held(entries)
+    h = held(entries, shortest)
     sizes = h.groupBy("kind", "key").agg(F.count("*").alias("n_cases"), F.count("first").alias("timed")).where("n_cases > 1")
     spans = h.where(_copied()).where("first is not null").select("kind", "key", F.explode(F.array(F.struct(F.col("first").alias("at"), F.lit(0).alias("end")), F.struct(F.col("last").alias("at"), F.lit(1).alias("end")))).alias("p")).select("kind", "key", "p.*")
     before = F.sum("end").over(Window.partitionBy("kind", "key").orderBy("at", "end").rowsBetween(Window.unboundedPreceding, 0))
@@ -104,14 +105,14 @@ def grades(entries: DataFrame) -> DataFrame:
     return rows.select("kind", "key", "n_cases", of("strong", F.col("pairs") - F.col("overlapping")).alias("strong"), F.when(F.col("grade") == "moderate", F.col("pairs")).otherwise(F.col("overlapping")).cast("long").alias("moderate"), of("weak", F.col("pairs")).alias("weak"))
 
 
-def strong_links(entries: DataFrame, kinds: tuple[str, ...] = AGENT_KINDS) -> DataFrame:
+def strong_links(entries: DataFrame, kinds: tuple[str, ...] = AGENT_KINDS, shortest: dict[str, int] | None = None) -> DataFrame:
     """Edges (a, b) of nodes whose components are those of all strong pairs of cases that share a key of these kinds.
 
     At most one edge for each case that holds a key, however many hold it.  Sessions and agents: two spans that don't overlap are a strong
     pair.  The span that ends first, E, pairs with every one that starts after its end; any other overlaps E, and pairs with anything only if
     it ends before the last start, and so with that span.  Without times one of the untimed pairs with all.  Other kinds: the least node.
     """
-    h = held(entries.where(F.col("kind").isin(*kinds))).where(F.create_map(*(x for kind, (g, _) in GRADES.items() for x in (F.lit(kind), F.lit(g == "strong"))))[F.col("kind")])
+    h = held(entries.where(F.col("kind").isin(*kinds)), shortest).where(F.create_map(*(x for kind, (g, _) in GRADES.items() for x in (F.lit(kind), F.lit(g == "strong"))))[F.col("kind")])
     known = F.when(F.col("first").isNotNull(), 1)
     marks = h.groupBy("kind", "key").agg(
         F.count("*").alias("n"),
@@ -124,12 +125,12 @@ def strong_links(entries: DataFrame, kinds: tuple[str, ...] = AGENT_KINDS) -> Da
     return h.join(marks, ["kind", "key"]).select(F.col("node").alias("a"), to.alias("b")).where("b is not null and a <> b").distinct()
 
 
-def across_places(entries: DataFrame) -> DataFrame:
+def across_places(entries: DataFrame, shortest: dict[str, int] | None = None) -> DataFrame:
     """Groups of nodes tied by strong agent links that span at least two places and two cases: root, n_nodes, n_cases, n_places, first_case, first_at.
 
     entries also has place; a node without one counts its case as its place.  The first case is that of the earliest time, then the least.
     """
-    roots = components(strong_links(entries))
+    roots = components(strong_links(entries, shortest=shortest))
     nodes = entries.where(F.col("kind").isin(*AGENT_KINDS)).groupBy("node", "case").agg(F.min("place").alias("place"), F.min("first").alias("first"))
     rows = roots.join(nodes, "node").withColumn("place", F.coalesce("place", F.concat(F.lit("case:"), F.col("case").cast("string"))))
     first = F.min(F.when(F.col("first").isNotNull(), F.struct("first", "case")))
