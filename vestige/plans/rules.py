@@ -5,8 +5,10 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import reduce
 from operator import or_
+from typing import NamedTuple
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 #: Phrases that override instructions.
@@ -89,6 +91,13 @@ def _segments(rows: DataFrame, window_us: int) -> DataFrame:
     return rows.join(spans, F.col("k").eqNullSafe(F.col("sk")) & (F.col("b") == F.col("sb"))).drop("sk", "sb", "b")
 
 
+class _Row(NamedTuple):
+    at: int
+    bits: int
+    link: list | None
+    d: list
+
+
 def follow(events: list, start: int, names: list, linked: bool, window: int | None) -> tuple[int, int] | None:
     """Places of the last row and of what comes behind it, of the match that starts here.  names: for each step the column that must differ, or None."""
     before, shared, place = events[start], set(events[start].link if linked and events[start].link is not None else ()), start + 1
@@ -104,12 +113,66 @@ def follow(events: list, start: int, names: list, linked: bool, window: int | No
     return place - 1, place
 
 
+def _changes(rows) -> np.ndarray:
+    """Whether each row begins a segment (k, s) of sorted rows of a table or batch."""
+    k = rows.column("k")
+    code = (pa.chunked_array([k]) if isinstance(k, pa.Array) else k).combine_chunks().dictionary_encode()
+    code = (code.combine_chunks() if isinstance(code, pa.ChunkedArray) else code).indices.fill_null(-1).to_numpy(zero_copy_only=False)
+    s = np.asarray(rows.column("s"))
+    return np.append(True, (code[1:] != code[:-1]) | (s[1:] != s[:-1]))
+
+
+def _segment(rows: pa.RecordBatch, i: int) -> tuple:
+    return rows.column("k")[i].as_py(), rows.column("s")[i].as_py()
+
+
+def _jumped(at: np.ndarray, bits: np.ndarray, stop: np.ndarray, steps: int, window: int, most: int | None) -> tuple[list[int], list[int]]:
+    """First and last places of matches whose steps ask nothing of each other: each start's last row by the places of the next row of every step."""
+    n = len(at)
+    end = np.arange(n)
+    for step in range(1, steps):
+        following = np.full(n + 1, n)
+        following[:n][bits >> step & 1 == 1] = np.flatnonzero(bits >> step & 1)
+        end = np.minimum.accumulate(following[::-1])[::-1][np.minimum(end + 1, n)]
+    whole = (bits & 1 == 1) & (end < stop)
+    if window:
+        whole &= at[np.minimum(end, n - 1)] - at <= window
+    start = np.full(n + 1, n)
+    start[:n][whole] = np.flatnonzero(whole)
+    start = np.minimum.accumulate(start[::-1])[::-1]
+    first, last, p, count, inside = [], [], int(start[0]), 0, 0
+    while p < n:
+        if p >= inside:
+            count, inside = 0, int(stop[p])
+        first.append(p)
+        last.append(int(end[p]))
+        count += 1
+        p = int(start[inside if most is not None and count >= most else last[-1] + 1])
+    return first, last
+
+
+def _looped(rows: list[dict], starts: np.ndarray, names: list, linked: bool, window: int, most: int | None) -> tuple[list[int], list[int]]:
+    """First and last places of matches whose steps ask something of each other."""
+    first, last = [], []
+    for a, b in zip(starts[:-1].tolist(), starts[1:].tolist()):
+        ordered, i, count = [_Row(r["at"], r["bits"], r["link"], r["d"]) for r in rows[a:b]], 0, 0
+        while i < len(ordered) and (most is None or count < most):
+            found = follow(ordered, i, names, linked, window) if ordered[i].bits & 1 else None
+            if found:
+                first.append(a + i)
+                last.append(a + found[0])
+                count += 1
+            i = found[1] if found else i + 1
+    return first, last
+
+
 def chain_matches(events: DataFrame, chain: Chain, key: str, at: str, tie: str, most: int | None = MOST_MATCHES) -> DataFrame:
     """Greedy matches that don't overlap: key, chain_id, first_event, last_event; of a key the first so many, or all of them (None).
 
     After a match the search goes on behind its last row, after a failed start at the row behind that start.  Rows that can be no step or
     have no time are left out; rows without a key are one group; repeated rows are rows; an empty table has no matches.  What is read at
-    once is a run of a key's rows none of which is further than the window from the next, all its rows only where there is no window.
+    once is a run of a key's rows none of which is further than the window from the next, all its rows only where there is no window.  Such runs
+    come sorted, many in a batch; where steps ask nothing of each other, the work on them grows with their rows alone.
     """
     bits = reduce(lambda a, b: a.bitwiseOR(b), (F.when(s.when, F.lit(1 << i)).otherwise(F.lit(0)) for i, s in enumerate(chain.steps)))
     link = F.lit(None).cast("array<string>")
@@ -121,17 +184,36 @@ def chain_matches(events: DataFrame, chain: Chain, key: str, at: str, tie: str,
     rows = events.select(F.col(key).cast("string").alias("k"), F.col(at).cast("long").alias("at"), F.col(tie).cast("long").alias("e"), bits.alias("bits"), link.alias("link"), differs.alias("d")).where("bits <> 0 and at is not null")
     name, window, linked = chain.chain_id, chain.window_us, bool(chain.link)
 
-    def match(group: pd.DataFrame) -> pd.DataFrame:
-        out, i = [], 0
-        ordered = list(group.sort_values(["at", "e"]).itertuples(index=False))
-        while i < len(ordered) and (most is None or len(out) < most):
-            found = follow(ordered, i, names, linked, window) if ordered[i].bits & 1 else None
-            if found:
-                out.append((ordered[i].k, name, ordered[i].e, ordered[found[0]].e, ordered[i].at))
-            i = found[1] if found else i + 1
-        return pd.DataFrame(out, columns=["k", "chain_id", "first_event", "last_event", "first_at"])
-
-    found = _segments(rows, window).groupBy("k", "s").applyInPandas(match, "k string, chain_id string, first_event long, last_event long, first_at long")
+    tied = linked or any(names)
+
+    def match(batches: list[pa.RecordBatch]) -> pa.RecordBatch:
+        """The matches of whole segments in order."""
+        t = pa.Table.from_batches(batches).combine_chunks()
+        at, bits = (t.column(c).to_numpy() for c in ("at", "bits"))
+        starts = np.append(np.flatnonzero(_changes(t)), len(t))
+        stop = np.repeat(starts[1:], np.diff(starts))  # where each row's segment ends
+        first, last = _looped(t.to_pylist(), starts, names, linked, window, most) if tied else _jumped(at, bits, stop, len(names), window, most)
+        end = t.column("e").take(pa.array(last, pa.int64()))
+        some = t.select(["k", "e", "at"]).take(pa.array(first, pa.int64()))
+        cols = [some.column("k"), pa.array([name] * len(first), pa.string()), some.column("e"), end, some.column("at")]
+        return pa.Table.from_arrays(cols, names=["k", "chain_id", "first_event", "last_event", "first_at"]).combine_chunks()
+
+    def run(batches):
+        held: list[pa.RecordBatch] = []  # of one segment
+        for b in batches:
+            if b.num_rows == 0:
+                continue
+            new = int(np.flatnonzero(_changes(b))[-1])  # where the last segment of b begins
+            if new == 0 and (not held or _segment(held[-1], -1) == _segment(b, 0)):
+                held.append(b)
+                continue
+            yield from match([*held, b.slice(0, new)]).to_batches()
+            held = [b.slice(new)]
+        if held:
+            yield from match(held).to_batches()
+
+    ordered = _segments(rows, window).repartition("k", "s").sortWithinPartitions("k", "s", "at", F.asc_nulls_last("e"))
+    found = ordered.select("k", "s", "at", "e", "bits", "link", "d").mapInArrow(run, "k string, chain_id string, first_event long, last_event long, first_at long")
     if most is not None:
         found = found.withColumn("n", F.row_number().over(Window.partitionBy("k").orderBy("first_at", "first_event"))).where(F.col("n") <= most)
     return found.select(F.col("k").alias(key), "chain_id", "first_event", "last_event")
