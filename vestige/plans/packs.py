@@ -149,6 +149,7 @@ def sequence_findings(events: DataFrame, pack: list[dict], id: str = "event_id",
     events: those of detections() with a long id that orders events of one time; a step may ask for what detections() finds on an event.  Each
     scope has the first so many matches of a sequence (None: all).  Events without a time are in none; no events give none.
     """
+    events = cut(events)  # read by every rule, the sequences and the times
     fired = detections(events, keep=(id,)).groupBy(id).agg(F.collect_set("rule_id").alias("__fired"))  # no more than there are rules
     shapes = events.select("command").where("command <> ''").distinct().select(F.col("command").alias("__c"), C.is_upload(F.col("command")).alias("__upload"), C.is_outbound(F.col("command")).alias("__outbound"))
     e = events.join(fired, id, "left").join(shapes, F.col("command") == F.col("__c"), "left").drop("__c").withColumn("__at", F.unix_micros("time"))
