@@ -16,6 +16,8 @@ from .graphs import cut
 LAYERS, MOST_ENCODED, MOST_BYTES, BOMB = 4, 1 << 20, 4 << 20, 100
 #: Least lengths of runs that may be hex, base64 and base32.
 HEX, BASE64, BASE32 = 32, 24, 32
+#: Characters that are not printable.
+CONTROLS = [chr(c) for c in (*range(32), 127) if chr(c) not in "\n\r\t"]
 _COLUMNS = ["chain", "outcome", "payload"]
 
 
@@ -23,7 +25,9 @@ def candidates(text: Column) -> Column:
     """Runs of a text that may be encoded; a line's end between two characters of such a run is no end of it, and a part of a longer run is no run."""
     joined = F.regexp_replace(F.replace(text, F.lit("\\\n"), F.lit("")), r"(?<=[A-Za-z0-9+/=])(?:\r?\n|\r)(?=[A-Za-z0-9+/=])", "")
     patterns = (rf"(?:\\x[0-9a-fA-F]{{2}}){{{HEX // 2},}}+", rf"(?<![A-Za-z0-9+/])(?:[0-9a-fA-F]{{2}}){{{HEX // 2},}}+(?![A-Za-z0-9+/=])", rf"[A-Za-z0-9+/_-]{{{BASE64},}}+={{0,2}}", rf"(?<![A-Za-z0-9+/_-])[A-Za-z2-7]{{{BASE32},}}+={{0,6}}(?![A-Za-z0-9+/_=-])")
-    return F.array_distinct(F.concat(*(F.regexp_extract_all(joined, F.lit(p), 0) for p in patterns)))
+    found = lambda t: F.array_distinct(F.concat(*(F.regexp_extract_all(t, F.lit(p), 0) for p in patterns)))
+    # The joined text is made once; the lambda holds it.
+    return F.get(F.transform(F.array(joined), found), F.lit(0))
 
 
 def _decoded(run: str) -> list[tuple[str, bytes]]:
@@ -82,7 +86,7 @@ def _text(raw: bytes) -> tuple[str | None, str | None]:
         text = raw.decode("utf-16-le" if wide else "utf-8")
     except UnicodeDecodeError:
         return None, None
-    printable = sum(c in "\n\r\t" or (c >= " " and c != "\x7f") for c in text)
+    printable = len(text) - sum(map(text.count, CONTROLS))
     return (text, "utf16le" if wide else None) if len(raw) >= 8 and printable * 100 >= len(text) * 85 and text.strip() else (None, None)
 
 
