@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 
 import ahocorasick
 import pyarrow as pa
@@ -10,6 +11,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions.text import host_of, refang, version
 
+#: Labels joined by dots.
+NAME = r"[a-z0-9_-]+(?:\.[a-z0-9_-]+)+"
+_NAME, _DOT, _INSIDE = re.compile(NAME), re.compile(r"\.[a-z0-9_-]"), frozenset("abcdefghijklmnopqrstuvwxyz0123456789_-")
 #: Bytes of values that one automaton holds; more values are more passes over the texts, which send hits alone.
 BLOCK_BYTES = 8 << 20
 #: Kinds, and the least length of a value that is searched for in texts.
@@ -41,8 +45,6 @@ def load(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _pack(doc: dict) -> list[tuple]:
-    import re
-
     rows = []
     for i in doc.get("incidents") or []:
         rows += [(i.get("id"), x.get("kind"), x.get("value"), x.get("low"), x.get("below"), x.get("versions")) for x in i.get("indicators") or [] if isinstance(x, dict)]
@@ -73,23 +75,49 @@ def _bounded(text: str, start: int, stop: int) -> bool:
     return not (before and inside(before)) and not (after and inside(after)) and not (after == "." and beyond and inside(beyond))
 
 
+def _lower(text: str) -> str:
+    """A text in lower case, of as many characters."""
+    return text.lower() if text.isascii() else "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
+
+
+def _names(low: str):
+    """(place, name) of the dotted names of a text in lower case: labels as far as they go, joined by single dots."""
+    stop = 0
+    for dot in _DOT.finditer(low):
+        start = dot.start()
+        if start < stop:
+            continue
+        while start > 0 and low[start - 1] in _INSIDE:
+            start -= 1
+        if start < dot.start():
+            name = _NAME.match(low, start)
+            stop = name.end()
+            yield start, name.group()
+
+
 def in_texts(rows: DataFrame, keys: list[str], text: str, indicators: DataFrame) -> DataFrame:
     """Which indicators (of usable()) stand in which texts: the keys, kind, value, first_at (code points), n (places).
 
-    All values of a block are searched for at once by an automaton with failure links; a text is read once for each block.  Case does not matter;
-    a domain must stand as a whole name or the end of one.  Null texts hold nothing; repeated rows each have their hits; an empty list finds none.
+    Domains of plain labels are looked up by equality: a text's dotted names, and what they end with, are joined with them, so a text is read once
+    however many there are.  All other values of a block are searched for at once by an automaton with failure links; a text is read once for
+    each block.  Case does not matter; a domain must stand as a whole name or the end of one.  Null texts hold nothing; repeated rows each have
+    their hits; an empty list finds none.
     """
     values = indicators.where(F.col("kind").isin("domain", "url", "path", "repo", "string")).groupBy("kind", F.lower("value").alias("low")).agg(F.min("value").alias("value"))
-    size = values.agg(F.sum(F.octet_length("low"))).first()[0] or 0
+    plain = (F.col("kind") == "domain") & F.rlike("low", F.lit(rf"^{NAME}\z"))
+    source = rows.select(*keys, F.col(text).cast("string").alias("__text")).where("__text is not null")
+    schema = ", ".join(f"`{c}` {t}" for c, t in source.select(*keys).dtypes)
+
+    own = values.where(plain).select(F.col("low").alias("__low"), F.col("kind").alias("__kind"), F.col("value").alias("__value"))
+    rest = values.where(~plain)
+    size = rest.agg(F.sum(F.octet_length("low"))).first()[0] or 0
     blocks = max(1, -(-size // BLOCK_BYTES))
     sc, out = rows.sparkSession.sparkContext, None
-    source = rows.select(*keys, F.col(text).cast("string").alias("__text")).where("__text is not null")
-    schema = ", ".join(f"`{c}` {t}" for c, t in source.select(*keys).dtypes) + ", kind string, value string, first_at long, n long"
     for block in range(blocks):
-        own = values.where(F.pmod(F.xxhash64("kind", "low"), F.lit(blocks)) == block).collect()  # about BLOCK_BYTES
-        shared = sc.broadcast([(r.low, r.kind, r.value) for r in own])
+        listed = rest.where(F.pmod(F.xxhash64("kind", "low"), F.lit(blocks)) == block).collect()  # about BLOCK_BYTES
+        shared = sc.broadcast([(r.low, r.kind, r.value) for r in listed])
 
-        def search(batches, shared=shared):
+        def search(batches, shared=shared, named=block == 0):
             machine = ahocorasick.Automaton()
             for low, kind, value in shared.value:
                 machine.add_word(low, [*machine.get(low, []), (len(low), kind, value)])
@@ -97,23 +125,30 @@ def in_texts(rows: DataFrame, keys: list[str], text: str, indicators: DataFrame)
                 machine.make_automaton()
             for b in batches:
                 place, hits = [], []
-                for i, text in enumerate(b.column("__text").to_pylist() if shared.value else []):
-                    low, found = "".join(c.lower() if len(c.lower()) == 1 else c for c in text) if not text.isascii() else text.lower(), {}
-                    for end, ends_here in machine.iter(low):
+                for i, text in enumerate(b.column("__text").to_pylist()):
+                    low, found = _lower(text), {}
+                    for end, ends_here in machine.iter(low) if shared.value else ():
                         for n, kind, value in ends_here:
                             if kind != "domain" or _bounded(low, end - n + 1, end + 1):
-                                first, count = found.get((kind, value), (end - n + 1, 0))
-                                found[kind, value] = first, count + 1
+                                first, count = found.get((value, kind, value), (end - n + 1, 0))
+                                found[value, kind, value] = first, count + 1
+                    for start, name in _names(low) if named else ():
+                        at = 0
+                        while "." in name[at:]:
+                            first, count = found.get((name[at:], None, None), (start + at, 0))
+                            found[name[at:], None, None] = first, count + 1
+                            at = name.find(".", at) + 1
                     place += [i] * len(found)
                     hits += [(*k, *v) for k, v in found.items()]
                 some = pa.array(place, pa.int64())
                 cols = [b.column(c).take(some) for c in range(len(keys))]
-                cols += [pa.array([h[0] for h in hits], pa.string()), pa.array([h[1] for h in hits], pa.string()), pa.array([h[2] for h in hits], pa.int64()), pa.array([h[3] for h in hits], pa.int64())]
-                yield pa.RecordBatch.from_arrays(cols, names=[*keys, "kind", "value", "first_at", "n"])
+                cols += [pa.array([h[c] for h in hits], pa.string() if c < 3 else pa.int64()) for c in range(5)]
+                yield pa.RecordBatch.from_arrays(cols, names=[*keys, "__low", "kind", "value", "first_at", "n"])
 
-        part = source.mapInArrow(search, schema)
+        part = source.mapInArrow(search, schema + ", __low string, kind string, value string, first_at long, n long")
         out = part if out is None else out.unionByName(part)
-    return out
+    named = out.join(own, (F.col("kind").isNull()) & (out["__low"] == own["__low"]), "left")
+    return named.select(*keys, F.coalesce("kind", "__kind").alias("kind"), F.coalesce("value", "__value").alias("value"), "first_at", "n").where("value is not null")
 
 
 def suffixes(host: Column) -> Column:
