@@ -67,15 +67,15 @@ def shell_stages(spark, d):
 
 @query(f"SELECT event_id, {_case(3)} AS writes, {_case(4)} AS deletes, {_case(5)} AS saves, {_case(6)} AS runs, {_case(7)} AS runs_saved FROM events")
 def shell_paths(spark, d):
-    c = F.col("command")
-    text = C.shell_text(C.expanded(c))
-    return _commands(spark, d).select("event_id", _listed(C.write_targets(text)).alias("writes"), _listed(C.delete_targets(text)).alias("deletes"), _listed(C.downloaded_paths(c)).alias("saves"), _listed(C.executed_paths(c)).alias("runs"), C.downloads_then_runs(c).alias("runs_saved"))
+    c, text = F.col("command"), F.col("text")
+    told = _commands(spark, d).withColumn("text", C.read(c)).select("event_id", C.write_targets(text).alias("w"), C.delete_targets(text).alias("d"), C.downloaded_paths(c, text).alias("s"), C.executed_paths(c, text).alias("r"))
+    return told.select("event_id", _listed(F.col("w")).alias("writes"), _listed(F.col("d")).alias("deletes"), _listed(F.col("s")).alias("saves"), _listed(F.col("r")).alias("runs"), C.share_names(F.col("s"), F.col("r")).alias("runs_saved"))
 
 
 @query(f"SELECT event_id, {_case(8)} AS read_only, {_case(9)} AS upload, {_case(10)} AS outbound, {_case(11)} AS sensitive FROM events")
 def shell_kinds(spark, d):
-    c = F.col("command")
-    return _commands(spark, d).select("event_id", C.is_read_only(c).alias("read_only"), C.is_upload(c).alias("upload"), C.is_outbound(c).alias("outbound"), C.sensitive_place(c).alias("sensitive"))
+    c, text = F.col("command"), F.col("text")
+    return _commands(spark, d).withColumn("text", C.read(c)).select("event_id", C.is_read_only(c).alias("read_only"), C.is_upload(c, text).alias("upload"), C.is_outbound(c, text).alias("outbound"), C.sensitive_place(c).alias("sensitive"))
 
 
 @query("""SELECT p_partkey, damerau_levenshtein(p_name, n) <= 1 AS near FROM (SELECT *, CASE p_partkey % 5 WHEN 0 THEN p_name WHEN 1 THEN concat(substr(p_name, 2, 1), substr(p_name, 1, 1), substr(p_name, 3)) WHEN 2 THEN substr(p_name, 2) WHEN 3 THEN concat('x', substr(p_name, 2)) ELSE concat(substr(p_name, 3), substr(p_name, 1, 2)) END AS n FROM part)""")
