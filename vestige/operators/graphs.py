@@ -49,6 +49,35 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     return nodes.join(e.select(F.col("high").alias("node"), "low"), "node", "left").select("node", F.coalesce("low", "node").alias("root"))
 
 
+def contracted(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
+    """(node, group) for every end of edges (a, b) of longs, loops left out: nodes of one component, and no others, share the long group.
+
+    Each round points every node that has a lesser neighbour to its least one, and puts that in its place in all edges; edges within one
+    node go, so a star about its least node is gone after a round.  Then numbers are dealt anew, by a hash that is one to one on longs, so
+    that runs of rising numbers shrink too.  A round's edges are written, and the next one reads those alone.
+    """
+    turn, levels = F.xxhash64, []
+    lesser = lambda a, b: [F.least(a, b).alias("low"), F.greatest(a, b).alias("high")]
+    e = cut(edges.where("a <> b").select(*lesser("a", "b")).distinct())
+    while not e.isEmpty():
+        if len(levels) == most_rounds:
+            raise RuntimeError(f"components did not settle in {most_rounds} rounds")
+        levels.append(e)
+        up = e.groupBy("high").agg(F.min("low").alias("to"))
+        moved = e.join(up, "high").select("low", F.col("to").alias("other")).distinct()
+        both = moved.join(up.withColumnRenamed("high", "low"), "low", "left").select(turn(F.coalesce("to", "low")).alias("a"), turn("other").alias("b")).where("a <> b")
+        e = cut(both.select(*lesser("a", "b")).distinct())
+    found = e.select(F.col("low").alias("node"), F.col("high").alias("group"))
+    for n, e in enumerate(reversed(levels)):
+        ends = e.select(F.col("high").alias("own"), "low").unionByName(e.select(F.col("low").alias("own"), "low")).groupBy("own").agg(F.min("low").alias("to"))
+        last = F.col("to")
+        for _ in range(n + 1):
+            last = turn(last)
+        found = ends.withColumn("next", turn("to")).join(found.withColumnRenamed("node", "next"), "next", "left").select(F.col("own").alias("node"), F.coalesce("group", last).alias("group"))
+        found = cut(found) if n % 8 == 7 else found
+    return found
+
+
 def reachable(edges: DataFrame, sources: DataFrame, depth: int) -> DataFrame:
     """(source, node, hops) of nodes that edges (a, b) lead to from the sources (a column source) in at most depth hops, with the least hops.
 
@@ -112,27 +141,52 @@ def strong_links(entries: DataFrame, kinds: tuple[str, ...] = AGENT_KINDS, short
     pair.  The span that ends first, E, pairs with every one that starts after its end; any other overlaps E, and pairs with anything only if
     it ends before the last start, and so with that span.  Without times one of the untimed pairs with all.  Other kinds: the least node.
     """
-    h = held(entries.where(F.col("kind").isin(*kinds)), shortest).where(F.create_map(*(x for kind, (g, _) in GRADES.items() for x in (F.lit(kind), F.lit(g == "strong"))))[F.col("kind")])
-    known = F.when(F.col("first").isNotNull(), 1)
+    return _tied(_strong(entries, kinds, shortest))
+
+
+def _strong(entries: DataFrame, kinds: tuple[str, ...], shortest: dict[str, int] | None) -> DataFrame:
+    return held(entries.where(F.col("kind").isin(*kinds)), shortest).where(F.create_map(*(x for kind, (g, _) in GRADES.items() for x in (F.lit(kind), F.lit(g == "strong"))))[F.col("kind")])
+
+
+def _tied(h: DataFrame) -> DataFrame:
+    """The edges of strong_links from the keys held.  Of spans that end first or start last together, any is taken."""
+    known = F.when(F.col("first").isNotNull(), F.col("node"))
     marks = h.groupBy("kind", "key").agg(
         F.count("*").alias("n"),
         F.min("node").alias("least"),
-        F.min(F.when(known.isNull(), F.col("node"))).alias("untimed"),
-        F.min(F.when(known == 1, F.struct("last", "node"))).alias("early"),
-        F.max(F.when(known == 1, F.struct("first", "node"))).alias("late"),
+        F.min(F.when(F.col("first").isNull(), F.col("node"))).alias("untimed"),
+        F.min(F.when(known.isNotNull(), F.col("last"))).alias("end"),
+        F.min_by(known, F.when(known.isNotNull(), F.col("last"))).alias("early"),
+        F.max("first").alias("start"),
+        F.max_by("node", "first").alias("late"),
     ).where("n > 1")
-    to = F.when(~_copied(), F.col("least")).when(F.col("untimed").isNotNull(), F.col("untimed")).when(F.col("first") > F.col("early.last"), F.col("early.node")).when(F.col("last") < F.col("late.first"), F.col("late.node"))
+    to = F.when(~_copied(), F.col("least")).when(F.col("untimed").isNotNull(), F.col("untimed")).when(F.col("first") > F.col("end"), F.col("early")).when(F.col("last") < F.col("start"), F.col("late"))
     return h.join(marks, ["kind", "key"]).select(F.col("node").alias("a"), to.alias("b")).where("b is not null and a <> b").distinct()
 
 
+def _numbers(nodes: DataFrame):
+    """A function of a column that gives each different node of nodes (a column node) a long of its own: a hash whose values are checked to be as many as the nodes."""
+    for seed in range(9):
+        number = lambda c, s=seed: F.xxhash64(c, F.lit(s))
+        each = nodes.select(number("node").alias("id"), F.xxhash64(F.lit(seed), "node").alias("other")).groupBy("id").agg(F.min("other").alias("a"), F.max("other").alias("b"))
+        if each.where("a <> b").isEmpty():
+            return number
+    raise RuntimeError("nodes could not be numbered")
+
+
 def across_places(entries: DataFrame, shortest: dict[str, int] | None = None) -> DataFrame:
     """Groups of nodes tied by strong agent links that span at least two places and two cases: root, n_nodes, n_cases, n_places, first_case, first_at.
 
     entries also has place; a node without one counts its case as its place.  The first case is that of the earliest time, then the least.
     """
-    roots = components(strong_links(entries, shortest=shortest))
-    nodes = entries.where(F.col("kind").isin(*AGENT_KINDS)).groupBy("node", "case").agg(F.min("place").alias("place"), F.min("first").alias("first"))
-    rows = roots.join(nodes, "node").withColumn("place", F.coalesce("place", F.concat(F.lit("case:"), F.col("case").cast("string"))))
+    agents = entries.where(F.col("kind").isin(*AGENT_KINDS) & F.col("node").isNotNull())
+    number = _numbers(agents.select("node"))
+    h = _strong(agents, AGENT_KINDS, shortest).withColumn("node", number("node"))
+    groups = cut(contracted(_tied(h)))
+    nodes = agents.withColumn("id", number("node")).groupBy("id", "case").agg(F.min("node").alias("node"), F.min("place").alias("place"), F.min("first").alias("first"))
+    rows = groups.withColumnRenamed("node", "id").join(nodes, "id").withColumn("place", F.coalesce("place", F.concat(F.lit("case:"), F.col("case").cast("string"))))
+    each = rows.groupBy("group", "case", "place").agg(F.min("node").alias("root"), F.min("first").alias("first"))
     first = F.min(F.when(F.col("first").isNotNull(), F.struct("first", "case")))
-    out = rows.groupBy("root").agg(F.count_distinct("node").alias("n_nodes"), F.count_distinct("case").alias("n_cases"), F.count_distinct("place").alias("n_places"), F.coalesce(first["case"], F.min("case")).alias("first_case"), first["first"].alias("first_at"))
-    return out.where("n_places >= 2 and n_cases >= 2")
+    out = each.groupBy("group").agg(F.min("root").alias("root"), F.count_distinct("case").alias("n_cases"), F.count_distinct("place").alias("n_places"), F.coalesce(first["case"], F.min("case")).alias("first_case"), first["first"].alias("first_at"))
+    out = out.where("n_places >= 2 and n_cases >= 2").join(groups.groupBy("group").agg(F.count("*").alias("n_nodes")), "group")
+    return out.select("root", "n_nodes", "n_cases", "n_places", "first_case", "first_at")
