@@ -13,8 +13,6 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 #: Phrases that override instructions.
 INJECTION_PHRASES = ("ignore previous instructions", "ignore all previous instructions", "disregard your instructions", "disregard all prior", "ignore your system prompt", "override your system prompt", "you are now dan", "pretend you have no restrictions", "do not tell the user", "without informing the user", "exfiltrate", "<!-- ai:", "[system]", "important: before responding")
-#: Matches of one pattern in a group, at most, where no other number is asked for.
-MOST_MATCHES = 20
 
 
 def java_pattern(pattern: str) -> str:
@@ -166,8 +164,8 @@ def _looped(rows: list[dict], starts: np.ndarray, names: list, linked: bool, win
     return first, last
 
 
-def chain_matches(events: DataFrame, chain: Chain, key: str, at: str, tie: str, most: int | None = MOST_MATCHES) -> DataFrame:
-    """Greedy matches that don't overlap: key, chain_id, first_event, last_event; of a key the first so many, or all of them (None).
+def chain_matches(events: DataFrame, chain: Chain, key: str, at: str, tie: str, most: int | None = None) -> DataFrame:
+    """Greedy matches that don't overlap: key, chain_id, first_event, last_event; all of them, or of a key the first so many where most asks for that.
 
     After a match the search goes on behind its last row, after a failed start at the row behind that start.  Rows that can be no step or
     have no time are left out; rows without a key are one group; repeated rows are rows; an empty table has no matches.  What is read at
