@@ -143,11 +143,11 @@ def condition(step: dict) -> Column:
     return reduce(or_, map(condition, step.get("or") or []), whole)
 
 
-def sequence_findings(events: DataFrame, pack: list[dict], id: str = "event_id", most: int | None = 20) -> DataFrame:
+def sequence_findings(events: DataFrame, pack: list[dict], id: str = "event_id", most: int | None = None) -> DataFrame:
     """Greedy matches of a pack's sequences on transcript events: rule_id, severity, scope_key, first_event, last_event, first_time, last_time.
 
     events: those of detections() with a long id that orders events of one time; a step may ask for what detections() finds on an event.  Each
-    scope has the first so many matches of a sequence (None: all).  Events without a time are in none; no events give none.
+    scope has all matches of a sequence, or the first so many where most asks for that.  Events without a time are in none; no events give none.
     """
     events = cut(events)  # read by every rule, the sequences and the times
     fired = detections(events, keep=(id,)).groupBy(id).agg(F.collect_set("rule_id").alias("__fired"))  # no more than there are rules
